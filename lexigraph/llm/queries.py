@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
-from .common import read_table
+from . import bpe, fingerprints, neardup, packing, pii, quality, sharding, toxicity
+from .common import durable, read_table
 
 #: The tokenizer file that the contracts name.
 TOKENIZER = "word_bpe_49k.json"
@@ -20,10 +20,41 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def hex_of(text) -> F.col:
+def hex_of(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+def op2_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signed = fingerprints.edited_with_next(read_table(spark, sf_dir, "documents"))
+    following = signed.select(F.col("doc_id").alias("next_id"), F.col("samples").alias("next_samples"))
+    like = lambda b: fingerprints.likeness(F.col("samples"), F.col(b))
+    spelled = lambda c: fingerprints.spelled(F.col(c))
+    return signed.join(following, "next_id").select("doc_id", "n_chars", "edited_sha256", spelled("samples").alias("fingerprint"), spelled("edited_samples").alias("edited_fingerprint"), like("edited_samples").alias("near_edited"), like("next_samples").alias("near_next"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = durable(quality.described(read_table(spark, sf_dir, "documents")), "stats")
+    model = quality.fit(stats, read_table(spark, sf_dir, "labels").where(~quality.is_held_out()))
+    scored = quality.score(stats, model)
+    return scored.select("doc_id", quality.is_held_out().alias("held_out"), "score", (F.col("score") >= quality.KEEP_FROM).cast("int").alias("predicted"))
+
+
+def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read_table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of_kind = lambda *kinds: F.filter("found", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of_kind(k)).cast("bigint").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, hex_of(listed(of_kind(*pii.BASE))).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
+def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(read_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     coded = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), path), path)
@@ -34,8 +65,18 @@ def op8_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    chain = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    scored = toxicity.scored(docs.select("doc_id", "text"), chain)
+    return scored.select("doc_id", *(f"p_{k}" for k in chain.names), (F.col("p_toxic") >= toxicity.TOXIC_FROM).cast("int").alias("toxic"))
+
+
+QUERIES = (op1_near_duplicates, op2_weighted_fingerprints, op3_quality_classifier, op4_pii_anchors, op6_sampled_splitters, op7_bpe_roundtrip, op8_hilbert_packing, op9_toxicity_chain)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_bpe_roundtrip, op8_hilbert_packing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
