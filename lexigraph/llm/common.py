@@ -96,3 +96,12 @@ class Table(dict):
             self.clear()
         self[key] = value
         return value
+
+
+def bounded_labels(labels: DataFrame, target: str, most: int, seed: int) -> DataFrame:
+    """(doc_id, y) of labels that are 0 or 1, one a doc_id (the greater), about ``most`` of them at most, chosen by hash."""
+    usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("double").alias("y")).where("y IN (0.0, 1.0) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
+    there = usable.count()
+    if there > most:
+        usable = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * most / there))
+    return usable

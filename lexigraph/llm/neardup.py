@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Table, durable, slices, text_or_empty
@@ -199,6 +199,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return one.join(least, "component").select("doc_id", "digest", "class_id")
 
 
+def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that stay: of each class the document of least doc_id, once."""
+    keep = classes(docs, threshold).where("doc_id = class_id").select("doc_id", "digest").distinct()
+    coded = docs.withColumn("digest", F.unhex(F.md5(F.encode(text_or_empty(), "UTF-8"))))
+    order = Window.partitionBy("doc_id").orderBy("digest")
+    kept = coded.join(keep, ["doc_id", "digest"], "left_semi").withColumn("turn", F.row_number().over(order))
+    return kept.where("turn = 1").select(docs.columns)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """The pairs (a, b) of digests whose texts' weighted Jaccard similarity reaches the threshold."""
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slices
+from .common import bounded_labels, durable, slices
 
 #: Labelled rows that a fit uses at most, chosen by a hash of doc_id.
 FIT_ROWS = 100_000
@@ -114,13 +114,14 @@ def _stacked(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).flatten().to_numpy().astype(np.float64).reshape(-1, NAMES)
 
 
-def fit(stats: DataFrame, labels: DataFrame, target: str = "quality") -> Model:
-    """``labels`` has doc_id and ``target`` (0 or 1); rows with other or null targets are ignored."""
-    usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("double").alias("y")).where("y IN (0.0, 1.0) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
-    there = usable.count()
-    if there > FIT_ROWS:
-        usable = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / there))
+def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", described_before: bool = False) -> Model:
+    """``labels`` has doc_id and ``target`` (0 or 1); rows with other or null targets are ignored.
+
+    ``docs`` has doc_id and text, or is what ``described`` gave.
+    """
+    usable = bounded_labels(labels, target, FIT_ROWS, SEED)
     # FIT_ROWS bounds this side: 16 bytes a row
+    stats = docs if described_before else described(docs.join(F.broadcast(usable.select("doc_id")), "doc_id", "left_semi"))
     rows = stats.join(F.broadcast(usable), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(FOLDS)).cast("int"))
     rows = durable(rows.repartition(SUM_TASKS, "doc_id"), "fit")
     rng = np.random.default_rng(SEED)

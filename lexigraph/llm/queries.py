@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, neardup, packing, pii, quality, sharding, toxicity
+from . import ann, bpe, fingerprints, neardup, packing, pii, quality, sharding, toxicity, warc
 from .common import durable, read_table
 
 #: The tokenizer file that the contracts name.
@@ -38,7 +38,7 @@ def op2_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = durable(quality.described(read_table(spark, sf_dir, "documents")), "stats")
-    model = quality.fit(stats, read_table(spark, sf_dir, "labels").where(~quality.is_held_out()))
+    model = quality.fit(stats, read_table(spark, sf_dir, "labels").where(~quality.is_held_out()), described_before=True)
     scored = quality.score(stats, model)
     return scored.select("doc_id", quality.is_held_out().alias("held_out"), "score", (F.col("score") >= quality.KEEP_FROM).cast("int").alias("predicted"))
 
@@ -51,6 +51,16 @@ def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, hex_of(listed(of_kind(*pii.BASE))).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
+def op5_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of ``pages`` against a replica in which a hash of page_id has flipped, dropped or added records."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    ours = warc.records(pages)
+    fate = F.pmod(F.xxhash64("record_id"), F.lit(100))
+    theirs = ours.where(fate != 0).withColumn("record", F.when(fate == 1, F.concat(F.expr("left(record, length(record) - 5)"), F.lit("#"), F.expr("right(record, 4)"))).otherwise(F.col("record")))
+    found = warc.audit(warc.tree(ours), warc.tree(theirs))
+    return ours.join(found, ["volume", "place"], "left").select(F.col("record_id").alias("page_id"), "volume", "place", "offset", "length", F.coalesce("finding", F.lit("intact")).alias("finding"))
+
+
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(read_table(spark, sf_dir, "documents"))
 
@@ -72,7 +82,11 @@ def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *(f"p_{k}" for k in chain.names), (F.col("p_toxic") >= toxicity.TOXIC_FROM).cast("int").alias("toxic"))
 
 
-QUERIES = (op1_near_duplicates, op2_weighted_fingerprints, op3_quality_classifier, op4_pii_anchors, op6_sampled_splitters, op7_bpe_roundtrip, op8_hilbert_packing, op9_toxicity_chain)
+def op10_ivfpq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = (op1_near_duplicates, op2_weighted_fingerprints, op3_quality_classifier, op4_pii_anchors, op5_merkle_audit, op6_sampled_splitters, op7_bpe_roundtrip, op8_hilbert_packing, op9_toxicity_chain, op10_ivfpq_search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

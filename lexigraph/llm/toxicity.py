@@ -6,7 +6,7 @@ also the earlier probabilities. In training these come from models that have not
 from the models of all rows.
 
 Null and empty texts have no features and get the models' floor. Repeated rows are scored each; equal texts score
-equally. Without both labels a category scores its share everywhere. Columns other than those named are not read.
+equally. Without any labels every probability is about 0. Columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, durable, slices
+from .common import Table, bounded_labels, durable, slices
 
 #: Labelled rows that a fit uses at most, chosen by a hash of doc_id.
 FIT_ROWS = 20_000
@@ -103,10 +103,7 @@ class Counted:
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Chain:
     """``labels`` has doc_id and ``target`` (0 or 1); rows with other or null targets are ignored."""
-    usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("int").alias("y")).where("y IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
-    there = usable.count()
-    if there > FIT_ROWS:
-        usable = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / there))
+    usable = bounded_labels(labels, target, FIT_ROWS, SEED).withColumn("y", F.col("y").cast("int"))
     # FIT_ROWS bounds this side: 12 bytes a row
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(usable), "doc_id")
     wanted = category_labels(F.col("text"), F.col("y"))
@@ -116,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Chain:
     n, *hits = rows.agg(F.count("*"), *(F.sum(k) for k in names)).first()
     chain = Chain(names, {})
     if not n:
-        chain.weights = [np.zeros(k + 1) for k in range(len(names))]
+        chain.weights = [np.append(np.zeros(k), -30.0) for k in range(len(names))]
         return chain
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
