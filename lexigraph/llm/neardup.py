@@ -5,8 +5,10 @@ one shingle). A shingle weighs its occurrences times the mean inverse document f
 over all documents in a table of fixed size. Texts that agree in a band of samples are candidates; a candidate pair
 whose weighted Jaccard similarity is at least ``threshold`` is a link; linked texts and exact copies form a class.
 
-Exact copies meet by digest alone. Within a band's bucket every text is compared with one leader; pairs that this
-leaves in different classes are compared next, so no pair inside one class is ever listed, and none across is skipped.
+Exact copies meet by digest alone. Within a band's bucket every text is compared with one leader, the text that shares
+most buckets. Buckets whose texts are then still in different classes are scanned in blocks of bounded size, where a
+matrix product gives all similarities at once and only links leave the task. So pairs are never listed, and no pair of
+texts that agree in a band is skipped.
 
 Null texts are empty texts; texts without words are in a class with their exact copies only. Repeated rows share a
 class. An empty table gives no rows. Columns other than doc_id and text are not read.
@@ -25,11 +27,14 @@ from pyspark.sql import functions as F
 from .common import Table, durable, slices, text_or_empty
 from .graph import components
 
-WORDS, THRESHOLD = 5, 0.8
+WORDS, THRESHOLD, EPSILON = 5, 0.8, 1e-9
 BANDS, ROWS = 12, 4
 #: Entries of the document frequency table: words share an entry by hash, which can only lower their weight.
 FREQUENCIES = 1 << 18
-BLOCK = 4096
+#: Elements that one sampling step holds, and texts in a block of a scanned bucket.
+BLOCK, SCAN = 4096, 256
+#: Weights are sampled in steps of an eighth of a power of two; the similarity that decides uses them as they are.
+LEVELS_A_DOUBLING, VARIATES = 8, 1 << 14
 _MASK = (1 << 64) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,69 +69,105 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes in ascending order and their weights."""
+def shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes in ascending order, their inverse document frequencies and occurrences."""
     if not len(words):
-        return words, np.zeros(0)
+        return words, np.zeros(0), np.zeros(0, np.int64)
     n = min(WORDS, len(words))
     rare = idf[(words >> np.uint64(46)).astype(np.int64)]
     many = len(words) - n + 1
-    h, weight = np.zeros(many, np.uint64), np.zeros(many)
+    h, mean = np.zeros(many, np.uint64), np.zeros(many)
     for i in range(n):
         h = mixed(h + words[i : i + many])
-        weight += rare[i : i + many]
+        mean += rare[i : i + many]
     order = np.argsort(h)
-    h, weight = h[order], weight[order] / n
+    h, mean = h[order], mean[order] / n
     first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    return h[first], weight[first] * np.diff(np.append(first, many))
-
-
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    if not len(a[0]) or not len(b[0]):
-        return 0.0
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = np.minimum(a[1][i], b[1][j]).sum()
-    return float(both / (a[1].sum() + b[1].sum() - both))
+    return h[first], mean[first], np.diff(np.append(first, many))
+
+
+def elements(h: np.ndarray, idf: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One hash and weight an occurrence: common elements then weigh what the weighted minimum does."""
+    if not len(h) or times.max() == 1:
+        return h, idf
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return mixed(np.repeat(h, times) + nth.astype(np.uint64)), np.repeat(idf, times)
+
+
+def similarities(texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard similarity of all texts' elements to each other."""
+    sizes = [len(h) for h, _ in texts]
+    weight = np.concatenate([w for _, w in texts])
+    _, first, where, times = np.unique(np.concatenate([h for h, _ in texts]), return_index=True, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    column = np.cumsum(times > 1) - 1
+    both = times[where] > 1
+    owner, at, root = owner[both], column[where[both]], np.sqrt(weight[first][times > 1])
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    common = np.zeros((len(texts), len(texts)))
+    for low in range(0, len(root), 2048):
+        a, b = np.searchsorted(at, [low, low + 2048])
+        held = np.zeros((len(texts), min(2048, len(root) - low)))
+        held[owner[a:b], at[a:b] - low] = root[at[a:b]]
+        common += held @ held.T
+    total = np.bincount(np.repeat(np.arange(len(texts)), sizes), weight, len(texts))
+    either = total[:, None] + total[None, :] - common
+    return np.divide(common, either, out=np.zeros_like(common), where=either > 0)
 
 
 class Sampler:
-    """Improved consistent weighted sampling; gamma and uniform variates come from tables that all tasks build alike."""
+    """Improved consistent weighted sampling. All tasks build the same table of gamma and uniform variates and, from it,
+    a value for each variate and each level of weight; an element's hash picks its variates anew in each sample."""
 
     def __init__(self, bands: int = BANDS, rows: int = ROWS, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.bands, self.rows, k = bands, rows, bands * rows
-        self.odd = (rng.integers(0, 1 << 63, k, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-        self.r = rng.gamma(2, 1, 1 << 12).astype(np.float32)
-        self.beta = rng.random(1 << 12).astype(np.float32)
-        self.ln_c = np.log(rng.gamma(2, 1, 1 << 16)).astype(np.float32)
+        self.odd = (rng.integers(0, 1 << 31, k, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+        self.shift = rng.integers(0, 1 << 32, k, dtype=np.uint32)
+        self.r, self.beta = rng.gamma(2, 1, VARIATES), rng.random(VARIATES)
+        self.ln_c = np.log(rng.gamma(2, 1, VARIATES))
+        self.values, self.known = np.zeros((0, VARIATES), np.float32), np.zeros(0, np.int64)
+
+    def steps(self, level: np.ndarray | int) -> np.ndarray:
+        """t for each variate at a weight of 2 ** (level / LEVELS_A_DOUBLING)."""
+        return np.floor(level * np.log(2) / LEVELS_A_DOUBLING / self.r + self.beta)
+
+    def level_rows(self, levels: np.ndarray) -> np.ndarray:
+        """Which row of ``values`` holds each level, made when first needed."""
+        for level in np.setdiff1d(levels, self.known):
+            value = self.ln_c - self.r * (self.steps(int(level)) - self.beta + 1)
+            self.values, self.known = np.vstack([self.values, value[None].astype(np.float32)]), np.append(self.known, level)
+        order = np.argsort(self.known)
+        return order[np.searchsorted(self.known, levels, sorter=order)]
 
     def samples(self, h: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """bands * rows identities (element and its quantised weight) of a text's samples."""
         k = len(self.odd)
-        least, out = np.full(k, np.inf, np.float32), np.zeros(k, np.uint64)
-        ln_w = np.log(weight).astype(np.float32)[None, :]
+        rows, least, out = np.arange(k), np.full(k, np.inf, np.float32), np.zeros(k, np.uint64)
+        level = np.rint(np.log2(weight) * LEVELS_A_DOUBLING).astype(np.int64)
+        base = self.level_rows(level) * VARIATES
+        flat, small = self.values.ravel(), (h >> np.uint64(32)).astype(np.uint32)
         for at in range(0, len(h), BLOCK):
-            own = h[at : at + BLOCK]
-            p = self.odd[:, None] * own[None, :]
-            p ^= p >> np.uint64(32)
-            p *= _MIX
-            r = self.r[p >> np.uint64(52)]
-            beta = self.beta[(p >> np.uint64(20)) & np.uint64(0xFFF)]
-            t = np.floor(ln_w[:, at : at + BLOCK] / r + beta)
-            ln_a = self.ln_c[(p >> np.uint64(36)) & np.uint64(0xFFFF)] - r * (t - beta + 1)
-            best = ln_a.argmin(1)
-            rows = np.arange(k)
-            value = ln_a[rows, best]
-            new = value < least
-            name = mixed(own[best] + t[rows, best].astype(np.int64).astype(np.uint64))
-            out[new], least[new] = name[new], value[new]
+            p = small[None, at : at + BLOCK] * self.odd[:, None] + self.shift[:, None]
+            p ^= p >> np.uint32(15)
+            p *= np.uint32(0x2C1B3C6D)
+            p >>= np.uint32(18)
+            value = flat[p + base[None, at : at + BLOCK]]
+            best = value.argmin(1)
+            least_here = value[rows, best]
+            new = least_here < least
+            picked = p[rows, best].astype(np.int64)
+            t = np.floor(level[at + best] * np.log(2) / LEVELS_A_DOUBLING / self.r[picked] + self.beta[picked]).astype(np.int64)
+            name = mixed(h[at + best] + t.astype(np.uint64))
+            out[new], least[new] = name[new], least_here[new]
         return out
 
-    def buckets(self, h: np.ndarray, weight: np.ndarray) -> list[int]:
+    def buckets(self, h: np.ndarray, idf: np.ndarray, times: np.ndarray) -> list[int]:
         """One signed 64-bit bucket a band."""
         if not len(h):
             return []
-        s = self.samples(h, weight).reshape(self.bands, self.rows)
+        s = self.samples(h, idf * times).reshape(self.bands, self.rows)
         out = np.arange(1, self.bands + 1, dtype=np.uint64)
         for i in range(self.rows):
             out = mixed(out + s[:, i])
@@ -173,24 +214,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     signed = durable(docs.mapInArrow(sampled, "doc_id bigint, digest binary, buckets array<bigint>"), "signed")
     texts = signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets"))
     members = durable(texts.select("digest", "doc_id", F.explode("buckets").alias("bucket")), "members")
-    leaders = members.groupBy("bucket").agg(F.min("digest").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = durable(members.join(leaders, "bucket").select("bucket", "digest", "doc_id", "leader"), "shared")
-    wanted = members.select("doc_id", "digest").distinct()
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = durable(members.join(sizes, "bucket"), "shared")
+    wanted = members.groupBy("digest", "doc_id").agg(F.sum("n").alias("central"))
+    leaders = members.join(wanted, ["digest", "doc_id"]).groupBy("bucket").agg(F.max(F.struct("central", "digest"))["digest"].alias("leader"))
     texts = durable(docs.join(wanted, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select("digest", "text"), "candidates")
-
-    links = _verified(members.select(F.col("leader").alias("a"), F.col("digest").alias("b")).where("a <> b").distinct(), texts, idf, threshold)
+    pairs = members.join(leaders, "bucket").where("digest <> leader").select(F.least("leader", "digest").alias("a"), F.greatest("leader", "digest").alias("b")).distinct()
+    links = _verified(pairs, texts, idf, threshold)
     found = components(links)
     named = members.select("bucket", "digest").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    mixed_buckets = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    named = durable(named.join(mixed_buckets, "bucket"), "apart")
-    led = members.select("bucket", "leader").distinct()
-    x, y = named.alias("x"), named.alias("y")
-    across = (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.component") != F.col("y.component")))
-        .select(F.col("x.bucket").alias("bucket"), F.col("x.digest").alias("a"), F.col("y.digest").alias("b"))
-    )
-    across = across.join(led, "bucket").where("a <> leader").select("a", "b").distinct()
-    more = _verified(across, texts, idf, threshold)
+    more = _scanned(durable(named, "named"), texts, idf, threshold)
     if not more.isEmpty():
         found = components(links.union(more))
     one = signed.select("doc_id", "digest").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
@@ -212,11 +245,56 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
     """The pairs (a, b) of digests whose texts' weighted Jaccard similarity reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Table(lambda text: shingles(word_hashes(text), idf.value), 64)
+        known = Table(lambda text: elements(*shingles(word_hashes(text), idf.value)), 64)
         for batch in slices(batches, "tb"):
-            near = [weighted_jaccard(known[x], known[y]) >= threshold for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            near = [similarities([known[x], known[y]])[0, 1] >= threshold - EPSILON for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.filter(pa.array(near, pa.bool_())).select(["a", "b"])
 
     with_b = pairs.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("tb")), "b")
     with_both = with_b.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("ta")), "a")
     return durable(with_both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary"), "links")
+
+
+def _scanned(named: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) between the components that share a bucket; ``named`` has bucket, digest, component."""
+    told = F.xxhash64("digest")
+    held = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.bit_xor(told).alias("x"), F.bit_xor(F.xxhash64(told)).alias("y"))
+    # Buckets of the same texts are scanned once
+    apart = held.where("low <> high").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / SCAN).cast("int").alias("blocks"))
+    rows = named.join(apart, "bucket").withColumn("own", F.pmod(told, F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["bucket", "i", "j"]
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "digest", "component")
+    rows = rows.join(texts, "digest").repartition(*key).sortWithinPartitions(*key).select(*key, "digest", "component", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Table(lambda text: elements(*shingles(word_hashes(text), idf.value)), 2 * SCAN)
+
+        def links(group: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+            classes = np.unique([g[1] for g in group], return_inverse=True)[1]
+            if len(group) > 1 and classes.max() > 0:
+                near = np.triu((similarities([g[2] for g in group]) >= threshold - EPSILON) & (classes[:, None] != classes[None, :]))
+                for x, y in zip(*np.nonzero(near)):
+                    yield group[x][0], group[y][0]
+
+        def found() -> Iterator[tuple[bytes, bytes]]:
+            at, group = None, []
+            for batch in slices(batches):
+                columns = [c.to_pylist() for c in batch.columns]
+                for bucket, i, j, digest, component, text in zip(*columns):
+                    if (bucket, i, j) != at:
+                        yield from links(group)
+                        at, group = (bucket, i, j), []
+                    group.append((digest, component, known[text]))
+            yield from links(group)
+
+        out: list[tuple[bytes, bytes]] = []
+        for link in found():
+            out.append(link)
+            if len(out) == 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out)], ["a", "b"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out)], ["a", "b"])
+
+    return durable(rows.mapInArrow(run, "a binary, b binary"), "across")
