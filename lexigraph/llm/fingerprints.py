@@ -1,9 +1,9 @@
 """Document fingerprints by consistent weighted sampling, by DataFrame functions alone.
 
 A text's terms are its words (runs of letters and digits in lower case), weighted by their occurrences. For each of
-SAMPLES positions every term draws gamma variates r and c and a uniform beta from its hash; with t = floor(ln w / r +
-beta) the term of least ln c - r (t - beta + 1) is the sample, named by term and t. Two texts agree in a position with
-a chance of their generalised Jaccard similarity. The gamma variates are quantiles of Gamma(2, 1) in a fixed table.
+SAMPLES positions every term draws gamma variates r and c (each the sum of two exponential ones) and a uniform beta from
+its hash; with t = floor(ln w / r + beta) the term of least ln c - r (t - beta + 1) is the sample, named by term and t.
+Two texts agree in a position with a chance of their generalised Jaccard similarity.
 
 Null texts are empty texts; a text without words has the fingerprint "empty", which is like itself only. Rows that
 repeat a doc_id count as one document, with the greatest of their texts. A single document is its own next document.
@@ -12,46 +12,27 @@ An empty table gives no rows. Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, text_or_empty
 from .splitters import range_of, splitters_of
 
-SAMPLES, QUANTILES = 48, 1 << 13
+SAMPLES = 32
 ROWS_A_RANGE = 2_000_000
 _NAME = (1 << 24) - 1
 
 
-def gamma_quantiles(n: int = QUANTILES) -> np.ndarray:
-    """The (i + 1/2) / n quantiles of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x)."""
-    p = (np.arange(n) + 0.5) / n
-    low, high = np.zeros(n), np.full(n, 60.0)
-    for _ in range(80):
-        mid = (low + high) / 2
-        below = 1 - (1 + mid) * np.exp(-mid) < p
-        low, high = np.where(below, mid, low), np.where(below, high, mid)
-    return (low + high) / 2
-
-
-def constant(values: np.ndarray) -> Column:
-    """A double array that the optimizer folds into one literal."""
-    return F.split(F.lit(",".join(f"{v:.12g}" for v in values)), ",").cast("array<double>")
-
-
 def sample(term: Column, ln_w: Column, position: int) -> Column:
     """A bigint whose least over the terms is the sample; its low 24 bits name it."""
-    g = gamma_quantiles()
-    bits = (QUANTILES - 1).bit_length()
     h = F.xxhash64(term, F.lit(position))
-    part = lambda shift, wide: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << wide) - 1))
-    r = F.get(constant(g), part(24, bits).cast("int"))
-    ln_c = F.get(constant(np.log(g)), part(24 + bits, bits).cast("int"))
-    beta = part(0, 24).cast("double") / F.lit(float(1 << 24))
-    t = F.floor(ln_w / r + beta)
-    ln_a = ln_c - r * (t - beta + F.lit(1.0))
-    name = h.bitwiseXOR(t * F.lit(2654435)).bitwiseAND(F.lit(_NAME))
+    g = F.xxhash64(h)
+    uniform = lambda x, shift, wide: (F.shiftrightunsigned(x, shift).bitwiseAND(F.lit((1 << wide) - 1)).cast("double") + F.lit(0.5)) / F.lit(float(1 << wide))
+    r = -F.ln(uniform(h, 0, 16) * uniform(h, 16, 16))
+    c = -F.ln(uniform(h, 32, 16) * uniform(h, 48, 16))
+    t = F.floor(ln_w / r + uniform(g, 0, 24))
+    ln_a = F.ln(c) - r * (t - uniform(g, 0, 24) + F.lit(1.0))
+    name = F.shiftrightunsigned(g, 24).bitwiseXOR(t * F.lit(2654435)).bitwiseAND(F.lit(_NAME))
     return F.shiftleft(((ln_a + F.lit(128.0)) * F.lit(float(1 << 27))).cast("bigint"), 24).bitwiseOR(name)
 
 
