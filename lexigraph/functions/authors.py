@@ -66,5 +66,6 @@ def merged(authors: Column) -> Column:
 
 
 def distinct_by_key(authors: Column) -> Column:
-    """The first author of each key, in order."""
-    return F.aggregate(authors, F.array().cast(f"array<{AUTHOR}>"), lambda held, a: F.when(F.exists(held, lambda h: h["author_key"] == a["author_key"]), held).otherwise(F.concat(held, F.array(a.cast(AUTHOR)))))
+    """The first author of each key, in order; keys follow from the names and profiles as they are after merging."""
+    keyed = F.transform(authors, lambda a: F.struct(author_key(a["name"], a["profile_url"]).alias("author_key"), a["name"].alias("name"), a["profile_url"].alias("profile_url"), a["affiliation"].alias("affiliation")).cast(AUTHOR))
+    return F.aggregate(keyed, F.array().cast(f"array<{AUTHOR}>"), lambda held, a: F.when(F.exists(held, lambda h: h["author_key"] == a["author_key"]), held).otherwise(F.concat(held, F.array(a))))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigraph.functions.text import author_key, searchable_text, stable_id
-from lexigraph.schemas import TABLES
+from lexigraph.schemas import TABLES, columns
 
 
 class Store:
@@ -67,12 +67,12 @@ class Store:
         """Later rows of a key win; first_seen_at stays. Returns how many were new or written anew, which is all of them."""
         rows = publication_rows(batch, order)
         self.replace("authors", merged_authors(self.read("authors"), author_rows(rows)))
-        self.replace("publications", upserted(self.read("publications"), rows.select(*[f.name for f in TABLES["publications"] if f.name != "first_seen_at"]), "publication_key"))
+        self.replace("publications", upserted(self.read("publications"), rows.select(*[c for c in columns("publications") if c != "first_seen_at"]), "publication_key"))
         return rows.count()
 
     def save_run(self, run: DataFrame) -> str:
         run_id = uuid.uuid4().hex
-        self.append("crawl_runs", run.withColumn("run_id", F.lit(run_id)).select(*TABLES["crawl_runs"].fieldNames()))
+        self.append("crawl_runs", run.withColumn("run_id", F.lit(run_id)).select(*columns("crawl_runs")))
         return run_id
 
     def repeated_keys(self, table: str, key: str) -> DataFrame:
@@ -124,4 +124,4 @@ def merged_authors(old: DataFrame, new: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     keys = old.select("author_key", F.col("publication_keys").alias("before")).join(new.select("author_key", F.col("publication_keys").alias("after")), "author_key", "full")
     keys = keys.select("author_key", F.array_sort(F.array_union(F.coalesce("before", none), F.coalesce("after", none))).alias("publication_keys"))
-    return both.join(keys, "author_key").select(*TABLES["authors"].fieldNames())
+    return both.join(keys, "author_key").select(*columns("authors"))
