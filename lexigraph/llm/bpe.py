@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_CHARS, Table, slices
 
-#: Texts with these go through the library whole.
-WHOLE = re.compile("[^\x00-\x1b\x20-ɏ]|<\\|")
+#: Texts with these go through the library whole: special tokens may start with SPECIAL.
+WHOLE = re.compile("[^\x00-\x1b\x20-ɏ]")
+SEPARATORS, SPECIAL = "\x1c\x1d\x1e\x1f", "<|"
 #: The word pattern of the tokenizer file.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -55,20 +56,26 @@ class Coder:
         self.kind = "H" if size <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.kind == "H" else "<u4")
         self.pieces = np.array([self.library.id_to_token(i) or "" for i in range(size)], dtype=object)
-        self.words, self.chunks = Table(self._word), Table(self._chunk)
+        self.words = Table(self._chunk, 400_000)
 
     def _word(self, word: str) -> bytes:
-        spelled = "".join([self.letters[b] for b in word.encode()])
+        spelled = word if word.isascii() and word.isalpha() else "".join([self.letters[b] for b in word.encode()])
         return array(self.kind, [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join([self.words[w] for w in self.find(chunk)])
+        """A word's ids; those of a longer chunk from its words' entries."""
+        if chunk.isalpha():
+            return self._word(chunk)
+        if chunk[:-1].isalpha() and chunk[-1] in ".,!?;:|":
+            return self.words[chunk[:-1]] + self.words[chunk[-1]]
+        words = self.find(chunk)
+        return b"".join([self.words[w] for w in words]) if len(words) > 1 else self._word(chunk)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian integers of ``dtype``."""
-        if WHOLE.search(text):
+        if SPECIAL in text or (any(map(text.__contains__, SEPARATORS)) if text.isascii() else WHOLE.search(text)):
             return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.chunks.__getitem__, text.lower().split()))
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
 
     def decode(self, ids: np.ndarray) -> str:
         """Pieces joined by one space, as the library does for a file without a decoder."""

@@ -88,9 +88,8 @@ class Table(dict):
         self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
+        old = self.old
+        value = old[key] if key in old else self.make(key)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
