@@ -52,11 +52,13 @@ def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archive of ``pages`` against a replica in which a hash of page_id has flipped, dropped or added records."""
+    """The archive of ``pages`` against a replica in which some records, by a hash of page_id, are flipped or lost."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    ours = warc.records(pages)
     fate = F.pmod(F.xxhash64("record_id"), F.lit(100))
-    theirs = ours.where(fate != 0).withColumn("record", F.when(fate == 1, F.concat(F.expr("left(record, length(record) - 5)"), F.lit("#"), F.expr("right(record, 4)"))).otherwise(F.col("record")))
+    flipped = F.concat(F.expr("left(record, length(record) - 5)"), F.lit("#"), F.expr("right(record, 4)"))
+    copied = F.when(fate == 1, warc.digest(flipped)).when(fate != 0, F.col("digest"))
+    ours = durable(warc.placed(warc.records(pages).withColumn("copied", copied).drop("record")), "placed")
+    theirs = ours.where("copied IS NOT NULL").withColumn("digest", F.col("copied"))
     found = warc.audit(warc.tree(ours), warc.tree(theirs))
     return ours.join(found, ["volume", "place"], "left").select(F.col("record_id").alias("page_id"), "volume", "place", "offset", "length", F.coalesce("finding", F.lit("intact")).alias("finding"))
 

@@ -1,7 +1,7 @@
 """WARC records and a Merkle fixity audit of replicas.
 
-``records`` lays texts out as WARC response records in volumes, with each record's offset; ``tree`` hashes records and,
-level by level, ordered runs of FANOUT nodes up to one root a volume. ``audit`` compares two replicas' roots and goes
+``records`` makes texts WARC response records with their digests, ``placed`` gives their offsets in volumes; ``tree``
+hashes records and, level by level, ordered runs of FANOUT nodes up to one root a volume. ``audit`` compares two replicas' roots and goes
 down only where hashes differ, so what it reads below the roots follows the damage, not the archive.
 
 Null payloads are empty ones. Rows that repeat a record id are records of their own, in order of their content. A record
@@ -33,12 +33,20 @@ def record(record_id: Column, url: Column, payload: Column) -> Column:
 
 
 def records(pages: DataFrame, record_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """record_id, volume, place (in the volume), offset, length, record for every row; a volume is a run of record ids."""
+    """record_id, volume, length, digest, record for every row; a volume is a run of record ids."""
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = pages.select(F.col(record_id).cast("bigint").alias("record_id"), record(F.col(record_id), F.col(url), body).alias("record"))
-    rows = rows.withColumn("volume", F.floor(F.coalesce("record_id", F.lit(-1)) / VOLUME_RECORDS)).withColumn("length", F.octet_length(F.encode("record", "UTF-8")).cast("bigint"))
-    order = Window.partitionBy("volume").orderBy("record_id", F.sha2(F.encode("record", "UTF-8"), 256))
-    return rows.withColumns({"place": (F.row_number().over(order) - 1).cast("bigint"), "offset": F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")}).select("record_id", "volume", "place", "offset", "length", "record")
+    return rows.select("record_id", F.floor(F.coalesce("record_id", F.lit(-1)) / VOLUME_RECORDS).alias("volume"), F.octet_length(F.encode("record", "UTF-8")).cast("bigint").alias("length"), digest(F.col("record")).alias("digest"), "record")
+
+
+def digest(record: Column) -> Column:
+    return F.sha2(F.encode(record, "UTF-8"), 256)
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Adds place and offset in the volume. Leave the record column out first: this sorts volumes, by few bytes a record."""
+    order = Window.partitionBy("volume").orderBy("record_id", "digest")
+    return rows.withColumns({"place": (F.row_number().over(order) - 1).cast("bigint"), "offset": F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")})
 
 
 _HEADER = re.compile(rb"WARC/[0-9.]+\r\n((?:[^\r\n]+\r\n)*)\r\n")
@@ -58,10 +66,10 @@ def parsed(raw: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
         at = end + 4
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """volume, level 0, node (the record's place), hash over offset, length and bytes."""
-    said = F.concat_ws(":", "offset", "length", F.sha2(F.encode("record", "UTF-8"), 256))
-    return records.select("volume", F.lit(0).alias("level"), F.col("place").alias("node"), F.sha2(F.encode(said, "UTF-8"), 256).alias("hash"))
+def leaves(rows: DataFrame) -> DataFrame:
+    """volume, level 0, node (the record's place), hash over offset, length and digest."""
+    said = F.concat_ws(":", "offset", "length", "digest")
+    return rows.select("volume", F.lit(0).alias("level"), F.col("place").alias("node"), F.sha2(F.encode(said, "UTF-8"), 256).alias("hash"))
 
 
 def above(nodes: DataFrame, level: int) -> DataFrame:
@@ -71,9 +79,9 @@ def above(nodes: DataFrame, level: int) -> DataFrame:
     return nodes.groupBy("volume", F.floor(F.col("node") / FANOUT).alias("parent")).agg(F.sha2(F.encode(said, "UTF-8"), 256).alias("hash")).select("volume", F.lit(level).alias("level"), F.col("parent").alias("node"), "hash")
 
 
-def tree(records: DataFrame) -> list[DataFrame]:
+def tree(rows: DataFrame) -> list[DataFrame]:
     """Each level's nodes, records first; the last has a volume's roots. A volume of more records gets more roots."""
-    levels = [durable(leaves(records), "leaves")]
+    levels = [durable(leaves(rows), "leaves")]
     for level in range(1, LEVELS):
         levels.append(durable(above(levels[-1], level), f"level{level}"))
     return levels
