@@ -1,8 +1,8 @@
 """Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
-A text's shingles are runs of five words (white-space chunks in lower case without outer punctuation; fewer words make
-one shingle). A shingle weighs its occurrences times the mean inverse document frequency of its words, which is counted
-over all documents in a table of fixed size. Texts that agree in a band of samples are candidates; a candidate pair
+A text's shingles are runs of five words (letters and digits in lower case; fewer words make one shingle). A shingle
+weighs one plus the logarithm of its occurrences, times the mean inverse document frequency of its words, which is
+counted over all documents in a table of fixed size. Texts that agree in a band of samples are candidates; a candidate pair
 whose weighted Jaccard similarity is at least ``threshold`` is a link; linked texts and exact copies form a class.
 
 Exact copies meet by digest alone. Within a band's bucket every text is compared with one leader, the text that shares
@@ -11,17 +11,17 @@ matrix product gives all similarities at once and only links leave the task. So
 texts that agree in a band is skipped.
 
 Null texts are empty texts; texts without words are in a class with their exact copies only. Repeated rows share a
-class. An empty table gives no rows. Columns other than doc_id and text are not read.
+class. Rows without a doc_id are classed like others; a class of such rows alone has no class_id. An empty table gives no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Table, durable, slices, text_or_empty
@@ -34,34 +34,65 @@ FREQUENCIES = 1 << 18
 #: Elements that one sampling step holds, and texts in a block of a scanned bucket.
 BLOCK, SCAN = 4096, 256
 #: Weights are sampled in steps of an eighth of a power of two; the similarity that decides uses them as they are.
-LEVELS_A_DOUBLING, VARIATES = 8, 1 << 14
+LEVELS_A_DOUBLING, VARIATES = 8, 1 << 12
+#: Bytes that are hashed at once, and the base of the hash polynomials.
+TEXT_BLOCK, BASE = 1 << 18, 0xD6E8FEB86659FD93
+#: Stands for a missing doc_id.
+NO_ID = (1 << 63) - 1
 _MASK = (1 << 64) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hash(chunk: str) -> int:
-    """64 bits of a chunk without its outer punctuation, never 0; 0 if nothing is left."""
-    if not chunk.isalnum():
-        a, b = 0, len(chunk)
-        while a < b and not chunk[a].isalnum():
-            a += 1
-        while b > a and not chunk[b - 1].isalnum():
-            b -= 1
-        chunk = chunk[a:b]
-        if not chunk:
-            return 0
-    return xxhash.xxh3_64_intdigest(chunk) or 1
-
-
-_hashes: list[Table] = []
-
-
-def word_hashes(text: str) -> np.ndarray:
-    if not _hashes:
-        _hashes.append(Table(word_hash, 250_000))
-    chunks = text.lower().split()
-    h = np.fromiter(map(_hashes[0].__getitem__, chunks), np.uint64, len(chunks))
-    return h[h != 0] if len(h) and not h.all() else h
+def word_bytes() -> np.ndarray:
+    """Which bytes belong to words: ASCII letters and digits, and all beyond ASCII."""
+    table = np.zeros(256, bool)
+    table[[ord(c) for c in string.ascii_letters + string.digits]] = True
+    table[128:] = True
+    return table
+
+
+_WORD, _powers = word_bytes(), [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n (at least) powers of an odd base and of its inverse, modulo 2 ** 64."""
+    if len(_powers[0]) < n:
+        n = max(n, 2 * TEXT_BLOCK)
+        for i, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            _powers[i] = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, base, np.uint64))))
+    return _powers
+
+
+def block_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of a byte block that begins and ends between words."""
+    inside = np.concatenate(([False], _WORD[raw], [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = powers(len(raw) + 1)
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(raw * up[: len(raw)])))
+    h = mixed(mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+    return np.maximum(h, np.uint64(1)), starts
+
+
+def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """64 bits for each word of each text, by polynomials over the bytes of many texts at once."""
+    sizes, parts = [], []
+    for t in texts:
+        parts.append((t or "").lower().encode("utf-8", "surrogatepass"))
+        sizes.append(len(parts[-1]) + 1)
+    raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+    found, places, at = [], [], 0
+    while at < len(raw):
+        end = min(at + TEXT_BLOCK, len(raw))
+        while end < len(raw) and _WORD[raw[end - 1]]:
+            gap = np.flatnonzero(~_WORD[raw[end : end + 4096]])
+            end += int(gap[0]) + 1 if len(gap) else 4096
+        h, starts = block_hashes(raw[at : min(end, len(raw))])
+        found.append(h)
+        places.append(starts + at)
+        at = end
+    cuts = np.searchsorted(np.concatenate(places), np.cumsum(sizes)[:-1]) if found else []
+    return np.split(np.concatenate(found), cuts) if found else []
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -87,11 +118,17 @@ def shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def elements(h: np.ndarray, idf: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One hash and weight an occurrence: common elements then weigh what the weighted minimum does."""
+    """One hash and weight an occurrence, each the increase of ``damped``: what two texts' elements have in common then
+    weighs what the weighted minimum does."""
     if not len(h) or times.max() == 1:
         return h, idf
     nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    return mixed(np.repeat(h, times) + nth.astype(np.uint64)), np.repeat(idf, times)
+    return mixed(np.repeat(h, times) + nth.astype(np.uint64)), np.repeat(idf, times) * (damped(nth + 1) - np.where(nth > 0, damped(np.maximum(nth, 1)), 0))
+
+
+def damped(times: np.ndarray) -> np.ndarray:
+    """The weight of occurrences: 1 + ln."""
+    return 1 + np.log(times)
 
 
 def similarities(texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -152,7 +189,7 @@ class Sampler:
             p = small[None, at : at + BLOCK] * self.odd[:, None] + self.shift[:, None]
             p ^= p >> np.uint32(15)
             p *= np.uint32(0x2C1B3C6D)
-            p >>= np.uint32(18)
+            p >>= np.uint32(20)
             value = flat[p + base[None, at : at + BLOCK]]
             best = value.argmin(1)
             least_here = value[rows, best]
@@ -167,7 +204,7 @@ class Sampler:
         """One signed 64-bit bucket a band."""
         if not len(h):
             return []
-        s = self.samples(h, idf * times).reshape(self.bands, self.rows)
+        s = self.samples(h, idf * damped(times)).reshape(self.bands, self.rows)
         out = np.arange(1, self.bands + 1, dtype=np.uint64)
         for i in range(self.rows):
             out = mixed(out + s[:, i])
@@ -180,8 +217,8 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(FREQUENCIES, np.int64), 0
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                df[np.unique(word_hashes(text) >> np.uint64(46)).astype(np.int64)] += 1
+            for words in word_hashes(batch.column(0).to_pylist()):
+                df[np.unique(words >> np.uint64(46)).astype(np.int64)] += 1
             n += batch.num_rows
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"at": pa.array(np.append(at, -1), pa.int32()), "df": pa.array(np.append(df[at], n), pa.int64())})
@@ -197,17 +234,17 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, digest, class_id): class_id is the least doc_id of the class."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    docs = docs.withColumn("digest", F.unhex(F.md5(F.encode("text", "UTF-8"))))
+    docs = docs.select(identity().alias("doc_id"), text_or_empty().alias("text"))
+    docs = docs.withColumn("digest", digest_of("text"))
     idf = spark.sparkContext.broadcast(document_frequencies(docs))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, last = Sampler(), (None, [])
         for batch in slices(batches):
-            out = []
-            for text in batch.column(1).to_pylist():
+            out, texts = [], batch.column(1).to_pylist()
+            for text, words in zip(texts, word_hashes(texts)):
                 if text != last[0]:
-                    last = (text, sampler.buckets(*shingles(word_hashes(text), idf.value)))
+                    last = (text, sampler.buckets(*shingles(words, idf.value)))
                 out.append(last[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "digest", "buckets"])
 
@@ -229,23 +266,32 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     one = signed.select("doc_id", "digest").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     one = durable(one, "classed")
     least = one.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return one.join(least, "component").select("doc_id", "digest", "class_id")
+    known = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
+    return one.join(least, "component").select(known("doc_id"), "digest", known("class_id"))
+
+
+def identity() -> Column:
+    """doc_id as a number that can be compared; rows without one come last."""
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+
+
+def digest_of(text: str) -> Column:
+    return F.unhex(F.md5(F.encode(text_or_empty(text), "UTF-8")))
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the document of least doc_id, once."""
-    keep = classes(docs, threshold).where("doc_id = class_id").select("doc_id", "digest").distinct()
-    coded = docs.withColumn("digest", F.unhex(F.md5(F.encode(text_or_empty(), "UTF-8"))))
-    order = Window.partitionBy("doc_id").orderBy("digest")
-    kept = coded.join(keep, ["doc_id", "digest"], "left_semi").withColumn("turn", F.row_number().over(order))
-    return kept.where("turn = 1").select(docs.columns)
+    keep = classes(docs, threshold).where("doc_id <=> class_id").select(identity().alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct()
+    order = Window.partitionBy("_kept_id").orderBy("_kept_digest")
+    kept = docs.withColumns({"_kept_id": identity(), "_kept_digest": digest_of("text")}).join(keep, ["_kept_id", "_kept_digest"], "left_semi")
+    return kept.withColumn("_kept_turn", F.row_number().over(order)).where("_kept_turn = 1").select(docs.columns)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """The pairs (a, b) of digests whose texts' weighted Jaccard similarity reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Table(lambda text: elements(*shingles(word_hashes(text), idf.value)), 64)
+        known = Table(lambda text: elements(*shingles(word_hashes([text])[0], idf.value)), 64)
         for batch in slices(batches, "tb"):
             near = [similarities([known[x], known[y]])[0, 1] >= threshold - EPSILON for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.filter(pa.array(near, pa.bool_())).select(["a", "b"])
@@ -268,7 +314,7 @@ def _scanned(named: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
     rows = rows.join(texts, "digest").repartition(*key).sortWithinPartitions(*key).select(*key, "digest", "component", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Table(lambda text: elements(*shingles(word_hashes(text), idf.value)), 2 * SCAN)
+        known = Table(lambda text: elements(*shingles(word_hashes([text])[0], idf.value)), 2 * SCAN)
 
         def links(group: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
             classes = np.unique([g[1] for g in group], return_inverse=True)[1]
