@@ -18,13 +18,13 @@ from lexigraph.llm.queries import tokenizer_path
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects."""
     model = quality.fit(docs, read_table(spark, sf_dir, "labels").where(~quality.is_held_out()))
-    return quality.scored_texts(docs, model).where(F.col("score") >= quality.KEEP_FROM).select(docs.columns)
+    return quality.scored_texts(docs, model, "_quality").where(F.col("_quality") >= quality.KEEP_FROM).select(docs.columns)
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the toxicity chain rejects."""
     chain = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, chain).where(F.col("p_toxic") < toxicity.TOXIC_FROM).select(docs.columns)
+    return toxicity.scored(docs, chain, "_p_").where(F.col("_p_toxic") < toxicity.TOXIC_FROM).select(docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks personal data in the texts; n_chars follows."""
-    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    masked = pii.redacted(docs)
+    return masked.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -180,17 +180,17 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
     return stats.select("doc_id", "stats").mapInArrow(run, "doc_id bigint, score double")
 
 
-def scored_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with a score column, in one pass over their texts."""
+def scored_texts(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """The rows of ``docs`` with a column ``name``, in one pass over their texts."""
     fields, names = docs.schema, docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             stats = np.array([statistics(t or "") for t in batch.column(at).to_pylist()], np.float32).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(stats))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(stats))], [*names, name])
 
-    return docs.mapInArrow(run, type(fields)([*fields.fields]).add("score", "double"))
+    return docs.mapInArrow(run, type(fields)([*fields.fields]).add(name, "double"))
 
 
 def is_held_out(doc_id: str = "doc_id"):

@@ -167,18 +167,18 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Chain:
     return chain
 
 
-def scored(docs: DataFrame, chain: Chain) -> DataFrame:
-    """The rows of ``docs`` with a column p_<category> for each category, in one pass over their texts."""
+def scored(docs: DataFrame, chain: Chain, prefix: str = "p_") -> DataFrame:
+    """The rows of ``docs`` with a column <prefix><category> for each category, in one pass over their texts."""
     fields, names = docs.schema, docs.columns
     at = names.index("text")
     schema = type(fields)([*fields.fields])
     for k in chain.names:
-        schema = schema.add(f"p_{k}", "double")
+        schema = schema.add(f"{prefix}{k}", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counted(chain.features)
         for batch in slices(batches):
             p = chain.probabilities(chain.vectors([count(t) for t in batch.column(at).to_pylist()]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, k]) for k in range(p.shape[1]))], [*names, *(f"p_{k}" for k in chain.names)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, k]) for k in range(p.shape[1]))], [*names, *(f"{prefix}{k}" for k in chain.names)])
 
     return docs.mapInArrow(run, schema)
