@@ -1,6 +1,6 @@
 """Inverted index and TF-IDF vectors.
 
-The long table of term frequencies feeds everything else. Its shuffle, by document and term, is the widest one; document
+The long table of term frequencies feeds everything else. The widest shuffle is that of the texts by document; document
 frequencies combine on the map side before theirs, and Spark reuses the first exchange for both.
 """
 
@@ -8,15 +8,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigraph.functions.text import is_indexed, stem, terms, words
 
 
 def term_frequencies(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, term, tf), without positions: words are exploded first, so filter and stem run as generated code."""
-    exploded = docs.select(key, F.explode(words(text)).alias("word")).where(is_indexed(F.col("word")))
+    """(key, term, tf), without positions: words are exploded first, so filter and stem run as generated code.
+
+    Texts are dealt by key before that, fewer bytes than their terms; counting by key and term then needs no exchange.
+    """
+    dealt = docs.select(key, text.alias("_text")).repartition(F.col(key))
+    exploded = dealt.select(key, F.explode(words(F.col("_text"))).alias("word")).where(is_indexed(F.col("word")))
     return exploded.select(key, stem(F.col("word")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
@@ -40,16 +44,21 @@ def document_frequencies(tf: DataFrame, docs: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(size)).select("term", "df", inverse_frequency(F.col("documents"), F.col("df")).alias("idf"))
 
 
+def with_idf(tf: DataFrame, idf: DataFrame) -> DataFrame:
+    """tf with idf by term. The hint keeps the far larger tf from being broadcast on an estimate of its file size."""
+    return tf.join(idf.select("term", "idf").hint("shuffle_hash"), "term")
+
+
 def weights(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """(key, term, weight) of unit length for each document; documents without terms have no rows."""
-    raw = tf.join(idf.select("term", "idf"), "term").select(key, "term", (damped(F.col("tf")) * F.col("idf")).alias("raw"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    raw = with_idf(tf, idf).select(key, "term", (damped(F.col("tf")) * F.col("idf")).alias("raw"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
 
 
 def norms(tf: DataFrame, idf: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """(key, norm) for every document; 0 without terms."""
-    raw = tf.join(idf.select("term", "idf"), "term").select(key, F.pow(damped(F.col("tf")) * F.col("idf"), 2).alias("square"))
+    raw = with_idf(tf, idf).select(key, F.pow(damped(F.col("tf")) * F.col("idf"), 2).alias("square"))
     return docs.select(key).join(raw.groupBy(key).agg(F.sqrt(F.sum("square")).alias("norm")), key, "left").select(key, F.coalesce("norm", F.lit(0.0)).alias("norm"))
 
 

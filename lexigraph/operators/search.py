@@ -13,9 +13,14 @@ from .index import Index, damped, inverse_frequency, term_frequencies
 BROADCAST_TERMS = 100_000
 
 
+def is_small(df: DataFrame, rows: int) -> bool:
+    """By a count that stops after ``rows``."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint where a bounded count shows that the table is small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """A broadcast hint where the table is small."""
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
@@ -23,16 +28,21 @@ def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
 
 
 def query_vectors(queries: DataFrame, idf: DataFrame, query_id: str = "query_id", text: str = "query") -> DataFrame:
-    """(query_id, term, weight) of unit length; terms that no document has are left out before the norm."""
+    """(query_id, term, weight) of unit length; terms that no document has are left out before the norm.
+
+    There is at most a row for each term asked, so few terms asked make a table to broadcast.
+    """
     asked = query_terms(queries, query_id, text)
-    raw = idf.join(small(asked, BROADCAST_TERMS), "term").select(query_id, "term", (damped(F.col("query_tf")) * F.col("idf")).alias("raw"))
+    few = is_small(asked, BROADCAST_TERMS)
+    raw = idf.join(F.broadcast(asked) if few else asked, "term").select(query_id, "term", (damped(F.col("query_tf")) * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(query_id)))
-    return raw.select(query_id, "term", (F.col("raw") / norm).alias("query_weight"))
+    vectors = raw.select(query_id, "term", (F.col("raw") / norm).alias("query_weight"))
+    return F.broadcast(vectors) if few else vectors
 
 
 def scores(vectors: DataFrame, weights: DataFrame, key: str, query_id: str = "query_id") -> DataFrame:
     """(query_id, key, score, matched_terms) of documents that share a term; only their postings are read past the join."""
-    hits = weights.join(small(vectors, BROADCAST_TERMS), "term")
+    hits = weights.join(vectors, "term")
     scored = hits.groupBy(query_id, key).agg(F.sum(F.col("query_weight") * F.col("weight")).alias("score"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
     return scored.where("score > 0")
 
@@ -66,4 +76,4 @@ def with_publications(hits: DataFrame, publications: DataFrame, key: str = "publ
     return publications.join(small(hits, BROADCAST_TERMS), key).orderBy("rank")
 
 
-__all__ = ["damped", "inverse_frequency", "query_terms", "query_vectors", "ranked", "scores", "search", "small", "with_publications"]
+__all__ = ["damped", "inverse_frequency", "is_small", "query_terms", "query_vectors", "ranked", "scores", "search", "small", "with_publications"]
