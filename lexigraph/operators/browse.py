@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigraph.functions.dates import shown
 from lexigraph.functions.text import present
 
 # Columns that browsing leaves out, sort orders by name.
@@ -88,7 +89,7 @@ def displayed(publications: DataFrame, zone: str = "UTC") -> DataFrame:
         F.coalesce(F.nullif(F.col("publication_year"), F.lit(0)).cast("string"), F.lit("Unknown year")).alias("year"),
         F.coalesce(present("source"), present("publication_type"), F.lit("No source recorded")).alias("source"),
         author_links().alias("authors"),
-        F.coalesce(F.date_format(F.from_utc_timestamp("updated_at", zone), "yyyy-MM-dd HH:mm"), F.lit("Unknown")).alias("updated"),
+        shown(F.col("updated_at"), zone).alias("updated"),
     )
 
 
@@ -97,4 +98,40 @@ def displayed_authors(authors: DataFrame) -> DataFrame:
 
 
 def displayed_runs(runs: DataFrame, zone: str = "UTC") -> DataFrame:
-    return runs.select(F.date_format(F.from_utc_timestamp("finished_at", zone), "yyyy-MM-dd HH:mm").alias("finished"), "status", "pages_visited", "publications_found", "publications_saved", F.coalesce(F.size("failed_urls"), F.lit(0)).alias("failed"))
+    return runs.select(shown(F.col("finished_at"), zone).alias("finished"), "status", "pages_visited", "publications_found", "publications_saved", F.coalesce(F.size("failed_urls"), F.lit(0)).alias("failed"))
+
+
+# Least, greatest and default number of rows or pages that a request may name.
+BOUNDS = {"browse": (5, 100, 25), "search": (5, 50, 10), "listing_pages": (1, 5, 1), "profile_pages": (0, 25, 0), "publications": (1, 100, 25)}
+
+
+def bounded(kind: str, value: int | None = None) -> int:
+    """The value if its kind allows it, the default if there is none."""
+    least, greatest, default = BOUNDS[kind]
+    value = default if value is None else value
+    if not least <= value <= greatest:
+        raise ValueError(f"{kind} must lie between {least} and {greatest}")
+    return value
+
+
+def displayed_clusters(summaries: DataFrame) -> DataFrame:
+    return summaries.select("cluster", "documents", "majority_category", F.array_join("top_terms", ", ").alias("top_terms"))
+
+
+def displayed_hits(hits: DataFrame) -> DataFrame:
+    """Search results as shown: rank, title, score to four places, matched terms."""
+    return hits.select("rank", F.coalesce(present("title"), F.lit("Untitled publication")).alias("title"), F.format_string("%.4f", "score").alias("score"), F.array_join("matched_terms", ", ").alias("matched"))
+
+
+def dashboard(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What an overview shows: one row of counts, index metadata, years, the first authors, the latest runs."""
+    none = [n for n in ("publications", "authors", "crawl_runs", "idf", "index_metadata") if n not in tables]
+    if none:
+        raise ValueError(f"missing tables: {', '.join(none)}")
+    return {
+        "counts": counts({n: tables[n] for n in ("publications", "authors", "crawl_runs", "idf")}).withColumnRenamed("idf", "terms"),
+        "metadata": tables["index_metadata"].where("name = 'publication_index'").limit(1),
+        "years": years(tables["publications"]),
+        "authors": authors_by_name(tables["authors"]),
+        "runs": latest_runs(tables["crawl_runs"]),
+    }
