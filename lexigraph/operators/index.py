@@ -89,6 +89,11 @@ class Index:
         entries = self.weights.groupBy(self.key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "weight")))).alias("vector"))
         return self.docs.join(entries, self.key, "left").withColumn("vector", F.coalesce("vector", F.create_map().cast("map<string,double>")))
 
+    def document_vectors(self, carried: list[str]) -> DataFrame:
+        """The stored form: key, carried columns, token_count, unique_term_count and the vector (empty without terms)."""
+        counts = token_counts(self.tf, self.docs, self.key)
+        return self.vectors().join(counts, self.key).select(self.key, *carried, "token_count", "unique_term_count", "vector")
+
     def metadata(self, name: str = "publication_index") -> DataFrame:
         documents = self.docs.agg(F.count("*").alias("document_count"))
         vocabulary = self.idf.agg(F.count("*").alias("vocabulary_size"))

@@ -44,13 +44,16 @@ def interval_seconds(days: float) -> int:
 
 
 def rebuild_index(store: Store) -> str:
-    """Writes postings, weights, idf and metadata as new versions; readers switch table by table to whole ones."""
+    """Writes postings, weights, idf, vectors and metadata as new versions; readers switch table by table to whole ones."""
     publications = store.read("publications")
     index = build(publications, "publication_key", indexed_text())
     store.replace("idf", index.idf)
     store.replace("weights", index.weights)
+    carried = ["title", "publication_url", "publication_year", "authors"]
+    at = F.lit(now())  # one time a build
+    store.replace("document_vectors", index.document_vectors(carried).withColumn("indexed_at", at))
     store.replace("inverted_index", postings(positions(publications, "publication_key", indexed_text()), "publication_key"))
-    meta = store.replace("index_metadata", index.metadata().withColumn("indexed_at", F.current_timestamp())).first()
+    meta = store.replace("index_metadata", index.metadata().withColumn("indexed_at", at)).first()
     return f"Indexed {meta['document_count']} documents with {meta['vocabulary_size']} terms."
 
 

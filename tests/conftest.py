@@ -16,7 +16,7 @@ def spark(tmp_path_factory):
     from lexigraph.session import session
 
     conf = {"spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}", "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))}
-    s = session("local[4]", 4, **conf)
+    s = session("local[4]", 2, **conf)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -70,6 +70,8 @@ def test_update_and_cli(spark, config, source, capsys):
     store = Store(spark, config.store)
     result = run_once(spark, config, source, store)
     assert result.publications_extracted == result.publications_saved == 4 and result.index_message.startswith("Indexed 4 documents")
+    stored = store.read("document_vectors").collect()
+    assert len(stored) == 4 and all(r["token_count"] >= r["unique_term_count"] == len(r["vector"]) > 0 and r["title"] for r in stored) and len({r["indexed_at"] for r in stored}) == 1
     run = store.read("crawl_runs").collect()
     assert len(run) == 1 and run[0]["status"] == "completed" and len(run[0]["failed_urls"]) == 2
     assert main(["search", "first part abstract"], config, source) == 0 and "1. Full p1" in capsys.readouterr().out
