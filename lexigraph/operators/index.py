@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from lexigraph.functions.text import is_indexed, stem, terms, words
 
 
+#: Documents of a term that one row of stored postings holds.
+SEGMENT = 100_000
+
+
 def term_frequencies(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, term, tf), without positions: words are exploded first, so filter and stem run as generated code.
 
@@ -75,6 +79,15 @@ def postings(placed: DataFrame, key: str) -> DataFrame:
     return own.groupBy("term").agg(F.count("*").alias("document_frequency"), F.array_sort(F.collect_list(posting)).alias("postings"))
 
 
+def segmented_postings(placed: DataFrame, key: str, most: int = SEGMENT) -> DataFrame:
+    """(term, segment, document_frequency, postings): a term of more than ``most`` documents, about, has several rows."""
+    own = placed.groupBy("term", key).agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    df = own.groupBy("term").agg(F.count("*").alias("document_frequency"))
+    parts = F.pmod(F.xxhash64(key), F.ceil(F.col("document_frequency") / most)).cast("int")
+    posting = F.struct(F.col(key), F.size("positions").alias("term_frequency"), "positions")
+    return own.join(df, "term").withColumn("segment", parts).groupBy("term", "segment", "document_frequency").agg(F.array_sort(F.collect_list(posting)).alias("postings"))
+
+
 @dataclass
 class Index:
     """The long tables that search reads; ``vectors`` also gives the map form."""

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lexigraph.config import EngineConfig
 from lexigraph.functions.text import indexed_text
-from lexigraph.operators.index import build, positions, postings
+from lexigraph.operators.index import build, positions, segmented_postings
 from lexigraph.operators.store import Store
 
 from .crawl import crawl, run_row
@@ -52,7 +52,7 @@ def rebuild_index(store: Store) -> str:
     carried = ["title", "publication_url", "publication_year", "authors"]
     at = F.lit(now())  # one time a build
     store.replace("document_vectors", index.document_vectors(carried).withColumn("indexed_at", at))
-    store.replace("inverted_index", postings(positions(publications, "publication_key", indexed_text()), "publication_key"))
+    store.replace("inverted_index", segmented_postings(positions(publications, "publication_key", indexed_text()), "publication_key"))
     meta = store.replace("index_metadata", index.metadata().withColumn("indexed_at", at)).first()
     return f"Indexed {meta['document_count']} documents with {meta['vocabulary_size']} terms."
 

@@ -41,6 +41,9 @@ def test_vectors_have_unit_length_or_none(built):
 def test_postings_and_counts(docs, built):
     got = {r["term"]: r for r in index.postings(index.positions(docs, "doc_id", F.col("text")), "doc_id").collect()}
     assert [(p["doc_id"], p["term_frequency"], p["positions"]) for p in got["rabbit"]["postings"]] == [(2, 1, [2]), (5, 3, [2, 3, 4])]
+    parts = index.segmented_postings(index.positions(docs, "doc_id", F.col("text")), "doc_id", 1).collect()
+    assert {(r["term"], p["doc_id"], p["term_frequency"]) for r in parts for p in r["postings"]} == {(t, p["doc_id"], p["term_frequency"]) for t, r in got.items() for p in r["postings"]}
+    assert all(r["document_frequency"] == got[r["term"]]["document_frequency"] for r in parts) and len(parts) > len(got)
     counts = {r[0]: (r[1], r[2]) for r in index.token_counts(built.tf, docs, "doc_id").collect()}
     assert counts[5] == (5, 3) and counts[3] == (0, 0)
     norms = {r[0]: r[1] for r in index.norms(built.tf, built.idf, docs, "doc_id").collect()}
