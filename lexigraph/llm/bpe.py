@@ -5,8 +5,10 @@ table's entries joined back by position. Decoding joins ids to their pieces. The
 outlives it in a reused worker): a table shared by all tasks would need every occurrence of every word shuffled to it
 and back, several times the size of the texts.
 
-Texts that the split rules below do not cover for certain (code points from U+0250 on, the separators U+001C to U+001F,
-anything that looks like a special token) go through the library whole, so results are the library's in every case.
+Splitting, hashing and joining work on arrays of code points of many texts at once; a word is known by two 64-bit hashes
+and its length. Texts that the split rules below do not cover for certain (code points from U+0250 on or with such a
+small letter, the separators U+001C to U+001F, anything that looks like a special token) go through the library whole, so results are the library's
+in every case.
 
 Null texts are empty texts, and an empty text has no ids. Repeated rows and doc_ids give one result each. Columns
 other than the two named are not read.
@@ -15,8 +17,9 @@ other than the two named are not read.
 from __future__ import annotations
 
 import re
-from array import array
+import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +27,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_CHARS, Table, slices
+from .common import SLICE_CHARS, slices
 
 #: Texts with these go through the library whole: special tokens may start with SPECIAL.
-WHOLE = re.compile("[^\x00-\x1b\x20-ɏ]")
-SEPARATORS, SPECIAL = "\x1c\x1d\x1e\x1f", "<|"
-#: The word pattern of the tokenizer file.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WHOLE = re.compile("[^\x00-\x1b\x20-\u0239\u023b-\u023d\u023f-\u024f]")
+SEPARATORS, SPECIAL, SPACE = "\x1c\x1d\x1e\x1f", "<|", re.compile(r"\s")
+#: Characters that are split at once; slots of the word table, and ids that it holds before it is emptied.
+BLOCK, SLOTS, HELD_IDS = 1 << 18, 1 << 21, 8_000_000
+#: Characters up to which a word is hashed; and the bases of the two hash polynomials.
+LONGEST = 1 << 21
+BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+_LETTER, _NUMBER, _OTHER = 1, 2, 3
 
 _coders: dict[str, "Coder"] = {}
 
@@ -42,40 +49,130 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(rest)) for b in range(256)]
 
 
+def kinds() -> np.ndarray:
+    """White space 0, letter, number or other, for the code points that plain texts have after lower()."""
+    kind = lambda c: 0 if c.isspace() else {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(c)[0], _OTHER)
+    return np.array([kind(chr(i)) for i in range(0x310)], np.uint8)
+
+
+def pieces(kind: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a text: runs of letters, single numbers, runs of others, and contractions, which
+    take "'" (alone) and s, t, m, d, re, ve or ll from what follows."""
+    edge = np.empty(len(kind) + 1, bool)
+    edge[0] = edge[-1] = True
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
+    edge[:-1] |= kind == _NUMBER
+    if "'" in text:
+        for m in re.finditer("'(?:[stmd]|re|ve|ll)", text):
+            at = m.start()
+            if edge[at] and edge[at + 1]:
+                edge[at + 1] = False
+                edge[m.end()] = True
+    bounds = np.flatnonzero(edge)
+    starts, ends = bounds[:-1], bounds[1:]
+    words = kind[starts] != 0
+    return starts[words], ends[words]
+
+
 class Coder:
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.model, self.find = self.library.model, regex.compile(WORDS).findall
-        self.letters = byte_letters()
+        self.model, self.letters, self.kinds = self.library.model, byte_letters(), kinds()
         size = self.library.get_vocab_size(with_added_tokens=True)
-        self.kind = "H" if size <= 1 << 16 else "I"
-        self.dtype = np.dtype("<u2" if self.kind == "H" else "<u4")
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.pieces = np.array([self.library.id_to_token(i) or "" for i in range(size)], dtype=object)
-        self.words = Table(self._chunk, 400_000)
-
-    def _word(self, word: str) -> bytes:
-        spelled = word if word.isascii() and word.isalpha() else "".join([self.letters[b] for b in word.encode()])
-        return array(self.kind, [t.id for t in self.model.tokenize(spelled)]).tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        """A word's ids; those of a longer chunk from its words' entries."""
-        if chunk.isalpha():
-            return self._word(chunk)
-        if chunk[:-1].isalpha() and chunk[-1] in ".,!?;:|":
-            return self.words[chunk[:-1]] + self.words[chunk[-1]]
-        words = self.find(chunk)
-        return b"".join([self.words[w] for w in words]) if len(words) > 1 else self._word(chunk)
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian integers of ``dtype``."""
-        if SPECIAL in text or (any(map(text.__contains__, SEPARATORS)) if text.isascii() else WHOLE.search(text)):
-            return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.words.__getitem__, text.lower().split()))
+        self.powers = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in BASES]
+        self.first, self.second = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
+        self.at, self.size = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int32)
+        self.flat, self.held = np.zeros(1 << 16, self.dtype), 0
+
+    def _hashes(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        out, n = [], len(points) + 1
+        for held, base in zip(self.powers, BASES):
+            if len(held[0]) < n:
+                for i, b in enumerate((base, pow(base, -1, 1 << 64))):
+                    held[i] = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(max(n, 2 * BLOCK), b, np.uint64))))
+            sums = np.zeros(n, np.uint64)
+            np.cumsum((points + np.uint32(1)) * held[0][: n - 1], out=sums[1:])
+            h = (sums[ends] - sums[starts]) * held[1][starts] + (ends - starts).astype(np.uint64)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            out.append((h ^ (h >> np.uint64(29))) | np.uint64(1))
+        return out
+
+    def _learn(self, words: list[str], slots: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes words and puts them into their slots; returns where their ids are and how many."""
+        tokenize, letters = self.model.tokenize, self.letters
+        ids = [[t.id for t in tokenize(w if w.isascii() and w.isalpha() else "".join([letters[b] for b in w.encode()]))] for w in words]
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        at = self.held + np.cumsum(size) - size
+        more = int(size.sum())
+        if self.held + more > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), more), self.dtype)])
+        self.flat[self.held : self.held + more] = np.fromiter(chain.from_iterable(ids), self.dtype, more)
+        self.held += more
+        self.first[slots], self.second[slots], self.at[slots], self.size[slots] = first, second, at, size
+        return at, size
+
+    def _block(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of a plain lower-case text, the starts of its words and how many ids each has."""
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        starts, ends = pieces(self.kinds[points], text)
+        first, second = self._hashes(points, starts, ends)
+        slots = (first >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+        if self.held > HELD_IDS:
+            self.first[:], self.held = 0, 0
+        at, size = self.at[slots], self.size[slots]
+        missing = np.flatnonzero((self.first[slots] != first) | (self.second[slots] != second))
+        if len(missing):
+            _, where, back = np.unique(first[missing], return_index=True, return_inverse=True)
+            new = missing[where]
+            words = [text[i:j] for i, j in zip(starts[new].tolist(), ends[new].tolist())]
+            places, sizes = self._learn(words, slots[new], first[new], second[new])
+            at[missing], size[missing] = places[back], sizes[back]
+        ids_at = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return self.flat[ids_at], starts, size
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, as integers of ``dtype``."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        parts: list[tuple[int, str]] = []
+        ends: list[tuple[int, np.ndarray]] = []  # of texts that end in a word too long to hash
+        for i, text in enumerate(texts):
+            if not text:
+                out[i] = np.zeros(0, self.dtype)
+            elif SPECIAL in text or (any(map(text.__contains__, SEPARATORS)) if text.isascii() else WHOLE.search(text)):
+                out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
+            else:
+                low, start = text.lower(), 0
+                while len(low) - start > BLOCK and (gap := SPACE.search(low, start + BLOCK)) and gap.start() - start <= LONGEST:
+                    parts.append((i, low[start : gap.start()]))
+                    start = gap.end()
+                if len(low) - start > LONGEST:
+                    ends.append((i, np.array(self.library.encode(low[start:], add_special_tokens=False).ids, self.dtype)))
+                else:
+                    parts.append((i, low[start:]))
+        found: dict[int, list[np.ndarray]] = {}
+        group: list[tuple[int, str]] = []
+        held = 0
+        for k, part in enumerate(parts):
+            group.append(part)
+            held += len(part[1])
+            if held >= BLOCK or k + 1 == len(parts):
+                ids, starts, size = self._block("\n".join([p for _, p in group]))
+                after = np.cumsum([len(p) + 1 for _, p in group])
+                cuts = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(starts, after)]
+                for (i, _), own in zip(group, np.split(ids, cuts[:-1])):
+                    found.setdefault(i, []).append(own)
+                group, held = [], 0
+        for i, own in ends:
+            found.setdefault(i, []).append(own)
+        for i, own in found.items():
+            out[i] = own[0] if len(own) == 1 else np.concatenate(own)
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """Pieces joined by one space, as the library does for a file without a decoder."""
@@ -97,9 +194,9 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
         for batch in slices(batches):
-            parts = [c.encode(t or "") for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, parts)]) // c.dtype.itemsize
-            ids = np.frombuffer(b"".join(parts), c.dtype).astype(np.int32)
+            parts = c.encode_all(batch.column(1).to_pylist())
+            ends = np.cumsum([0, *map(len, parts)])
+            ids = np.concatenate(parts).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], ["doc_id", "ids"])
 
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")

@@ -58,11 +58,11 @@ def hilbert(axes: np.ndarray, bits: int = BITS) -> np.ndarray:
 def _counted(docs: DataFrame, path: str, end_id: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, project = coder(path), projection()
-        end = np.array([end_id], c.dtype).tobytes()
+        end = c.dtype.type(end_id)
         for batch in slices(batches):
             vectors, tails, tokens, sums = np.zeros((batch.num_rows, HASHED), np.float32), [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.frombuffer(c.encode(text or "") + end, c.dtype)
+            for i, part in enumerate(c.encode_all(batch.column(1).to_pylist())):
+                ids = np.append(part, end)
                 vectors[i] = np.bincount(ids % HASHED, minlength=HASHED)
                 full = len(ids) // length * length
                 sums.append([zlib.crc32(ids[a : a + length].astype("<u4").tobytes()) for a in range(0, full, length)])

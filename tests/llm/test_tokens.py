@@ -29,15 +29,18 @@ def test_every_letter_that_is_split_here(library):
     c = bpe.Coder(PATH)
     texts = [f"a{chr(i)}b {chr(i)} {chr(i)}'s Q{chr(i)}, '{chr(i)}" for i in range(0x260)] + ["don't I'LL we'Re x''s 'S ''ve 12.5|a,b c! d; e", "<| |> <|endoftext|>", "İ ss ẞ"]
     for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
-        assert np.frombuffer(c.encode(text), c.dtype).tolist() == want.ids, text
+        assert c.encode_all([text])[0].tolist() == want.ids, text
+    assert [x.tolist() for x in c.encode_all(texts)] == [w.ids for w in library.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_table_is_bounded_and_right_when_full(library):
+def test_table_is_bounded_and_right_when_full(library, monkeypatch, prose):
+    monkeypatch.setattr(bpe, "HELD_IDS", 50)
+    monkeypatch.setattr(bpe, "SLOTS", 1 << 4)
+    monkeypatch.setattr(bpe, "BLOCK", 500)
     c = bpe.Coder(PATH)
-    c.words.limit = 3
-    text = "one two three four, five! six one two seven"
-    assert np.frombuffer(c.encode(text), c.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
-    assert len(c.words) <= 3 and len(c.words.old) <= 3
+    texts = prose(20) * 2
+    assert [x.tolist() for x in c.encode_all(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(c.first) == 16 and c.held <= 50 + 4 * 1000
 
 
 def test_roundtrip_of_odd_rows(spark, make_docs, odd_rows, library):
