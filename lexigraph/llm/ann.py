@@ -3,8 +3,8 @@
 Coarse centroids and residual codebooks are fitted on a bounded sample; every row is assigned to its centroid's list and
 coded. A query probes its best lists: within one, asymmetric distance tables rank the codes and the best RERANK rows
 are scored on the original vectors in double precision. How many lists a query probes is the least number that finds
-PROBE_RECALL of the sample's own neighbours. A row below the score of the k-th best of the sample cannot be among the
-k best of all, so it is not sent on.
+PROBE_RECALL of the sample's own neighbours, and as many more as hold enough rows. A few rows, the pilots, are always
+scored; a row below the k-th best pilot of a query's lists cannot be among the k best found, so it is not sent on.
 
 Lists are cut into blocks of rows and of queries, so that no task holds a list whole. Rows whose vector is null, empty,
 zero, or holds null or non-finite components take no part, nor do those of another length than the longest. Rows that
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import durable
 
 SAMPLE_ROWS, SAMPLE_QUERIES, MOST_LISTS = 20_000, 256, 1024
-SUBSPACES, CODES, STEPS, RERANK, PROBE_RECALL = 16, 256, 8, 200, 0.985
+#: Pilots are at most this many, and one row in so many.
+PILOTS, PILOT_SHARE = 8192, 8
+SUBSPACES, CODES, STEPS, RERANK, PROBE_RECALL = 16, 256, 8, 100, 0.985
 BLOCK_ROWS, BLOCK_QUERIES, SEED = 2048, 512, 3
 
 
@@ -65,9 +67,11 @@ class Index:
     dims: int
     coarse: np.ndarray
     books: np.ndarray
-    sample: np.ndarray
-    sample_ids: np.ndarray
+    pilots: np.ndarray
+    pilot_ids: np.ndarray
+    pilot_lists: np.ndarray
     probes: int = 1
+    sizes: np.ndarray | None = None
 
     def padded(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, self.books.shape[0] * self.books.shape[2] - self.dims)))
@@ -81,18 +85,22 @@ class Index:
         """(queries, subspaces, codes): a query's inner product with each codeword."""
         return np.einsum("qmw,mcw->qmc", self.padded(q).reshape(len(q), *self.books.shape[::2]), self.books)
 
-    def lists(self, q: np.ndarray) -> np.ndarray:
-        return np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")[:, : self.probes]
+    def lists(self, q: np.ndarray, k: int) -> list[np.ndarray]:
+        """Each query's best lists: ``probes`` of them, more until they hold k rows besides the query's own."""
+        best = np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")
+        enough = (np.cumsum(self.sizes[best], axis=1) > k).argmax(1) + 1
+        enough[self.sizes.sum() <= k] = len(self.coarse)
+        return [b[: max(self.probes, n)] for b, n in zip(best, enough)]
 
-    def floors(self, q: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-        """For each query the k-th best score in the sample, its own row apart; -inf if there are fewer."""
+    def floors(self, q: np.ndarray, ids: np.ndarray, lists: list[np.ndarray], k: int) -> np.ndarray:
+        """For each query the k-th best score of the pilots in its lists, its own row apart; -inf if there are fewer."""
         out = np.full(len(q), -np.inf)
-        if len(self.sample) > k:
-            for i in range(0, len(q), 256):
-                s = q[i : i + 256] @ self.sample.T
-                s[ids[i : i + 256, None] == self.sample_ids[None, :]] = -np.inf
-                out[i : i + 256] = np.partition(s, -k, axis=1)[:, -k]
-        return out - 1e-6 * np.maximum(1, np.abs(np.where(np.isfinite(out), out, 0)))
+        for i, own in enumerate(lists):
+            s = (self.pilots @ q[i])[np.isin(self.pilot_lists, own) & (self.pilot_ids != ids[i])]
+            if len(s) >= k:
+                least = np.partition(s, -k)[-k]
+                out[i] = least - 1e-6 * max(1, abs(least))
+        return out
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -109,14 +117,15 @@ def fit(rows: DataFrame, k: int) -> Index | None:
         rows = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * SAMPLE_ROWS / there))
     got = rows.toArrow()  # about SAMPLE_ROWS rows
     ids, x = got["vec_id"].to_numpy(), matrix(got["embedding"].combine_chunks(), dims)
-    order = np.argsort(ids)
-    ids, x = ids[order], x[order]
     rng = np.random.default_rng(SEED)
+    order = rng.permutation(np.argsort(ids))
+    ids, x = ids[order], x[order]
     coarse = kmeans(x, 1 << max(0, min(int(math.log2(MOST_LISTS)), int(math.log2(max(1, math.sqrt(there) / 2))))), rng)
     own, wide = nearest(x, coarse), -(-dims // SUBSPACES)
     residual = np.pad(x - coarse[own], ((0, 0), (0, SUBSPACES * wide - dims)))
     books = [kmeans(residual[:, m * wide : (m + 1) * wide], CODES, rng) for m in range(SUBSPACES)]
-    index = Index(dims, coarse, np.stack(books), x, ids)
+    few = min(PILOTS, int(there) // PILOT_SHARE, len(x))
+    index = Index(dims, coarse, np.stack(books), x[:few], ids[:few], own[:few])
     asked = rng.choice(len(x), min(SAMPLE_QUERIES, len(x)), replace=False)
     scores = x[asked] @ x.T
     scores[np.arange(len(asked)), asked] = -np.inf
@@ -148,8 +157,9 @@ def probing(queries: DataFrame, index: Index, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q = matrix(batch.column(1), held.value.dims)
-            floors = held.value.floors(q, batch.column(0).to_numpy(), k)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floors), pa.array(held.value.lists(q).tolist(), pa.list_(pa.int32()))], ["query_id", "query", "floor", "lists"])
+            lists = held.value.lists(q, k)
+            floors = held.value.floors(q, batch.column(0).to_numpy(), lists, k)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floors), pa.array(lists, pa.list_(pa.int32()))], ["query_id", "query", "floor", "lists"])
 
     asked = valid(queries, index.dims).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return asked.mapInArrow(run, "query_id bigint, query array<double>, floor double, lists array<int>").select("query_id", "query", "floor", F.explode("lists").alias("list"))
@@ -162,8 +172,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     index = fit(rows, k)
     if index is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    held = spark.sparkContext.broadcast(index)
     coded = durable(assigned(rows, index), "coded")
+    index.sizes = np.zeros(len(index.coarse), np.int64)
+    for r in coded.groupBy("list").agg(F.count("*").alias("n")).collect():
+        index.sizes[r["list"]] = r["n"]
+    held = spark.sparkContext.broadcast(index)
     probes = durable(probing(rows.where(is_query), index, k), "probes")
     # One row a list, MOST_LISTS at most
     row_blocks = coded.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("row_blocks"))
@@ -186,15 +199,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             codes = np.frombuffer(b"".join(there["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
             q, query_ids, floors = matrix(asked["query"].combine_chunks(), at.dims), asked["query_id"].to_numpy(), asked["floor"].to_numpy()
             base = q @ at.coarse[asked["list"][0].as_py()]
+            pilots = np.flatnonzero(np.isin(ids, at.pilot_ids))
             for i in range(0, len(q), 64):
                 tables = at.tables(q[i : i + 64])
                 near = np.repeat(base[i : i + 64, None], len(ids), 1)
                 for m in range(codes.shape[1]):
                     near += tables[:, m, codes[:, m]]
-                near[query_ids[i : i + 64, None] == ids[None, :]] = -np.inf
                 top = np.argsort(-near, axis=1, kind="stable")[:, :RERANK]
                 for j, t in enumerate(top, i):
-                    t = np.sort(t[near[j - i, t] > -np.inf])
+                    t = np.union1d(t, pilots)
+                    t = t[ids[t] != query_ids[j]]
                     score = (x[t] * q[j]).sum(1)
                     best = np.argsort(-score, kind="stable")[:k]
                     best = best[score[best] >= floors[j]]
