@@ -123,12 +123,13 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", described_b
     # FIT_ROWS bounds this side: 16 bytes a row
     stats = docs if described_before else described(docs.join(F.broadcast(usable.select("doc_id")), "doc_id", "left_semi"))
     rows = stats.join(F.broadcast(usable), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(FOLDS)).cast("int"))
-    rows = durable(rows.repartition(SUM_TASKS, "doc_id"), "fit")
+    # In order, and with rounded moments, so that a fit repeats to the last bit
+    rows = durable(rows.repartition(SUM_TASKS, "doc_id").sortWithinPartitions("doc_id"), "fit")
     rng = np.random.default_rng(SEED)
     moments = rows.select(F.count("*"), F.avg("y"), *(f(F.col("stats")[i].cast("double")) for f in (F.avg, F.stddev_pop) for i in range(NAMES))).first()
     n, prior = moments[0], moments[1]
-    mean = np.array([x or 0.0 for x in moments[2 : 2 + NAMES]])
-    scale = np.maximum(np.array([x or 0.0 for x in moments[2 + NAMES :]]), 1e-3)
+    mean = np.round([x or 0.0 for x in moments[2 : 2 + NAMES]], 6)
+    scale = np.maximum(np.round([x or 0.0 for x in moments[2 + NAMES :]], 6), 1e-3)
     width = np.sqrt(NAMES)
     model = Model(mean, scale, rng.normal(size=(NAMES, FEATURES)) / width, rng.uniform(0, 2 * np.pi, FEATURES), np.zeros(FEATURES + 1), [], np.array([0.0, 1.0]), np.full(2, 0.5 if prior is None else prior))
     if not n or prior in (0.0, 1.0):
@@ -136,17 +137,21 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", described_b
     d = FEATURES + 1
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, right = np.zeros((FOLDS, d, d)), np.zeros((FOLDS, d))
+        gram, right, first = np.zeros((FOLDS, d, d)), np.zeros((FOLDS, d)), None
         for batch in batches:
+            if first is None and batch.num_rows:
+                first = batch.column(3)[0].as_py()
             z, y, fold = model.features(_stacked(batch, "stats")), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for f in range(FOLDS):
                 own = fold == f
                 gram[f] += z[own].T @ z[own]
                 right[f] += z[own].T @ y[own]
-        yield pa.RecordBatch.from_pydict({"gram": [gram.tobytes()], "right": [right.tobytes()]})
+        yield pa.RecordBatch.from_pydict({"gram": [gram.tobytes()], "right": [right.tobytes()], "first": pa.array([first], pa.int64())})
 
     gram, right = np.zeros((FOLDS, d, d)), np.zeros((FOLDS, d))
-    for row in rows.select("stats", "y", "fold").mapInArrow(summed, "gram binary, right binary").toLocalIterator():
+    # SUM_TASKS rows at most: their number of folds and features is fixed
+    sums = rows.select("stats", "y", "fold", "doc_id").mapInArrow(summed, "gram binary, right binary, first bigint").where("first IS NOT NULL").collect()
+    for row in sorted(sums, key=lambda r: r[2]):
         gram += np.frombuffer(row[0]).reshape(gram.shape)
         right += np.frombuffer(row[1]).reshape(right.shape)
     penalty = np.eye(d) * RIDGE * n / FEATURES
