@@ -7,7 +7,7 @@ Two texts agree in a position with a chance of their generalised Jaccard similar
 
 Null texts are empty texts; a text without words has the fingerprint "empty", which is like itself only. Rows that
 repeat a doc_id count as one document, with the greatest of their texts. A single document is its own next document.
-An empty table gives no rows. Columns other than doc_id and text are not read.
+Rows without a doc_id have no place in the order and get no row. An empty table gives no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -28,15 +28,17 @@ from .common import Table, durable, slices, text_or_empty
 from .graph import components
 
 WORDS, THRESHOLD, EPSILON = 5, 0.8, 1e-9
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 16, 4
 #: Entries of the document frequency table: words share an entry by hash, which can only lower their weight.
 FREQUENCIES = 1 << 18
 #: Elements that one sampling step holds, and texts in a block of a scanned bucket.
 BLOCK, SCAN = 4096, 256
+#: Parts of a large class when its least doc_id is joined to its texts.
+SALTS = 16
 #: Weights are sampled in steps of an eighth of a power of two; the similarity that decides uses them as they are.
 LEVELS_A_DOUBLING, VARIATES = 8, 1 << 12
-#: Bytes that are hashed at once, and the base of the hash polynomials.
-TEXT_BLOCK, BASE = 1 << 18, 0xD6E8FEB86659FD93
+#: Bytes that are hashed at once and in a word, and the base of the hash polynomials.
+TEXT_BLOCK, LONGEST, BASE = 1 << 18, 1 << 21, 0xD6E8FEB86659FD93
 #: Stands for a missing doc_id.
 NO_ID = (1 << 63) - 1
 _MASK = (1 << 64) - 1
@@ -75,24 +77,38 @@ def block_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
-    """64 bits for each word of each text, by polynomials over the bytes of many texts at once."""
-    sizes, parts = [], []
+    """64 bits for each word of each text, by polynomials over the bytes of many texts at once.
+
+    A word of more than LONGEST bytes counts as several. Texts beyond that size are hashed alone.
+    """
+    out: list[np.ndarray] = []
+    group: list[bytes] = []
     for t in texts:
-        parts.append((t or "").lower().encode("utf-8", "surrogatepass"))
-        sizes.append(len(parts[-1]) + 1)
+        raw = (t or "").lower().encode("utf-8", "surrogatepass")
+        if len(raw) > LONGEST:
+            out += [*_hashes_of(group), *_hashes_of([raw])]
+            group = []
+        else:
+            group.append(raw)
+    return out + _hashes_of(group)
+
+
+def _hashes_of(parts: list[bytes]) -> list[np.ndarray]:
+    if not parts:
+        return []
     raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     found, places, at = [], [], 0
     while at < len(raw):
         end = min(at + TEXT_BLOCK, len(raw))
-        while end < len(raw) and _WORD[raw[end - 1]]:
+        while end < len(raw) and end - at < LONGEST and _WORD[raw[end - 1]]:
             gap = np.flatnonzero(~_WORD[raw[end : end + 4096]])
             end += int(gap[0]) + 1 if len(gap) else 4096
         h, starts = block_hashes(raw[at : min(end, len(raw))])
         found.append(h)
         places.append(starts + at)
         at = end
-    cuts = np.searchsorted(np.concatenate(places), np.cumsum(sizes)[:-1]) if found else []
-    return np.split(np.concatenate(found), cuts) if found else []
+    cuts = np.searchsorted(np.concatenate(places), np.cumsum([len(p) + 1 for p in parts])[:-1])
+    return np.split(np.concatenate(found), cuts)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -251,10 +267,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     signed = durable(docs.mapInArrow(sampled, "doc_id bigint, digest binary, buckets array<bigint>"), "signed")
     texts = signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets"))
     members = durable(texts.select("digest", "doc_id", F.explode("buckets").alias("bucket")), "members")
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # Aggregates are written before they are joined, so that adaptive execution can split a hot bucket or digest
+    sizes = durable(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     members = durable(members.join(sizes, "bucket"), "shared")
     wanted = members.groupBy("digest", "doc_id").agg(F.sum("n").alias("central"))
     leaders = members.join(wanted, ["digest", "doc_id"]).groupBy("bucket").agg(F.max(F.struct("central", "digest"))["digest"].alias("leader"))
+    leaders = durable(leaders, "leaders")
     texts = durable(docs.join(wanted, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select("digest", "text"), "candidates")
     pairs = members.join(leaders, "bucket").where("digest <> leader").select(F.least("leader", "digest").alias("a"), F.greatest("leader", "digest").alias("b")).distinct()
     links = _verified(pairs, texts, idf, threshold)
@@ -263,11 +281,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     more = _scanned(durable(named, "named"), texts, idf, threshold)
     if not more.isEmpty():
         found = components(links.union(more))
-    one = signed.select("doc_id", "digest").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    one = durable(one, "classed")
-    least = one.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    least = durable(signed.groupBy("digest").agg(F.min("doc_id").alias("least_id")), "least")
+    linked = durable(found.select(F.col("node").alias("digest"), "component").join(least, "digest"), "linked")
+    salt, salts = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    heads = linked.groupBy("component").agg(F.min("least_id").alias("class_id")).select("component", "class_id", salts)
+    named = linked.select("digest", "component", salt).join(heads, ["component", "salt"]).select("digest", "class_id")
+    classed = durable(least.join(named, "digest", "left").select("digest", F.coalesce("class_id", "least_id").alias("class_id")), "classed")
     known = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
-    return one.join(least, "component").select(known("doc_id"), "digest", known("class_id"))
+    return signed.select("doc_id", "digest").join(classed, "digest").select(known("doc_id"), "digest", known("class_id"))
 
 
 def identity() -> Column:
@@ -280,9 +301,12 @@ def digest_of(text: str) -> Column:
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the document of least doc_id, once."""
+    """The rows of ``docs`` that stay: of each class the document of least doc_id, once.
+
+    Different texts of one doc_id that are not near duplicates all stay.
+    """
     keep = classes(docs, threshold).where("doc_id <=> class_id").select(identity().alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct()
-    order = Window.partitionBy("_kept_id").orderBy("_kept_digest")
+    order = Window.partitionBy("_kept_id", "_kept_digest").orderBy("_kept_digest")
     kept = docs.withColumns({"_kept_id": identity(), "_kept_digest": digest_of("text")}).join(keep, ["_kept_id", "_kept_digest"], "left_semi")
     return kept.withColumn("_kept_turn", F.row_number().over(order)).where("_kept_turn = 1").select(docs.columns)
 
@@ -307,6 +331,7 @@ def _scanned(named: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
     held = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.bit_xor(told).alias("x"), F.bit_xor(F.xxhash64(told)).alias("y"))
     # Buckets of the same texts are scanned once
     apart = held.where("low <> high").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / SCAN).cast("int").alias("blocks"))
+    apart = durable(apart, "apart")
     rows = named.join(apart, "bucket").withColumn("own", F.pmod(told, F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = ["bucket", "i", "j"]
