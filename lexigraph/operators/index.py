@@ -30,7 +30,8 @@ def term_frequencies(docs: DataFrame, key: str, text: Column) -> DataFrame:
 
 def positions(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, term, position): places count after filtering."""
-    return docs.select(key, F.posexplode(terms(text)).alias("position", "term"))
+    dealt = docs.select(key, text.alias("_text")).repartition(F.col(key))
+    return dealt.select(key, F.posexplode(terms(F.col("_text"))).alias("position", "term"))
 
 
 def damped(tf: Column) -> Column:
