@@ -35,8 +35,8 @@ FREQUENCIES = 1 << 18
 BLOCK, SCAN = 4096, 256
 #: Parts of a large class when its least doc_id is joined to its texts.
 SALTS = 16
-#: Weights are sampled in steps of an eighth of a power of two; the similarity that decides uses them as they are.
-LEVELS_A_DOUBLING, VARIATES = 8, 1 << 12
+#: Expected samples below the first bound of a text's search, and the factor by which a bound that held none grows.
+BOUND, WIDER = 3.0, 4.0
 #: Bytes that are hashed at once and in a word, and the base of the hash polynomials.
 TEXT_BLOCK, LONGEST, BASE = 1 << 18, 1 << 21, 0xD6E8FEB86659FD93
 #: Stands for a missing doc_id.
@@ -169,62 +169,138 @@ def similarities(texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return np.divide(common, either, out=np.zeros_like(common), where=either > 0)
 
 
+class Curve:
+    """A function on an even grid, by linear interpolation; its ends hold beyond it."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, points: int = 1 << 13):
+        self.low, self.scale, self.most = x[0], (points - 1) / (x[-1] - x[0]), points - 1
+        self.y = np.interp(np.linspace(x[0], x[-1], points), x, y)
+        self.rise = np.append(np.diff(self.y), 0)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        place = np.clip((x - self.low) * self.scale, 0, self.most)
+        cell = place.astype(np.int64)
+        return self.y[cell] + self.rise[cell] * (place - cell)
+
+
+def tail_curves() -> tuple[Curve, Curve, Curve]:
+    """ln x by the logit of F(x) = x E1(x) + 1 - exp(-x), ln E1(x) by ln x, and ln x by -ln E1(x); E1 is the exponential integral."""
+    s = np.linspace(-34, 4, 1 << 16)
+    x = np.exp(s)
+    slope = np.exp(-x)
+    parts = (slope[1:] + slope[:-1]) / 2 * np.diff(s)
+    e1 = np.append(np.cumsum(parts[::-1])[::-1], 0) + slope[-1] / (x[-1] + 1)
+    logit = np.log(x * e1 - np.expm1(-x)) - np.log(slope - x * e1)
+    inside = np.abs(logit) < 24
+    return Curve(logit[inside], s[inside]), Curve(s, np.log(e1)), Curve(-np.log(e1), s)
+
+
 class Sampler:
-    """Improved consistent weighted sampling. All tasks build the same table of gamma and uniform variates and, from it,
-    a value for each variate and each level of weight; an element's hash picks its variates anew in each sample."""
+    """Improved consistent weighted sampling. An element's hash draws its gamma variates r and c and its uniform beta anew
+    in each sample, so that however many elements a text has, no two share them.
+
+    An element's value c exp(-r (t - beta + 1)) is at least x / weight with x = c exp(-r). The density of x is E1(x), so 32
+    bits of hash give F(x) and most elements are passed over by comparing them; for the others c follows from x: m has the
+    density exp(-m) / m beyond x, and c exceeds m by an exponential variate.
+    """
 
     def __init__(self, bands: int = BANDS, rows: int = ROWS, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.bands, self.rows, k = bands, rows, bands * rows
         self.odd = (rng.integers(0, 1 << 31, k, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
         self.shift = rng.integers(0, 1 << 32, k, dtype=np.uint32)
-        self.r, self.beta = rng.gamma(2, 1, VARIATES), rng.random(VARIATES)
-        self.ln_c = np.log(rng.gamma(2, 1, VARIATES))
-        self.values, self.known = np.zeros((0, VARIATES), np.float32), np.zeros(0, np.int64)
-
-    def steps(self, level: np.ndarray | int) -> np.ndarray:
-        """t for each variate at a weight of 2 ** (level / LEVELS_A_DOUBLING)."""
-        return np.floor(level * np.log(2) / LEVELS_A_DOUBLING / self.r + self.beta)
-
-    def level_rows(self, levels: np.ndarray) -> np.ndarray:
-        """Which row of ``values`` holds each level, made when first needed."""
-        for level in np.setdiff1d(levels, self.known):
-            value = self.ln_c - self.r * (self.steps(int(level)) - self.beta + 1)
-            self.values, self.known = np.vstack([self.values, value[None].astype(np.float32)]), np.append(self.known, level)
-        order = np.argsort(self.known)
-        return order[np.searchsorted(self.known, levels, sorter=order)]
+        self.salt = rng.integers(0, 1 << 63, k, dtype=np.uint64)
+        self.ln_x_of, self.ln_e1_of, self.ln_beyond_of = tail_curves()
+
+    def drawn(self, h: np.ndarray, ln_weight: np.ndarray, u: np.ndarray, sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The logarithm of each element's value in its sample, and t."""
+        bits = mixed(mixed(h + self.salt[sample]))
+        beta = (mixed(bits + _MIX) >> np.uint64(11)) * 2.0**-53
+        first, second = ((b + 0.5) * 2.0**-32 for b in (bits >> np.uint64(32), bits & np.uint64(0xFFFFFFFF)))
+        below = u + 0.5
+        ln_x = self.ln_x_of(np.log(below / (2.0**32 - below)))
+        ln_c = np.log(np.exp(self.ln_beyond_of(-self.ln_e1_of(ln_x) - np.log(first))) - np.log(second))
+        r = np.maximum(ln_c - ln_x, 1e-12)
+        t = np.floor(ln_weight / r + beta)
+        return ln_c - r * (t - beta + 1), t.astype(np.int64)
 
     def samples(self, h: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """bands * rows identities (element and its quantised weight) of a text's samples."""
-        k = len(self.odd)
-        rows, least, out = np.arange(k), np.full(k, np.inf, np.float32), np.zeros(k, np.uint64)
-        level = np.rint(np.log2(weight) * LEVELS_A_DOUBLING).astype(np.int64)
-        base = self.level_rows(level) * VARIATES
-        flat, small = self.values.ravel(), (h >> np.uint64(32)).astype(np.uint32)
-        for at in range(0, len(h), BLOCK):
-            p = small[None, at : at + BLOCK] * self.odd[:, None] + self.shift[:, None]
-            p ^= p >> np.uint32(15)
-            p *= np.uint32(0x2C1B3C6D)
-            p >>= np.uint32(20)
-            value = flat[p + base[None, at : at + BLOCK]]
-            best = value.argmin(1)
-            least_here = value[rows, best]
-            new = least_here < least
-            picked = p[rows, best].astype(np.int64)
-            t = np.floor(level[at + best] * np.log(2) / LEVELS_A_DOUBLING / self.r[picked] + self.beta[picked]).astype(np.int64)
-            name = mixed(h[at + best] + t.astype(np.uint64))
-            out[new], least[new] = name[new], least_here[new]
+        """bands * rows identities (element and its weight's step) of a text's samples."""
+        return self.samples_of([(h, weight)])[:, 0]
+
+    def samples_of(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """A column of samples for each text with elements: in each sample the element of least value.
+
+        All elements that can lie below a text's bound are drawn; a sample whose least value does not is searched again.
+        """
+        n, sizes = len(texts), np.array([len(h) for h, _ in texts])
+        h, weight = (np.concatenate(c) for c in zip(*texts))
+        text, start = np.repeat(np.arange(n), sizes), np.cumsum(sizes) - sizes
+        small, ln_weight = (h >> np.uint64(32)).astype(np.uint32), np.log(weight)
+        bound = BOUND / np.bincount(text, weight, n)
+        least, out = np.full(len(self.odd) * n, np.inf), np.zeros(len(self.odd) * n, np.uint64)
+
+        def keep(sample: np.ndarray, at: np.ndarray, u: np.ndarray) -> None:
+            """Elements ``at`` with their hashes, in order of sample and text."""
+            if not len(at):
+                return
+            value, t = self.drawn(h[at], ln_weight[at], u, sample)
+            cell = sample * n + text[at]
+            starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+            here = np.minimum.reduceat(value, starts)
+            hits = np.flatnonzero(value == np.repeat(here, np.diff(np.append(starts, len(cell)))))
+            best = hits[np.searchsorted(hits, starts)][here < least[cell[starts]]]
+            least[cell[best]] = value[best]
+            out[cell[best]] = mixed(h[at[best]] + t[best].astype(np.uint64))
+
+        reach = reached(weight * bound[text])
+        for a in range(0, len(h), BLOCK):
+            u = bits_of(small[None, a : a + BLOCK], self.odd[:, None], self.shift[:, None])
+            near = np.flatnonzero(u <= reach[None, a : a + BLOCK])
+            sample, at = np.divmod(near, u.shape[1])
+            keep(sample, at + a, u.ravel()[near])
+        left = np.arange(len(least))
+        while len(left := left[least[left] > np.log(bound)[left % n]]):
+            bound = bound * WIDER
+            sizes_left = sizes[left % n]
+            ends = np.cumsum(sizes_left)
+            for a in range(0, ends[-1], 64 * BLOCK):
+                item = np.arange(a, min(a + 64 * BLOCK, ends[-1]))
+                of = np.searchsorted(ends, item, "right")
+                sample, at = left[of] // n, start[left[of] % n] + item - (ends - sizes_left)[of]
+                u = bits_of(small[at], self.odd[sample], self.shift[sample])
+                near = np.flatnonzero(u <= reached(weight[at] * bound[text[at]]))
+                keep(sample[near], at[near], u[near])
+        return out.reshape(-1, n)
+
+    def buckets(self, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[list[int]]:
+        """One signed 64-bit bucket a band for each text, given as ``shingles`` does."""
+        out: list[list[int]] = [[] for _ in texts]
+        there = [i for i, (h, _, _) in enumerate(texts) if len(h)]
+        if there:
+            s = self.samples_of([(h, idf * damped(times)) for h, idf, times in (texts[i] for i in there)]).reshape(self.bands, self.rows, -1)
+            name = np.repeat(np.arange(1, self.bands + 1, dtype=np.uint64)[:, None], len(there), 1)
+            for i in range(self.rows):
+                name = mixed(name + s[:, i])
+            for i, own in zip(there, name.T.view(np.int64).tolist()):
+                out[i] = own
         return out
 
-    def buckets(self, h: np.ndarray, idf: np.ndarray, times: np.ndarray) -> list[int]:
-        """One signed 64-bit bucket a band."""
-        if not len(h):
-            return []
-        s = self.samples(h, idf * damped(times)).reshape(self.bands, self.rows)
-        out = np.arange(1, self.bands + 1, dtype=np.uint64)
-        for i in range(self.rows):
-            out = mixed(out + s[:, i])
-        return out.view(np.int64).tolist()
+
+def bits_of(small: np.ndarray, odd: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """32 bits for an element in a sample."""
+    p = small * odd
+    p += shift
+    p ^= p >> np.uint32(15)
+    p *= np.uint32(0x2C1B3C6D)
+    p ^= p >> np.uint32(16)
+    p *= np.uint32(0x297A2D39)
+    return p
+
+
+def reached(x: np.ndarray) -> np.ndarray:
+    """The greatest 32 bits at which F can still be x or less, or a little more."""
+    return np.minimum(x * (1 + np.log1p(1 / x)) * 2.0**32 + 1, (1 << 32) - 1).astype(np.uint32)
 
 
 def document_frequencies(docs: DataFrame) -> np.ndarray:
@@ -255,13 +331,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     idf = spark.sparkContext.broadcast(document_frequencies(docs))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, last = Sampler(), (None, [])
+        sampler = Sampler()
         for batch in slices(batches):
-            out, texts = [], batch.column(1).to_pylist()
-            for text, words in zip(texts, word_hashes(texts)):
-                if text != last[0]:
-                    last = (text, sampler.buckets(*shingles(words, idf.value)))
-                out.append(last[1])
+            texts = batch.column(1).to_pylist()
+            distinct = list(dict.fromkeys(texts))
+            made = dict(zip(distinct, sampler.buckets([shingles(words, idf.value) for words in word_hashes(distinct)])))
+            out = [made[t] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "digest", "buckets"])
 
     signed = durable(docs.mapInArrow(sampled, "doc_id bigint, digest binary, buckets array<bigint>"), "signed")

@@ -99,6 +99,38 @@ def test_samples_collide_at_the_weighted_jaccard_rate():
     assert abs((sampler.samples(*a) == sampler.samples(*b)).mean() - want) < 0.07
 
 
+def test_samples_of_long_texts_are_in_proportion_to_weight():
+    """Rare words put in make the heaviest shingles; the rest must still be sampled as often as it weighs."""
+    r = np.random.default_rng(1)
+    vocabulary = neardup.mixed(r.integers(1, 1 << 63, 50_000, dtype=np.uint64))
+    idf = np.full(neardup.FREQUENCIES, 6.0, np.float32)
+    idf[(vocabulary >> np.uint64(46)).astype(int)] = 1 + np.log10(1 + np.arange(50_000))
+    sampler = neardup.Sampler(64, 4)
+    for n in (20_000, 200_000, 1_000_000):
+        words = vocabulary[np.minimum(r.zipf(1.3, n) - 1, 49_999)]
+        changed = words.copy()
+        changed[::60] = neardup.mixed(r.integers(1, 1 << 63, len(changed[::60]), dtype=np.uint64))
+        bags = [neardup.shingles(w, idf) for w in (words, changed)]
+        a, b = ((h, rare * neardup.damped(times)) for h, rare, times in bags)
+        _, x, y = np.intersect1d(a[0], b[0], return_indices=True)
+        both = np.minimum(a[1][x], b[1][y]).sum()
+        want = both / (a[1].sum() + b[1].sum() - both)
+        assert want > 0.75 and abs((sampler.samples(*a) == sampler.samples(*b)).mean() - want) < 0.08
+
+
+def test_a_text_is_sampled_alike_alone_and_among_others():
+    r = np.random.default_rng(2)
+    texts = [(np.sort(r.integers(1, 1 << 63, n, dtype=np.uint64)), r.uniform(0.5, 6, n)) for n in (1, 2, 7, 300, 5000, 9000, 3)]
+    sampler = neardup.Sampler()
+    many = sampler.samples_of(texts)
+    k = np.arange(len(sampler.odd))
+    for i, (h, w) in enumerate(texts):
+        u = neardup.bits_of((h >> np.uint64(32)).astype(np.uint32)[None], sampler.odd[:, None], sampler.shift[:, None])
+        value, t = (x.reshape(len(k), -1) for x in sampler.drawn(np.tile(h, len(k)), np.tile(np.log(w), len(k)), u.ravel(), np.repeat(k, len(h))))
+        best = value.argmin(1)
+        assert (many[:, i] == neardup.mixed(h[best] + t[k, best].astype(np.uint64))).all() and (many[:, i] == sampler.samples(h, w)).all()
+
+
 def test_word_hashes_do_not_depend_on_neighbours():
     long = "a" * (neardup.TEXT_BLOCK + 5000)
     got = neardup.word_hashes(["Hello, world! héllo", "", None, f"world {long} hello", long])
