@@ -2,7 +2,8 @@
 
 Coarse centroids and residual codebooks are fitted on a bounded sample; every row is assigned to its centroid's list and
 coded. A query probes its best lists: within one, asymmetric distance tables rank the codes and the best RERANK rows
-are scored on the original vectors in double precision. How many lists a query probes is the least number that finds
+are scored on the original vectors in double precision, and then every other row whose code's score, plus the most that
+its residual's error can add, still reaches the k-th best; so within its lists a query finds the exact best. How many lists a query probes is the least number that finds
 PROBE_RECALL of the sample's own neighbours, and as many more as hold enough rows. A few rows, the pilots, are always
 scored; a row below the k-th best pilot of a query's lists cannot be among the k best found, so it is not sent on.
 
@@ -85,6 +86,17 @@ class Index:
         """(queries, subspaces, codes): a query's inner product with each codeword."""
         return np.einsum("qmw,mcw->qmc", self.padded(q).reshape(len(q), *self.books.shape[::2]), self.books)
 
+    def errors(self, x: np.ndarray, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """(rows, subspaces): how far each row's code is from it in each subspace."""
+        residual = self.padded(x - self.coarse[own]).reshape(len(x), *self.books.shape[::2])
+        coded = np.stack([book[codes[:, m]] for m, book in enumerate(self.books)], 1)
+        return np.sqrt(((residual - coded) ** 2).sum(2))
+
+    def reach(self, q: np.ndarray, errors: np.ndarray) -> np.ndarray:
+        """(queries, rows): at most how much a row's exact score exceeds its code's."""
+        lengths = np.sqrt((self.padded(q).reshape(len(q), *self.books.shape[::2]) ** 2).sum(2))
+        return lengths @ errors.T * (1 + 1e-9)
+
     def lists(self, q: np.ndarray, k: int) -> list[np.ndarray]:
         """Each query's best lists: ``probes`` of them, more until they hold k rows besides the query's own."""
         best = np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")
@@ -200,16 +212,25 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             q, query_ids, floors = matrix(asked["query"].combine_chunks(), at.dims), asked["query_id"].to_numpy(), asked["floor"].to_numpy()
             base = q @ at.coarse[asked["list"][0].as_py()]
             pilots = np.flatnonzero(np.isin(ids, at.pilot_ids))
+            errors = at.errors(x, np.full(len(x), asked["list"][0].as_py()), codes)
+            longest = np.sqrt((x**2).sum(1)).max()
             for i in range(0, len(q), 64):
                 tables = at.tables(q[i : i + 64])
                 near = np.repeat(base[i : i + 64, None], len(ids), 1)
                 for m in range(codes.shape[1]):
                     near += tables[:, m, codes[:, m]]
                 top = np.argsort(-near, axis=1, kind="stable")[:, :RERANK]
+                most = near + at.reach(q[i : i + 64], errors)
                 for j, t in enumerate(top, i):
                     t = np.union1d(t, pilots)
                     t = t[ids[t] != query_ids[j]]
                     score = (x[t] * q[j]).sum(1)
+                    least = max(floors[j], np.partition(score, -k)[-k] if len(score) >= k else -np.inf)
+                    # The slack is for rounding
+                    wider = np.flatnonzero(most[j - i] >= least - 1e-9 * (1 + longest * np.sqrt(q[j] @ q[j])))
+                    t = np.union1d(t, wider)
+                    t = t[ids[t] != query_ids[j]]
+                    score = (x[t] * q[j]).sum(1)
                     best = np.argsort(-score, kind="stable")[:k]
                     best = best[score[best] >= floors[j]]
                     found[0].append(np.full(len(best), query_ids[j]))

@@ -59,6 +59,18 @@ def test_clustered_vectors_and_a_hot_one(spark):
     assert [r["vec_id"] for r in sorted((r for r in rows if r["query_id"] == 0), key=lambda r: r["rank"])][:3] != [0, 3, 6]
 
 
+def test_groups_of_near_copies(spark):
+    """Codes cannot order the rows of such a group; the exact scores must."""
+    for groups, size in ((100, 200),):
+        r = np.random.default_rng(groups)
+        x = np.repeat(r.normal(size=(groups, 64)), size, 0)
+        x /= np.sqrt((x**2).sum(1))[:, None]
+        x += 1e-4 * r.normal(size=x.shape)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+        rows = ann.search(df, F.expr("vec_id % 200 = 0")).collect()
+        check(rows, brute(range(len(x)), x, range(0, len(x), 200)), 0.97)
+
+
 def test_rows_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [-1.0, 0.0]), (8, []), (9, [1.0]), (None, [1.0, 1.0]), (1, [0.5, 0.5]), (20, [0.5, 0.5])]
