@@ -5,10 +5,11 @@ table's entries joined back by position. Decoding joins ids to their pieces. The
 outlives it in a reused worker): a table shared by all tasks would need every occurrence of every word shuffled to it
 and back, several times the size of the texts.
 
-Splitting, hashing and joining work on arrays of code points of many texts at once; a word is known by two 64-bit hashes
-and its length. Texts that the split rules below do not cover for certain (code points from U+0250 on or with such a
-small letter, the separators U+001C to U+001F, anything that looks like a special token) go through the library whole, so results are the library's
-in every case.
+Splitting, hashing and joining work on arrays of code points of many texts at once. A word is known by two sums of its
+code points times random 64-bit keys by place, drawn anew in each process: no text can be made so that two of its words
+agree in both. Texts that hold a special token, code points that Python's Unicode tables do not know, or runs of more
+than BLOCK + LONGEST code points without white space go through the library, as do all texts for a file with other normalisers or split rules; so
+results are the library's in every case.
 
 Null texts are empty texts, and an empty text has no ids. Repeated rows and doc_ids give one result each. Columns
 other than the two named are not read.
@@ -16,6 +17,7 @@ other than the two named are not read.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -29,15 +31,18 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_CHARS, slices
 
-#: Texts with these go through the library whole: special tokens may start with SPECIAL.
-WHOLE = re.compile("[^\x00-\x1b\x20-\u0239\u023b-\u023d\u023f-\u024f]")
-SEPARATORS, SPECIAL, SPACE = "\x1c\x1d\x1e\x1f", "<|", re.compile(r"\s")
+# The normalisers and the split rule of the tokenizer files that are split here.
+NORMALISERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: White space ends a part of a long text.
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Texts with code points from here on may change by composition.
+COMPOSED = re.compile("[\u0300-\U0010ffff]")
 #: Characters that are split at once; slots of the word table, and ids that it holds before it is emptied.
 BLOCK, SLOTS, HELD_IDS = 1 << 18, 1 << 21, 8_000_000
-#: Characters up to which a word is hashed; and the bases of the two hash polynomials.
-LONGEST = 1 << 21
-BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-_LETTER, _NUMBER, _OTHER = 1, 2, 3
+#: Code points beyond BLOCK up to which a part of a text without white space is split here.
+LONGEST = 1 << 18
+_LETTER, _NUMBER, _OTHER, _UNKNOWN = 1, 2, 3, 4
 
 _coders: dict[str, "Coder"] = {}
 
@@ -50,9 +55,18 @@ def byte_letters() -> list[str]:
 
 
 def kinds() -> np.ndarray:
-    """White space 0, letter, number or other, for the code points that plain texts have after lower()."""
-    kind = lambda c: 0 if c.isspace() else {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(c)[0], _OTHER)
-    return np.array([kind(chr(i)) for i in range(0x310)], np.uint8)
+    """White space 0, letter, number, other or unknown, for every code point."""
+    by_name = {"L": _LETTER, "N": _NUMBER, "Z": 0}
+    out = np.array([_UNKNOWN if c == "Cn" else by_name.get(c[0], _OTHER) for c in map(unicodedata.category, map(chr, range(0x110000)))], np.uint8)
+    out[[*range(9, 14), 0x85]] = 0
+    return out
+
+
+def normalised(text: str) -> str:
+    """Composed and in lower case, letter by letter: a sigma that ends a word is like any other."""
+    if not text.isascii() and COMPOSED.search(text):
+        text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
+    return text.lower()
 
 
 def pieces(kind: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +88,13 @@ def pieces(kind: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
     return starts[words], ends[words]
 
 
+def splits_here(file: dict) -> bool:
+    """Whether a tokenizer file has the normalisers and the split rule that ``pieces`` follows."""
+    normalisers = [n["type"] for n in (file.get("normalizer") or {}).get("normalizers", [])]
+    rules = [(p.get("pattern") or {}).get("Regex") for p in (file.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
+    return file["model"]["type"] == "BPE" and normalisers == NORMALISERS and rules == [SPLIT]
+
+
 class Coder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -82,26 +103,24 @@ class Coder:
         self.library.no_truncation()
         self.library.no_padding()
         self.model, self.letters, self.kinds = self.library.model, byte_letters(), kinds()
+        self.splits, self.special = splits_here(json.loads(self.library.to_str())), [t.content for t in self.library.get_added_tokens_decoder().values()]
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.pieces = np.array([self.library.id_to_token(i) or "" for i in range(size)], dtype=object)
-        self.powers = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in BASES]
+        self.keys = np.random.default_rng().integers(0, 1 << 64, (2, BLOCK + LONGEST + 1), np.uint64)
         self.first, self.second = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
         self.at, self.size = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int32)
         self.flat, self.held = np.zeros(1 << 16, self.dtype), 0
 
-    def _hashes(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-        out, n = [], len(points) + 1
-        for held, base in zip(self.powers, BASES):
-            if len(held[0]) < n:
-                for i, b in enumerate((base, pow(base, -1, 1 << 64))):
-                    held[i] = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(max(n, 2 * BLOCK), b, np.uint64))))
-            sums = np.zeros(n, np.uint64)
-            np.cumsum((points + np.uint32(1)) * held[0][: n - 1], out=sums[1:])
-            h = (sums[ends] - sums[starts]) * held[1][starts] + (ends - starts).astype(np.uint64)
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            out.append((h ^ (h >> np.uint64(29))) | np.uint64(1))
-        return out
+    def _hashes(self, points: np.ndarray, kind: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+        if not len(starts):
+            return [np.zeros(0, np.uint64)] * 2
+        origin = np.zeros(len(points), np.int32)
+        origin[starts] = starts
+        place = np.minimum(np.arange(len(points), dtype=np.int32) - np.maximum.accumulate(origin), BLOCK + LONGEST)
+        valued = (points + np.uint32(1)).astype(np.uint64) * (kind > 0)
+        first, second = (np.add.reduceat(valued * keys[place], starts) for keys in self.keys)
+        return [first | np.uint64(1), second]
 
     def _learn(self, words: list[str], slots: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Encodes words and puts them into their slots; returns where their ids are and how many."""
@@ -118,43 +137,50 @@ class Coder:
         return at, size
 
     def _block(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids of a plain lower-case text, the starts of its words and how many ids each has."""
+        """All ids of a normalised text, the starts of its words and how many ids each has."""
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        starts, ends = pieces(self.kinds[points], text)
-        first, second = self._hashes(points, starts, ends)
+        kind = self.kinds[points]
+        starts, ends = pieces(kind, text)
+        first, second = self._hashes(points, kind, starts)
         slots = (first >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
         if self.held > HELD_IDS:
             self.first[:], self.held = 0, 0
         at, size = self.at[slots], self.size[slots]
         missing = np.flatnonzero((self.first[slots] != first) | (self.second[slots] != second))
         if len(missing):
-            _, where, back = np.unique(first[missing], return_index=True, return_inverse=True)
-            new = missing[where]
+            order = missing[np.lexsort((second[missing], first[missing]))]
+            fresh = np.concatenate(([True], (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])))
+            new, back = order[fresh], np.cumsum(fresh) - 1
+            missing = order
             words = [text[i:j] for i, j in zip(starts[new].tolist(), ends[new].tolist())]
             places, sizes = self._learn(words, slots[new], first[new], second[new])
             at[missing], size[missing] = places[back], sizes[back]
         ids_at = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
         return self.flat[ids_at], starts, size
 
+    def _known(self, text: str) -> bool:
+        """Whether all code points have a kind; the check is cheap for the common ones."""
+        return text.isascii() or not COMPOSED.search(text) or not (self.kinds[np.frombuffer(text.encode("utf-32-le"), np.uint32)] == _UNKNOWN).any()
+
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, as integers of ``dtype``."""
         out: list[np.ndarray | None] = [None] * len(texts)
         parts: list[tuple[int, str]] = []
-        ends: list[tuple[int, np.ndarray]] = []  # of texts that end in a word too long to hash
+        whole = lambda text: np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
         for i, text in enumerate(texts):
             if not text:
                 out[i] = np.zeros(0, self.dtype)
-            elif SPECIAL in text or (any(map(text.__contains__, SEPARATORS)) if text.isascii() else WHOLE.search(text)):
-                out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
+            elif not self.splits or any(map(text.__contains__, self.special)) or not self._known(text):
+                out[i] = whole(text)
             else:
-                low, start = text.lower(), 0
-                while len(low) - start > BLOCK and (gap := SPACE.search(low, start + BLOCK)) and gap.start() - start <= LONGEST:
-                    parts.append((i, low[start : gap.start()]))
+                low, start, own = normalised(text), 0, []
+                while len(low) - start > BLOCK and (gap := SPACE.search(low, start + BLOCK)) and gap.start() - start <= BLOCK + LONGEST:
+                    own.append((i, low[start : gap.start()]))
                     start = gap.end()
-                if len(low) - start > LONGEST:
-                    ends.append((i, np.array(self.library.encode(low[start:], add_special_tokens=False).ids, self.dtype)))
+                if len(low) - start > BLOCK + LONGEST:
+                    out[i] = whole(text)
                 else:
-                    parts.append((i, low[start:]))
+                    parts += [*own, (i, low[start:])]
         found: dict[int, list[np.ndarray]] = {}
         group: list[tuple[int, str]] = []
         held = 0
@@ -168,8 +194,6 @@ class Coder:
                 for (i, _), own in zip(group, np.split(ids, cuts[:-1])):
                     found.setdefault(i, []).append(own)
                 group, held = [], 0
-        for i, own in ends:
-            found.setdefault(i, []).append(own)
         for i, own in found.items():
             out[i] = own[0] if len(own) == 1 else np.concatenate(own)
         return out

@@ -33,6 +33,47 @@ def test_every_letter_that_is_split_here(library):
     assert [x.tolist() for x in c.encode_all(texts)] == [w.ids for w in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_every_known_letter_is_split_as_the_library_does(library, monkeypatch):
+    """All code points, each between letters, alone, doubled and after an apostrophe; the library is asked for no text."""
+    c = bpe.Coder(PATH)
+    known = np.flatnonzero(c.kinds != 4).tolist()
+    texts = ["".join(f"a{chr(i)}b {chr(i)} !{chr(i)}{chr(i)}'{chr(i)}s " for i in known[k : k + 64] if not 0xD800 <= i <= 0xDFFF) for k in range(0, len(known), 64)]
+    texts = [t for k, t in enumerate(texts) if t and (known[64 * k] < 0x3400 or known[64 * k] > 0xD7FF and known[64 * k] < 0x20000 or k % 16 == 0)]
+    want = [w.ids for w in library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(c, "library", None)
+    assert [x.tolist() for x in c.encode_all(texts)] == want
+
+
+def test_texts_of_many_scripts(library, monkeypatch):
+    c, r = bpe.Coder(PATH), np.random.default_rng(0)
+    pools = ["“”‘’–—…• ", "привет мир ёЁЙ", "日本語テキスト。", "😀👩\u200d👧🇩🇪", "ΣΑΣ ς σΣ", "e\u0301a\u0308 o\u0302\u0323", "한국어 \u1112\u1161\u11ab", "عربى ١٢٣", "don't I'LL ’s 'Ve", "½²Ⅷ 12.5", "\x1c\x1f\x85\u2028\u3000\u180e", "İıſẞǅ"]
+    letters = [list(p) for p in pools]
+    texts = ["".join(r.choice(letters[r.integers(len(pools))] + [" ", "a", "B"], 12).tolist()[0] if r.random() < 0.3 else "".join(r.choice(letters[r.integers(len(pools))], r.integers(1, 6)).tolist()) for _ in range(60)) for _ in range(400)] + pools
+    want = [w.ids for w in library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(c, "library", None)
+    assert [x.tolist() for x in c.encode_all(texts)] == want
+
+
+def test_words_that_collide_in_polynomial_hashes(library):
+    """Thue-Morse words and their mirrors agree in every polynomial modulo a power of two from some length on."""
+    c, word = bpe.Coder(PATH), "ab"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+        mirror = word.translate(str.maketrans("ab", "ba"))
+        assert [x.tolist() for x in c.encode_all([word, mirror, f"{word} {mirror}"])] == [w.ids for w in library.encode_batch([word, mirror, f"{word} {mirror}"], add_special_tokens=False)]
+
+
+def test_long_runs_and_files_with_other_rules(library, monkeypatch):
+    texts = ["x1" * 3000 + " " + "y" * 900, "é" * 2500, "q " * 2000, "ab" * 700 + "'s"]
+    want = [w.ids for w in library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(bpe, "BLOCK", 300)
+    monkeypatch.setattr(bpe, "LONGEST", 1000)
+    c = bpe.Coder(PATH)
+    assert c.splits and [x.tolist() for x in c.encode_all(texts)] == want
+    c.splits = False
+    assert [x.tolist() for x in c.encode_all(texts)] == want
+
+
 def test_table_is_bounded_and_right_when_full(library, monkeypatch, prose):
     monkeypatch.setattr(bpe, "HELD_IDS", 50)
     monkeypatch.setattr(bpe, "SLOTS", 1 << 4)
