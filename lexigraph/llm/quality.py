@@ -1,16 +1,20 @@
 """Quality scores: random Fourier features of document statistics, ridge by summed normal equations, isotonic calibration.
 
 A document's statistics (shares of character classes, repetition, word and line lengths) are standardised and mapped to
-cosines that approximate a Gaussian kernel. Each partition sums its normal equations by fold; the sums, a few fixed-size
+cosines, whose mean product approximates half a Gaussian kernel. Each partition sums its normal equations by fold; the sums, a few fixed-size
 matrices, meet on the driver, which solves the ridge problem. Scores of rows out of their own fold give the calibration:
 counts in a fixed number of score bins, made monotone by pooling neighbours.
 
+Statistics and features are rounded to multiples of STEP before they are summed, so every sum is one of integers: it does
+not depend on the order of rows or partitions, and a fit repeats to the last bit. Scores are rounded to DIGITS places.
+
 Null texts are empty texts and get the score of an empty text. Repeated rows are scored each; equal texts score equally.
 A table without usable labels gives every row the same score, the prior. Columns other than those named are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -25,7 +29,11 @@ from .common import bounded_labels, durable, slices
 #: Labelled rows that a fit uses at most, chosen by a hash of doc_id.
 FIT_ROWS = 100_000
 FEATURES, FOLDS, RIDGE, BINS, SUM_TASKS = 256, 5, 1e-3, 512, 16
-SEED = 11
+SEED, DIGITS = 11, 9
+#: What features are rounded to: products are integers below 2 ** 29, so FIT_ROWS of them stay exact as doubles.
+STEP = 2.0**-14
+#: Units of a statistic in its sums; and what standardised statistics and directions are rounded to.
+UNITS, GRID = 1 << 20, 2.0**-16
 #: A document is kept from this score on.
 KEEP_FROM = 0.3
 
@@ -86,17 +94,17 @@ class Model:
     levels: np.ndarray
 
     def features(self, stats: np.ndarray) -> np.ndarray:
-        x = np.clip((stats - self.mean) / self.scale, -6, 6)
-        z = np.cos(x @ self.directions + self.phases) * np.sqrt(2 / FEATURES)
+        x = np.round(np.clip((stats - self.mean) / self.scale, -6, 6) / GRID) * GRID
+        z = np.round(np.cos(x @ self.directions + self.phases) / STEP) * STEP
         return np.hstack([z, np.ones((len(z), 1))])
 
     def score(self, stats: np.ndarray) -> np.ndarray:
-        return self.calibrated(self.features(stats) @ self.weights)
+        return self.calibrated((self.features(stats) * self.weights).sum(1))
 
     def calibrated(self, raw: np.ndarray) -> np.ndarray:
         """Piecewise linear between the pooled levels, with a slight slope so that order survives within a level."""
         level = np.interp(raw, self.edges, self.levels)
-        return np.clip(0.998 * level + 0.002 * np.clip(raw, 0, 1), 0.0, 1.0)
+        return np.round(np.clip(0.998 * level + 0.002 * np.clip(raw, 0, 1), 0.0, 1.0), DIGITS)
 
 
 def pooled(hits: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -123,38 +131,37 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", described_b
     # FIT_ROWS bounds this side: 16 bytes a row
     stats = docs if described_before else described(docs.join(F.broadcast(usable.select("doc_id")), "doc_id", "left_semi"))
     rows = stats.join(F.broadcast(usable), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(FOLDS)).cast("int"))
-    # In order, and with rounded moments, so that a fit repeats to the last bit
-    rows = durable(rows.repartition(SUM_TASKS, "doc_id").sortWithinPartitions("doc_id"), "fit")
+    rows = durable(rows.repartition(SUM_TASKS, "doc_id"), "fit")
     rng = np.random.default_rng(SEED)
-    moments = rows.select(F.count("*"), F.avg("y"), *(f(F.col("stats")[i].cast("double")) for f in (F.avg, F.stddev_pop) for i in range(NAMES))).first()
-    n, prior = moments[0], moments[1]
-    mean = np.round([x or 0.0 for x in moments[2 : 2 + NAMES]], 6)
-    scale = np.maximum(np.round([x or 0.0 for x in moments[2 + NAMES :]], 6), 1e-3)
+    # Integers; their squares as decimals, which do not overflow
+    whole = [F.round(F.col("stats")[i].cast("double") * UNITS).cast("bigint") for i in range(NAMES)]
+    moments = rows.select(F.count("*"), F.sum(F.col("y").cast("bigint")), *(F.sum(w) for w in whole), *(F.sum(w.cast("decimal(19,0)") * w.cast("decimal(19,0)")) for w in whole)).first()
+    n, prior = moments[0], (moments[1] / moments[0] if moments[0] else None)
+    first, second = moments[2 : 2 + NAMES], moments[2 + NAMES :]
+    mean = np.array([x / n / UNITS if n else 0.0 for x in first])
+    scale = np.array([max(math.isqrt(int(y) * n - x * x) / n / UNITS, 1e-3) if n else 1.0 for x, y in zip(first, second)])
     width = np.sqrt(NAMES)
-    model = Model(mean, scale, rng.normal(size=(NAMES, FEATURES)) / width, rng.uniform(0, 2 * np.pi, FEATURES), np.zeros(FEATURES + 1), [], np.array([0.0, 1.0]), np.full(2, 0.5 if prior is None else prior))
+    model = Model(mean, scale, np.round(rng.normal(size=(NAMES, FEATURES)) / width / GRID) * GRID, rng.uniform(0, 2 * np.pi, FEATURES), np.zeros(FEATURES + 1), [], np.array([0.0, 1.0]), np.full(2, 0.5 if prior is None else prior))
     if not n or prior in (0.0, 1.0):
         return model
     d = FEATURES + 1
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, right, first = np.zeros((FOLDS, d, d)), np.zeros((FOLDS, d)), None
+        gram, right = np.zeros((FOLDS, d, d)), np.zeros((FOLDS, d))
         for batch in batches:
-            if first is None and batch.num_rows:
-                first = batch.column(3)[0].as_py()
             z, y, fold = model.features(_stacked(batch, "stats")), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for f in range(FOLDS):
                 own = fold == f
                 gram[f] += z[own].T @ z[own]
                 right[f] += z[own].T @ y[own]
-        yield pa.RecordBatch.from_pydict({"gram": [gram.tobytes()], "right": [right.tobytes()], "first": pa.array([first], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"gram": [gram.tobytes()], "right": [right.tobytes()]})
 
     gram, right = np.zeros((FOLDS, d, d)), np.zeros((FOLDS, d))
-    # SUM_TASKS rows at most: their number of folds and features is fixed
-    sums = rows.select("stats", "y", "fold", "doc_id").mapInArrow(summed, "gram binary, right binary, first bigint").where("first IS NOT NULL").collect()
-    for row in sorted(sums, key=lambda r: r[2]):
+    # SUM_TASKS rows: their number of folds and features is fixed
+    for row in rows.select("stats", "y", "fold").mapInArrow(summed, "gram binary, right binary").collect():
         gram += np.frombuffer(row[0]).reshape(gram.shape)
         right += np.frombuffer(row[1]).reshape(right.shape)
-    penalty = np.eye(d) * RIDGE * n / FEATURES
+    penalty = np.diag(np.append(np.full(FEATURES, RIDGE * n / 2), RIDGE * n / FEATURES))
     model.weights = np.linalg.solve(gram.sum(0) + penalty, right.sum(0))
     model.by_fold = [np.linalg.solve(gram.sum(0) - gram[f] + penalty, right.sum(0) - right[f]) for f in range(FOLDS)]
 
@@ -162,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", described_b
         hits, counts = np.zeros(BINS), np.zeros(BINS)
         for batch in batches:
             z, y, fold = model.features(_stacked(batch, "stats")), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            raw = np.einsum("ij,ij->i", z, np.array(model.by_fold)[fold])
+            raw = (z * np.array(model.by_fold)[fold]).sum(1)
             at = np.clip((raw + 0.5) / 2 * BINS, 0, BINS - 1).astype(int)
             np.add.at(hits, at, y)
             np.add.at(counts, at, 1.0)
