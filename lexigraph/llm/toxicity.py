@@ -1,9 +1,11 @@
 """Toxicity categories by a classifier chain: one linear model a category, each fed the earlier categories' probabilities.
 
 Features are words and word beginnings, chosen by how far their document counts among labelled toxic texts exceed what
-independence gives; a text's value is log(1 + occurrences). The first category's model sees the features, each later one
-also the earlier probabilities. In training these come from models that have not seen the row (out-of-fold), at scoring
-from the models of all rows.
+independence gives; a text's value is log(1 + occurrences). Labels know toxic texts only, so the earlier categories are
+learned: the toxic texts' features, centred, have a direction of most spread, and the texts on its either side form two
+kinds of toxicity. The first category's model sees the features, each later one also the earlier probabilities. In
+training these come from models that have not seen the row: a fold's features, kinds and models are all made from the
+other folds. At scoring they come from the models of all rows.
 
 Null and empty texts have no features and get the models' floor. Repeated rows are scored each; equal texts score
 equally. Without any labels every probability is about 0. Columns other than those named are not read.
@@ -18,33 +20,28 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Table, bounded_labels, durable, slices
 
 #: Labelled rows that a fit uses at most, chosen by a hash of doc_id.
 FIT_ROWS = 20_000
-FEATURES, FOLDS, RIDGE, STEPS, SEED = 256, 4, 1.0, 10, 23
+FEATURES, FOLDS, RIDGE, STEPS, SEED = 256, 4, 0.3, 20, 23
 BEGINNINGS = (4, 5, 6, 7)
 #: A document is toxic from this probability on.
 TOXIC_FROM = 0.5
 WORD = re.compile(r"[^\W\d_]+")
 
-#: Weak categories of the labelled toxic texts: those that hold a word of the list.
-CATEGORIES = {"insult": "idiot moron loser scum clown trash", "contempt": "stupid pathetic worthless disgusting"}
-
-
-def category_labels(text: Column, toxic: Column) -> dict[str, Column]:
-    """The chain's training labels in order: each weak category, then toxic itself."""
-    return {k: (toxic * F.lower(text).rlike(rf"\b({'|'.join(words.split())})\b").cast("int")).cast("int") for k, words in CATEGORIES.items()} | {"toxic": toxic}
+#: The chain in order: two kinds of toxic texts, then toxic itself.
+CATEGORIES = ("kind_a", "kind_b", "toxic")
 
 
 def tokens(chunk: str) -> tuple[str, ...]:
     """The features of a lower-case text without white space: its words, and each longer word's beginnings marked ^."""
     out = []
     for w in WORD.findall(chunk):
-        out.append(w if len(w) < 40 else w[:40])
+        out.append(w)
         out += [f"^{w[:n]}" for n in BEGINNINGS if len(w) > n]
     return tuple(out)
 
@@ -101,70 +98,121 @@ class Counted:
         return c
 
 
+def direction(x: np.ndarray) -> np.ndarray:
+    """The direction of most spread of the rows, its greatest entry positive."""
+    if len(x) < 2 or not x.shape[1]:
+        return np.zeros(x.shape[1])
+    apart = (x - x.mean(0)).astype(np.float64)
+    found = np.linalg.eigh(apart.T @ apart)[1][:, -1]
+    return found * np.sign(found[np.abs(found).argmax()] or 1.0)
+
+
+def kinds(x: np.ndarray, toxic: np.ndarray, like: np.ndarray | None = None) -> np.ndarray:
+    """(rows, categories) training labels: toxic rows above the mean along their direction, the other toxic rows, and all.
+
+    The direction points the way of ``like``, so that the kinds of different folds go by one name.
+    """
+    found, own = direction(x[toxic > 0]), x[toxic > 0]
+    if like is not None and found @ like < 0:
+        found = -found
+    above = x @ found > (float((own @ found).mean()) if len(own) else 0.0)
+    return np.stack([toxic * above, toxic * ~above, toxic], 1).astype(np.float64)
+
+
+def train(x: np.ndarray, y: np.ndarray, fold: np.ndarray, views: list[np.ndarray]) -> list[np.ndarray]:
+    """The chain's weights; ``views`` has the columns chosen without each fold, then those chosen on all rows.
+
+    ``x`` has a column of ones at its end.
+    """
+    ones, like = x.shape[1] - 1, np.zeros(x.shape[1])
+    like[views[FOLDS]] = direction(x[y > 0][:, views[FOLDS]])
+    before = np.zeros((len(x), len(CATEGORIES)))
+    for f in range(FOLDS):
+        own = fold == f
+        if own.any() and (~own).any():
+            z, rest = x[own][:, [*views[f], ones]], x[~own][:, [*views[f], ones]]
+            at = np.zeros((len(z), 0))
+            for w in chained(rest, kinds(rest[:, :-1], y[~own], like[views[f]])):
+                at = np.hstack([at, sigmoid(np.hstack([at, z]) @ w)[:, None]])
+            before[own] = at
+    z = x[:, [*views[FOLDS], ones]]
+    wanted = kinds(z[:, :-1], y)
+    return [logistic(np.hstack([before[:, :k], z]).astype(np.float32), wanted[:, k]) for k in range(len(CATEGORIES))]
+
+
+def chained(x: np.ndarray, wanted: np.ndarray) -> list[np.ndarray]:
+    """Weights of a chain whose later models see the earlier ones' probabilities on their own training rows."""
+    out, before = [], np.zeros((len(x), 0))
+    for k in range(wanted.shape[1]):
+        z = np.hstack([before, x]).astype(np.float32)
+        out.append(logistic(z, wanted[:, k]))
+        before = np.hstack([before, sigmoid(z @ out[-1])[:, None]])
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Chain:
     """``labels`` has doc_id and ``target`` (0 or 1); rows with other or null targets are ignored."""
     usable = bounded_labels(labels, target, FIT_ROWS, SEED).withColumn("y", F.col("y").cast("int"))
     # FIT_ROWS bounds this side: 12 bytes a row
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(usable), "doc_id")
-    wanted = category_labels(F.col("text"), F.col("y"))
-    names = list(wanted)
     fold = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(FOLDS)).cast("int").alias("fold")
-    rows = durable(rows.select("text", *(c.alias(k) for k, c in wanted.items()), fold), "toxic-fit")
-    n, *hits = rows.agg(F.count("*"), *(F.sum(k) for k in names)).first()
-    chain = Chain(names, {})
-    if not n:
-        chain.weights = [np.append(np.zeros(k), -30.0) for k in range(len(names))]
+    rows = durable(rows.select("doc_id", "text", "y", fold), "toxic-fit")
+    sizes = {r["fold"]: (r["n"], r["hits"]) for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("hits")).collect()}
+    chain = Chain([*CATEGORIES], {})
+    if not sizes:
+        chain.weights = [np.append(np.zeros(k), -30.0) for k in range(len(CATEGORIES))]
         return chain
+    chosen = chosen_features(rows, sizes)
+    union = sorted(set().union(*chosen))
+    place = {t: j for j, t in enumerate(union)}
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = Counted(place)
+        for batch in slices(batches):
+            found = [count(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())), *batch.columns[2:]], ["doc_id", "at", "n", "y", "fold"])
+
+    # At most FIT_ROWS rows of at most (FOLDS + 1) * FEATURES small integers come to the driver
+    got = rows.mapInArrow(looked_up, "doc_id bigint, at array<int>, n array<int>, y int, fold int").toArrow().sort_by("doc_id")
+    x = Chain([], place).vectors([Counter(dict(zip(a, b))) for a, b in zip(got["at"].to_pylist(), got["n"].to_pylist())])
+    chain.features = {t: j for j, t in enumerate(chosen[FOLDS])}
+    chain.weights = train(x, got["y"].to_numpy().astype(np.float64), got["fold"].to_numpy(), [np.array([place[t] for t in view], np.int64) for view in chosen])
+    return chain
+
+
+def chosen_features(rows: DataFrame, sizes: dict[int, tuple[int, int]]) -> list[list[str]]:
+    """For each fold the FEATURES best features of the other folds' rows, then those of all rows."""
+    columns = [f"{k}{f}" for f in range(FOLDS) for k in ("n", "h")]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"feature": pa.array(list(seen), pa.string()), "docs": pa.array(seen.values(), pa.int64()), "hits": pa.array([toxic[t] for t in seen], pa.int64())})
+            table = np.array(list(seen.values()), np.int64).reshape(-1, 2 * FOLDS)
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array(table[:, k]) for k in range(2 * FOLDS))], ["feature", *columns])
 
-        seen, toxic = Counter(), Counter()
+        seen: dict[str, list[int]] = {}
         for batch in slices(batches):
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = {t for chunk in set(text.lower().split()) for t in tokens(chunk)}
-                seen.update(own)
-                if y:
-                    toxic.update(own)
-            if len(seen) > 300_000:
+            for text, y, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                for t in {t for chunk in set(text.lower().split()) for t in tokens(chunk)}:
+                    held = seen.setdefault(t, [0] * (2 * FOLDS))
+                    held[2 * f] += 1
+                    held[2 * f + 1] += y
+            if len(seen) > 200_000:
                 yield flush()
-                seen, toxic = Counter(), Counter()
+                seen = {}
         yield flush()
 
-    positives = hits[-1] or 0
-    expected = F.col("docs") * (positives / n)
-    gain = F.pow(F.col("hits") - expected, 2) / (expected + 1)
-    chosen = (
-        rows.select("text", names[-1]).mapInArrow(counted, "feature string, docs bigint, hits bigint")
-        .groupBy("feature").agg(F.sum("docs").alias("docs"), F.sum("hits").alias("hits"))
-        .where(F.col("hits") > expected).orderBy(gain.desc(), "feature").limit(FEATURES).collect()
-    )
-    chain.features = {r["feature"]: j for j, r in enumerate(chosen)}
-    features = chain.features
-
-    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Counted(features)
-        for batch in slices(batches):
-            found = [count(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())), *batch.columns[1:]], ["at", "n", *names, "fold"])
-
-    # At most FIT_ROWS rows of at most FEATURES small integers come to the driver
-    got = rows.mapInArrow(looked_up, f"at array<int>, n array<int>, {', '.join(f'{k} int' for k in names)}, fold int").toArrow()
-    x = chain.vectors([Counter(dict(zip(a, b))) for a, b in zip(got["at"].to_pylist(), got["n"].to_pylist())])
-    fold_of = got["fold"].to_numpy()
-    before = np.zeros((len(x), 0))
-    for k in names:
-        y = got[k].to_numpy().astype(np.float64)
-        z = np.hstack([before, x]).astype(np.float32)
-        out = np.zeros(len(x))
-        for f in range(FOLDS):
-            own = fold_of == f
-            if own.any() and (~own).any():
-                out[own] = sigmoid(z[own] @ logistic(z[~own], y[~own]))
-        chain.weights.append(logistic(z, y))
-        before = np.hstack([before, out[:, None]])
-    return chain
+    sums = rows.select("text", "y", "fold").mapInArrow(counted, "feature string, " + ", ".join(f"{c} bigint" for c in columns)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in columns))
+    sums = durable(sums, "toxic-features")
+    out = []
+    for left_out in range(FOLDS + 1):
+        folds = [f for f in range(FOLDS) if f != left_out]
+        n, hits = (sum(sizes.get(f, (0, 0))[k] for f in folds) for k in (0, 1))
+        of = lambda k: sum((F.col(f"{k}{f}") for f in folds), F.lit(0))  # noqa: B023, E731
+        expected = of("n") * (hits / max(n, 1))
+        gain = F.round(F.pow(of("h") - expected, 2) / (expected + 1), 6)
+        best = sums.where(of("h") > expected).orderBy(gain.desc(), "feature").limit(FEATURES)
+        out.append([r["feature"] for r in best.select("feature").collect()])
+    return out
 
 
 def scored(docs: DataFrame, chain: Chain, prefix: str = "p_") -> DataFrame:

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -113,6 +115,60 @@ def test_toxicity_on_unseen_documents(spark, labels):
     assert [len(w) for w in chain.weights] == [len(chain.features) + 1 + k for k in range(3)]
 
 
+def plain_logistic(x, y):
+    """Ridge logistic weights by reweighted least squares, the penalty as rows of its own."""
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = np.sqrt(np.maximum(p * (1 - p), 1e-4))
+        step = np.linalg.lstsq(np.vstack([x * h[:, None], np.eye(len(w)) * np.sqrt(toxicity.RIDGE)]), np.append((y - p) / h, -np.sqrt(toxicity.RIDGE) * w), rcond=None)[0]
+        w = w + step
+    return w
+
+
+def test_chain_against_a_plain_one(spark, monkeypatch):
+    """Features counted in dictionaries, kinds by singular vectors, each fold's chain from the other folds' rows alone."""
+    monkeypatch.setattr(toxicity, "FEATURES", 24)
+    docs, marks = spark.read.parquet(f"{LARGER}/documents.parquet"), spark.read.parquet(f"{LARGER}/labels.parquet")
+    chain = toxicity.fit(docs, marks)
+    rows = docs.join(marks.select("doc_id", "toxic"), "doc_id").select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(toxicity.SEED + 1)), F.lit(toxicity.FOLDS)).alias("fold")).collect()
+    counts = [Counter(t for c in r["text"].lower().split() for t in toxicity.tokens(c)) for r in rows]
+    y, fold = np.array([r["toxic"] for r in rows], float), np.array([r["fold"] for r in rows])
+
+    def best(own):
+        docs_of, hits = Counter(t for i in own for t in counts[i]), Counter(t for i in own if y[i] for t in counts[i])
+        share = sum(y[i] for i in own) / len(own)
+        gain = {t: round((hits[t] - n * share) ** 2 / (n * share + 1), 6) for t, n in docs_of.items() if hits[t] > n * share}
+        return sorted(gain, key=lambda t: (-gain[t], t))[:24]
+
+    table = lambda terms: np.array([[np.log1p(c[t]) for t in terms] + [1.0] for c in counts])
+
+    def split(x, own, like):
+        tox = x[own][y[own] > 0, :-1]
+        v = np.linalg.svd(tox - tox.mean(0))[2][0]
+        v = v * np.sign(v[np.abs(v).argmax()]) if like is None else v * np.sign(v @ like)
+        above = x[own, :-1] @ v > (tox @ v).mean()
+        return np.stack([y[own] * above, y[own] * ~above, y[own]], 1), v
+
+    everything = np.arange(len(rows))
+    terms = best(everything)
+    whole = table(terms)
+    wanted, v = split(whole, everything, None)
+    before = np.zeros((len(rows), 3))
+    for f in range(toxicity.FOLDS):
+        rest, own, own_terms = everything[fold != f], everything[fold == f], best(everything[fold != f])
+        x = table(own_terms)
+        kinds, _ = split(x, rest, np.array([dict(zip(terms, v)).get(t, 0.0) for t in own_terms]))
+        seen, unseen = np.zeros((len(rest), 0)), np.zeros((len(own), 0))
+        for k in range(3):
+            w = plain_logistic(np.hstack([seen, x[rest]]), kinds[:, k])
+            seen, unseen = (np.hstack([b, (1 / (1 + np.exp(-np.hstack([b, x[at]]) @ w)))[:, None]]) for b, at in ((seen, rest), (unseen, own)))
+        before[own] = unseen
+    assert list(chain.features) == terms
+    for k in range(3):
+        assert chain.weights[k] == pytest.approx(plain_logistic(np.hstack([before[:, :k], whole]), wanted[:, k]), abs=0.02)
+
+
 def test_chain_feeds_earlier_probabilities():
     chain = toxicity.Chain(["a", "b"], {"x": 0}, [np.array([5.0, -2.0]), np.array([8.0, 0.0, -4.0])])
     p = chain.probabilities(chain.vectors([{0: 1}, {}]))
