@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,15 +19,18 @@ SLICE_ROWS = 256
 #: Characters after which a slice ends early, so very long texts do not pile up.
 SLICE_CHARS = 4_000_000
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+_paths: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. A local master may do without one and gets a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexigraph-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get()
@@ -35,26 +40,50 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends there.
 
-    Lost executors cost no recomputation behind it. The files go when the driver ends.
+    Lost executors cost no recomputation behind it. The files go with ``release`` or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexigraph-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[path], _paths[id(out)] = spark, path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``durable`` gave and that nothing reads any more."""
+    for df in tables:
+        if path := _paths.pop(id(df), None):
+            _delete(_written.pop(path), path)
+
+
+def removed_at_exit(spark: SparkSession, path: str) -> None:
+    _written[path] = spark
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
 def _remove_written() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the JVM may be gone already
             return
 
 
+def unused(name: str, *taken: str) -> str:
+    """The name, with underscores before it until no column has it, whatever its case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
