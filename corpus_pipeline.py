@@ -11,20 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigraph.llm import neardup, packing, pii, quality, toxicity
-from lexigraph.llm.common import durable, read_table
+from lexigraph.llm.common import durable, read_table, release, unused
 from lexigraph.llm.queries import tokenizer_path
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects."""
     model = quality.fit(docs, read_table(spark, sf_dir, "labels").where(~quality.is_held_out()))
-    return quality.scored_texts(docs, model, "_quality").where(F.col("_quality") >= quality.KEEP_FROM).select(docs.columns)
+    score = unused("quality", *docs.columns)
+    return quality.scored_texts(docs, model, score).where(F.col(score) >= quality.KEEP_FROM).select(docs.columns)
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the toxicity chain rejects."""
     chain = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, chain, "_p_").where(F.col("_p_toxic") < toxicity.TOXIC_FROM).select(docs.columns)
+    prefix = "p_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    return toxicity.scored(docs, chain, prefix).where(F.col(f"{prefix}toxic") < toxicity.TOXIC_FROM).select(docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +61,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = durable(docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, durable(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

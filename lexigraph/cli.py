@@ -8,13 +8,12 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from lexigraph.config import EngineConfig
-from lexigraph.operators.index import Index
 from lexigraph.operators.search import search, with_publications
 from lexigraph.operators.store import Store
 from lexigraph.session import session
 from lexigraph.sources.pages import HttpPages
 from lexigraph.streaming.crawl import crawl, run_row
-from lexigraph.streaming.update import now, rebuild_index, run_forever, run_once
+from lexigraph.streaming.update import index_line, now, rebuild_index, run_forever, run_once, stored_index
 
 CAPS = ("max_listing_pages", "max_profile_pages", "max_publications")
 
@@ -39,11 +38,6 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def stored_index(store: Store) -> Index:
-    docs = store.read("publications").select("publication_key")
-    return Index("publication_key", docs, None, store.read("idf"), store.read("weights"))
-
-
 def main(argv: list[str] | None = None, config: EngineConfig | None = None, source=None) -> int:
     args = parser().parse_args(argv)
     config = config or EngineConfig.from_env()
@@ -57,13 +51,13 @@ def main(argv: list[str] | None = None, config: EngineConfig | None = None, sour
     if args.command == "check-db":
         print(f"Store OK: {config.store}")
     elif args.command == "build-index":
-        print(rebuild_index(store))
+        print(index_line(*rebuild_index(store)))
     elif args.command == "search":
         found = with_publications(search(stored_index(store), args.query, args.limit), store.read("publications")).collect()
         if not found:
-            print("No results. Build the index or try another query.")
+            print("nothing found")
         for p in found:
-            print(f"\n{p['rank']}. {p['title'] or 'Untitled'}\n   Score: {p['score']:.4f}\n   Year: {p['publication_year'] or 'Unknown'}\n   URL: {p['publication_url'] or 'No URL'}\n   Matched terms: {', '.join(p['matched_terms'])}")
+            print(f"{p['rank']:>3}  {p['score']:.4f}  {p['title'] or '(no title)'} ({p['publication_year'] or 'no year'})  {p['publication_url'] or ''}  [{' '.join(p['matched_terms'])}]")
     elif args.command == "crawl":
         started = now()
         output = crawl(spark, config, pages, **caps)
@@ -74,7 +68,7 @@ def main(argv: list[str] | None = None, config: EngineConfig | None = None, sour
             return 0
         saved = store.upsert_publications(output.publications.withColumn("ord", F.struct("page_ord", "ord")).drop("page_ord"))
         print(f"Saved: {saved}\nCrawl run: {store.save_run(run_row(spark, config, output, saved, started, now()))}")
-        print("Index rebuild skipped." if args.skip_index else rebuild_index(store))
+        print("The index stays as it was." if args.skip_index else index_line(*rebuild_index(store)))
     else:
         update = partial(run_once, spark, config, pages, store, **caps)
         if args.once:

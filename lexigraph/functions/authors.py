@@ -10,11 +10,13 @@ from .text import author_key, present, squeezed
 AUTHOR = "struct<author_key:string,name:string,profile_url:string,affiliation:string>"
 # What an abbreviated given name costs a name's quality.
 ABBREVIATED = 20
+# What a name's match form drops, and how an abbreviated given name looks.
+NOT_MATCHED, ABBREVIATION = r"[^a-z\s,]", r",\s*[A-Z](?:\.|$)"
 
 
 def match_form(name: Column) -> Column:
     """Lower case, hyphens and everything but letters and commas as spaces, squeezed."""
-    return squeezed(F.regexp_replace(F.replace(F.lower(name), F.lit("-"), F.lit(" ")), r"[^a-z\s,]", " "))
+    return squeezed(F.regexp_replace(F.replace(F.lower(name), F.lit("-"), F.lit(" ")), NOT_MATCHED, " "))
 
 
 def signature(name: Column) -> Column:
@@ -38,13 +40,14 @@ def names_match(first: Column, second: Column) -> Column:
 
 def name_quality(name: Column) -> Column:
     """The more letters the better; abbreviated given names count against it."""
-    return F.length(F.regexp_replace(name, "[^A-Za-z]", "")) - F.when(name.rlike(r",\s*[A-Z](?:\.|$)"), ABBREVIATED).otherwise(0)
+    return F.length(F.regexp_replace(name, "[^A-Za-z]", "")) - F.when(name.rlike(ABBREVIATION), ABBREVIATED).otherwise(0)
 
 
 def merged(authors: Column) -> Column:
     """An ordered array of authors with each merged into the first earlier one that it matches.
 
-    The earlier key stays; the better name, and whichever profile and affiliation there is first, are kept.
+    The earlier key stays; the better name, and whichever profile and affiliation there is first, are kept. An author who
+    matches none but has an earlier one's key, as names without Latin letters do, takes that one's place.
     """
 
     def same(old: Column, new: Column) -> Column:
@@ -59,7 +62,9 @@ def merged(authors: Column) -> Column:
 
     def add(held: Column, new: Column) -> Column:
         at = F.array_position(F.transform(held, lambda old: same(old, new)), True)
-        return F.when(at > 0, F.transform(held, lambda old, i: F.when(i + 1 == at, join(old, new)).otherwise(old))).otherwise(F.concat(held, F.array(new)))
+        known = F.array_position(F.transform(held, lambda old: old["author_key"]), new["author_key"])
+        put = lambda place, value: F.transform(held, lambda old, i: F.when(i + 1 == place, value(old)).otherwise(old))
+        return F.when(at > 0, put(at, lambda old: join(old, new))).when(known > 0, put(known, lambda old: new)).otherwise(F.concat(held, F.array(new)))
 
     keyed = F.transform(authors, lambda a: F.struct(author_key(a["name"], a["profile_url"]).alias("author_key"), a["name"].alias("name"), a["profile_url"].alias("profile_url"), a["affiliation"].alias("affiliation")).cast(AUTHOR))
     return F.aggregate(keyed, F.array().cast(f"array<{AUTHOR}>"), add)

@@ -86,8 +86,12 @@ def year_in(text: Column) -> Column:
     return present(F.regexp_extract(F.coalesce(text, F.lit("")), r"\b(?:19|20)[0-9]{2}\b", 0)).cast("int")
 
 
+# Where a publication type is found and what ends it.
+TYPE_PATTERN = r"Research output:\s*(.+?)(?:\s+Open Access|\s+File|\s+\d+\s+Downloads|$)"
+
+
 def publication_type(text: Column) -> Column:
-    return present(squeezed(F.regexp_extract(F.coalesce(text, F.lit("")), r"Research output:\s*(.+?)(?:\s+Open Access|\s+File|\s+\d+\s+Downloads|$)", 1)))
+    return present(squeezed(F.regexp_extract(F.coalesce(text, F.lit("")), TYPE_PATTERN, 1)))
 
 
 def without_fragment(url: Column) -> Column:
@@ -108,20 +112,31 @@ def url_query(url: Column) -> Column:
     return F.regexp_extract(without_fragment(url), r"\?(.*)$", 1)
 
 
+def folded(path: Column) -> Column:
+    """A path from the root with its "." and ".." segments followed."""
+    segments = F.split(F.regexp_replace(path, "^/", ""), "/")
+    step = lambda held, x: F.when(x == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).when(x == ".", held).otherwise(F.concat(held, F.array(x)))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    end = F.when(F.element_at(segments, -1).isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(path)
+
+
 def absolute_url(base: Column, href: Column) -> Column:
     """``href`` seen from ``base``, for absolute, protocol-relative, root-relative, query, fragment and plain relative links."""
+    tail = F.regexp_extract(href, r"([?#].*)$", 1)
+    path = F.regexp_replace(href, r"[?#].*$", "")
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
     page = F.regexp_replace(base, r"[?#].*$", "")
-    folder = F.when(url_path(base) == "", F.concat(origin, F.lit("/"))).otherwise(F.regexp_replace(page, r"[^/]*$", ""))
+    folder = F.when(url_path(base) == "", F.lit("/")).otherwise(F.regexp_replace(url_path(base), r"[^/]*$", ""))
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(origin, href))
+        .when(href.startswith("/"), F.concat(origin, folded(path), tail))
         .when(href == "", base)
         .when(href.startswith("?"), F.concat(page, href))
         .when(href.startswith("#"), F.concat(without_fragment(base), href))
-        .otherwise(F.concat(folder, href))
+        .otherwise(F.concat(origin, folded(F.regexp_replace(F.concat(folder, path), "/+", "/")), tail))
     )
 
 

@@ -1,18 +1,20 @@
 """Text clustering: Lloyd's k-means over sparse long vectors, summaries, assignment of unseen texts.
 
 Points and centroids stay in long form (id, term, weight). A distance is |x|² + |c|² - 2 x·c, so only terms that a
-point and a centroid share meet in a join; the k centroids are broadcast while k times the vocabulary is small.
+point and a centroid share meet in a join; the centroids that share none with a point are told from one row that lists
+their norms, so there is one row a point and no row a point and centroid. Centroids are broadcast while their rows and bytes are few.
 """
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigraph.session import cut
+
 from .index import build, damped, term_frequencies
 from .search import small
 
@@ -22,14 +24,6 @@ CLUSTERS, RANDOM_STATE, MAX_ITER, TOP_TERMS = 3, 42, 100, 8
 BROADCAST_CENTROIDS, DIGITS = 2_000_000, 9
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Ends lineage in the checkpoint folder that the session names."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lexigraph-"))
-    return df.checkpoint()
-
-
 def seeds(n: int, k: int, random_state: int) -> list[int]:
     """Row numbers of the first centroids."""
     return [int(i) for i in np.random.default_rng(random_state).choice(n, size=k, replace=False)]
@@ -42,18 +36,24 @@ def square_norms(points: DataFrame, by: str) -> DataFrame:
 def assign(ids: DataFrame, points: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
     """(id, cluster, distance): the nearest centroid of each id, ties to the lowest; an id without terms is the zero vector.
 
-    ``centroids`` has cluster, term, weight.
+    ``centroids`` has cluster, term, weight; a cluster without rows is the zero vector.
     """
     spark = ids.sparkSession
     held = small(centroids.select("cluster", "term", F.col("weight").alias("centre")), BROADCAST_CENTROIDS)
-    dots = points.join(held, "term").groupBy("id", "cluster").agg(F.sum(F.col("weight") * F.col("centre")).alias("dot"))
-    # k rows of centroid norms
-    every = spark.range(k).select(F.col("id").cast("int").alias("cluster")).join(square_norms(centroids, "cluster").withColumnRenamed("square", "c2"), "cluster", "left").fillna(0.0, "c2")
+    norms = square_norms(centroids, "cluster").withColumnRenamed("square", "c2")
+    # k rows, and one row that lists them by norm
+    every = spark.range(k).select(F.col("id").cast("int").alias("cluster")).join(norms, "cluster", "left").fillna(0.0, "c2")
+    listed = every.agg(F.array_sort(F.collect_list(F.struct("c2", "cluster"))).alias("by_norm"))
+    dots = points.join(held, "term").groupBy("id", F.col("cluster").cast("int").alias("cluster")).agg(F.sum(F.col("weight") * F.col("centre")).alias("dot"))
+    met = dots.join(F.broadcast(every), "cluster").groupBy("id").agg(F.collect_list(F.struct("cluster", (F.col("c2") - 2 * F.col("dot")).alias("part"))).alias("met"))
     own = ids.select("id").join(square_norms(points, "id").withColumnRenamed("square", "x2"), "id", "left").fillna(0.0, "x2")
-    pairs = own.crossJoin(F.broadcast(every)).join(dots, ["id", "cluster"], "left").fillna(0.0, "dot")
-    distance = F.sqrt(F.greatest(F.col("x2") + F.col("c2") - 2 * F.col("dot"), F.lit(0.0)))
-    near = F.min(F.struct(F.round(distance, DIGITS).alias("distance"), F.col("cluster").cast("int").alias("cluster")))
-    return pairs.groupBy("id").agg(near.alias("near")).select("id", "near.cluster", "near.distance")
+    whole = own.join(met, "id", "left").crossJoin(F.broadcast(listed))
+    square = lambda part: F.round(F.sqrt(F.greatest(F.col("x2") + part, F.lit(0.0))), DIGITS)
+    none = F.coalesce("met", F.array().cast("array<struct<cluster:int,part:double>>"))
+    # At most k entries an id, in one row
+    others = F.filter("by_norm", lambda c: ~F.array_contains(F.transform(none, lambda m: m["cluster"]), c["cluster"]))
+    entries = F.concat(F.transform(none, lambda m: F.struct(square(m["part"]).alias("distance"), m["cluster"].alias("cluster"))), F.transform(others, lambda c: F.struct(square(c["c2"]).alias("distance"), c["cluster"].alias("cluster"))))
+    return whole.select("id", F.array_min(entries).alias("near")).select("id", "near.cluster", "near.distance")
 
 
 def update(points: DataFrame, labels: DataFrame, centroids: DataFrame) -> DataFrame:

@@ -34,6 +34,16 @@ def positions(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return dealt.select(key, F.posexplode(terms(F.col("_text"))).alias("position", "term"))
 
 
+def frequencies_of(placed: DataFrame, key: str) -> DataFrame:
+    """(key, term, tf) from positions."""
+    return placed.groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def by_term(df: DataFrame) -> DataFrame:
+    """Laid out in order of the term, so that a stored table is read only where it holds the terms asked for."""
+    return df.repartitionByRange("term").sortWithinPartitions("term")
+
+
 def damped(tf: Column) -> Column:
     return F.when(tf > 0, 1 + F.log10(tf)).otherwise(0.0)
 

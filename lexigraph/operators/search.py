@@ -9,13 +9,17 @@ from lexigraph.functions.text import terms
 
 from .index import Index, damped, inverse_frequency, term_frequencies
 
-#: Query terms up to this many are broadcast; more are joined by shuffle.
-BROADCAST_TERMS = 100_000
+#: Rows and bytes up to which a side is broadcast; what is more is joined by shuffle.
+BROADCAST_TERMS, BROADCAST_BYTES = 100_000, 64 << 20
+#: Terms of one query up to which they are put into the scan as a filter.
+FILTER_TERMS = 1000
 
 
 def is_small(df: DataFrame, rows: int) -> bool:
-    """By a count that stops after ``rows``."""
-    return df.limit(rows + 1).count() <= rows
+    """By a count that stops after ``rows``, and the bytes of these rows."""
+    size = [F.octet_length(F.col(c)) if t == "string" else F.lit(8) for c, t in df.dtypes]
+    there, held = df.limit(rows + 1).agg(F.count("*"), F.sum(sum((F.coalesce(x, F.lit(0)).cast("bigint") for x in size), F.lit(16)))).first()
+    return there <= rows and (held or 0) <= BROADCAST_BYTES
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -34,12 +38,16 @@ def query_vectors(queries: DataFrame, idf: DataFrame, query_id: str = "query_id"
     """
     asked = query_terms(queries, query_id, text)
     few = is_small(asked, BROADCAST_TERMS)
-    raw = idf.join(F.broadcast(asked) if few else asked, "term").select(query_id, "term", (damped(F.col("query_tf")) * F.col("idf")).alias("raw"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(query_id)))
-    vectors = raw.select(query_id, "term", (F.col("raw") / norm).alias("query_weight"))
+    vectors = weighted(F.broadcast(asked) if few else asked, idf, query_id)
     return F.broadcast(vectors) if few else vectors
 
 
+def weighted(asked: DataFrame, idf: DataFrame, query_id: str) -> DataFrame:
+    raw = idf.join(asked, "term").select(query_id, "term", (damped(F.col("query_tf")) * F.col("idf")).alias("raw"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(query_id)))
+    return raw.select(query_id, "term", (F.col("raw") / norm).alias("query_weight"))
+
+
 def scores(vectors: DataFrame, weights: DataFrame, key: str, query_id: str = "query_id") -> DataFrame:
     """(query_id, key, score, matched_terms) of documents that share a term; only their postings are read past the join."""
     hits = weights.join(vectors, "term")
@@ -57,18 +65,22 @@ def ranked(scored: DataFrame, key: str, limit: int, query_id: str = "query_id",
 
 
 def search(index: Index, query: str, limit: int = 10) -> DataFrame:
-    """rank, key, score, matched_terms, query_tokens of one query."""
+    """rank, key, score, matched_terms, query_tokens of one query.
+
+    Its terms are known before the scan, so a stored index sorted by term is read only where it holds them.
+    """
     spark = index.docs.sparkSession
+    tokens = spark.range(1).select(terms(F.lit(query))).first()[0]
     asked = spark.createDataFrame([(0, query)], "query_id int, query string")
-    hits = scores(query_vectors(asked, index.idf), pruned_weights(index, asked), index.key)
+    known = sorted(set(tokens))
+    if len(known) <= FILTER_TERMS:
+        idf, weights = (df.where(F.col("term").isin(known)) if known else df.limit(0) for df in (index.idf, index.weights))
+        vectors = F.broadcast(weighted(query_terms(asked, "query_id", "query"), idf, "query_id"))
+    else:
+        weights, vectors = index.weights, query_vectors(asked, index.idf)
+    hits = scores(vectors, weights, index.key)
     best = hits.orderBy(F.round("score", 9).desc(), index.key).limit(limit) if limit > 0 else hits
-    return ranked(best, index.key, limit).withColumn("query_tokens", terms(F.lit(query))).drop("query_id").orderBy("rank")
-
-
-def pruned_weights(index: Index, queries: DataFrame, query_id: str = "query_id", text: str = "query") -> DataFrame:
-    """The index's weights for the queries' terms alone. Norms still come from all terms of the documents that have one."""
-    asked = query_terms(queries, query_id, text).select("term").distinct()
-    return index.weights.join(small(asked, BROADCAST_TERMS), "term", "left_semi")
+    return ranked(best, index.key, limit).withColumn("query_tokens", F.array(*map(F.lit, tokens)).cast("array<string>")).drop("query_id").orderBy("rank")
 
 
 def with_publications(hits: DataFrame, publications: DataFrame, key: str = "publication_key") -> DataFrame:

@@ -1,11 +1,14 @@
-"""Versioned Parquet tables: keyed upserts, appends, atomic replacement.
+"""Versioned Parquet tables: keyed upserts, appends, atomic replacement of one or several tables.
 
-A table is a folder of version folders and a pointer file; readers follow the pointer, so a rebuild is never seen half
-done. Paths go through Hadoop's file system, whatever store they name.
+The store's state is its last commit: a file that lists each table's folders. A commit is written aside and renamed to the
+next number, which fails if that is taken, so readers see all tables of a commit or none, and two writers cannot both
+follow one commit. An append adds a folder and rewrites nothing. Paths go through Hadoop's file system, whatever store
+they name.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +17,12 @@ from pyspark.sql import functions as F
 from lexigraph.functions.text import author_key, searchable_text, stable_id
 from lexigraph.schemas import TABLES, columns
 
+#: What must be unique in a table.
+KEYS = {"publications": "publication_key", "authors": "author_key", "crawl_runs": "run_id", "idf": "term", "document_vectors": "publication_key", "index_metadata": "name"}
+#: Folders of a table from which an append writes them as one; commits that ``vacuum`` keeps.
+MOST_FOLDERS, KEPT_COMMITS = 64, 2
+COMMITS = "_commits"
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
@@ -30,44 +39,89 @@ class Store:
         if not self._fs().mkdirs(self._path()):
             raise RuntimeError(f"the store {self.root} cannot be made")
 
-    def version(self, table: str) -> str | None:
-        """The current version: the last pointer by name, and names grow."""
-        folder = self._path(table, "_current")
-        if not self._fs().exists(folder):
-            return None
-        names = sorted(s.getPath().getName() for s in self._fs().listStatus(folder))
-        return names[-1].partition("-")[2] if names else None
+    def commits(self) -> list[int]:
+        folder = self._path(COMMITS)
+        names = [s.getPath().getName() for s in self._fs().listStatus(folder)] if self._fs().exists(folder) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def state(self, commit: int | None = None) -> tuple[int, dict[str, list[str]]]:
+        """The number of the last (or the given) commit and each table's folders."""
+        commit = max(self.commits(), default=0) if commit is None else commit
+        if not commit:
+            return 0, {}
+        text = self.spark.read.text(f"{self.root}/{COMMITS}/{commit:012d}", wholetext=True).first()[0]
+        return commit, json.loads(text)
+
+    def version(self, table: str) -> list[str] | None:
+        """The folders that hold a table now."""
+        return self.state()[1].get(table)
+
+    def _commit(self, after: int, tables: dict[str, list[str]]) -> None:
+        jvm, name = self.spark._jvm, uuid.uuid4().hex
+        aside = self._path(COMMITS, f"_{name}")
+        out = self._fs().create(aside, False)
+        out.write(bytearray(json.dumps(tables).encode()))
+        out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path().toUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        context.rename(aside, self._path(COMMITS, f"{after + 1:012d}"), none)
 
     def read(self, table: str) -> DataFrame:
-        version = self.version(table)
-        if version is None:
+        folders = self.state()[1].get(table)
+        if not folders:
             if table not in TABLES:
                 raise RuntimeError(f"the store has no table {table}")
             return self.spark.createDataFrame([], TABLES[table])
         reader = self.spark.read.schema(TABLES[table]) if table in TABLES else self.spark.read
-        return reader.parquet(f"{self.root}/{table}/{version}")
+        return reader.parquet(*(f"{self.root}/{table}/{f}" for f in folders))
 
-    def replace(self, table: str, df: DataFrame) -> DataFrame:
-        """Writes a new version, then points to it."""
-        version, before = uuid.uuid4().hex, self.version(table)
-        df.write.parquet(f"{self.root}/{table}/{version}")
-        folder = self._path(table, "_current")
-        turn = 1 + (len(self._fs().listStatus(folder)) if before else 0)
-        self._fs().create(self._path(table, "_current", f"{turn:09d}-{version}"), False).close()
-        return self.read(table)
+    def _written(self, table: str, df: DataFrame) -> str:
+        """A new folder with the rows, which nothing refers to yet; raises if they repeat what must be unique."""
+        folder = uuid.uuid4().hex
+        df.write.parquet(f"{self.root}/{table}/{folder}")
+        if table in KEYS and not repeated(self.spark.read.parquet(f"{self.root}/{table}/{folder}"), KEYS[table]).isEmpty():
+            raise ValueError(f"{table} repeats {KEYS[table]}")
+        return folder
 
     def replace_all(self, tables: dict[str, DataFrame]) -> None:
-        for name, df in tables.items():
-            self.replace(name, df)
+        """Writes new versions of the tables, then makes all of them visible at once."""
+        after, held = self.state()
+        self._commit(after, held | {name: [self._written(name, df)] for name, df in tables.items()})
+
+    def replace(self, table: str, df: DataFrame) -> DataFrame:
+        self.replace_all({table: df})
+        return self.read(table)
 
     def append(self, table: str, df: DataFrame) -> None:
-        self.replace(table, self.read(table).unionByName(df))
+        after, held = self.state()
+        folders = held.get(table, [])
+        if len(folders) >= MOST_FOLDERS:
+            self.replace(table, self.read(table).unionByName(df))
+        else:
+            self._commit(after, held | {table: [*folders, self._written(table, df)]})
+
+    def vacuum(self, keep: int = KEPT_COMMITS) -> None:
+        """Deletes folders that the last ``keep`` commits do not list, and older commits. Run it where no other writer is."""
+        commits = self.commits()
+        states = [self.state(c)[1] for c in commits[-keep:]]
+        for status in self._fs().listStatus(self._path()):
+            table = status.getPath().getName()
+            if table != COMMITS and status.isDirectory():
+                used = {f for s in states for f in s.get(table, [])}
+                for folder in self._fs().listStatus(status.getPath()):
+                    if folder.getPath().getName() not in used:
+                        self._fs().delete(folder.getPath(), True)
+        for c in commits[:-keep]:
+            self._fs().delete(self._path(COMMITS, f"{c:012d}"), False)
 
     def upsert_publications(self, batch: DataFrame, order: str = "ord") -> int:
         """Later rows of a key win; first_seen_at stays. Returns how many were new or written anew, which is all of them."""
         rows = publication_rows(batch, order)
-        self.replace("authors", merged_authors(self.read("authors"), author_rows(rows)))
-        self.replace("publications", upserted(self.read("publications"), rows.select(*[c for c in columns("publications") if c != "first_seen_at"]), "publication_key"))
+        fresh = rows.select(*[c for c in columns("publications") if c != "first_seen_at"])
+        self.replace_all({
+            "authors": merged_authors(self.read("authors"), author_rows(rows)),
+            "publications": upserted(self.read("publications"), fresh, "publication_key"),
+        })
         return rows.count()
 
     def save_run(self, run: DataFrame) -> str:
@@ -76,7 +130,12 @@ class Store:
         return run_id
 
     def repeated_keys(self, table: str, key: str) -> DataFrame:
-        return self.read(table).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+        return repeated(self.read(table), key)
+
+
+def repeated(df: DataFrame, key: str) -> DataFrame:
+    """(key, n) of the keys that several rows have."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def latest_by_key(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigraph.functions import html
 from lexigraph.functions.text import absolute_url, canonical_url, publication_type, squeezed, year_in
-from lexigraph.operators.cluster import cut
+from lexigraph.session import cut
 from lexigraph.sources.html_records import details
 
 from .retrieval import table

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -18,7 +19,26 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     return builder.config(map=settings).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only a local master may do without one, and gets a temporary folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isEmpty():
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexigraph-"))
+            held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = held.get()
+    return path.rstrip("/")
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share: the session's, or a local one where it names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexigraph-")
-    return f"{path.rstrip('/')}/lexigraph-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/lexigraph-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Ends lineage in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -32,8 +32,9 @@ NOT_NAMES = ("profiles", "persons")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 AUTHORS = "array<struct<name:string,profile_url:string,affiliation:string>>"
+LINKS = "place int, link string"
 SUMMARY = f"page_url string, ord int, publication_url string, title string, full_text string, authors {AUTHORS}"
-DETAIL = f"publication_url string, title string, published_date string, source string, abstract string, full_text string, authors {AUTHORS}"
+DETAIL = f"requested_url string, publication_url string, title string, published_date string, source string, abstract string, full_text string, authors {AUTHORS}"
 
 
 @dataclass
@@ -176,6 +177,25 @@ def summaries_of(html: str | None, base: str) -> list[dict]:
     return [{"page_url": base, "ord": i, **r} for i, r in enumerate(found.values())]
 
 
+def links_of(html: str | None, base: str) -> list[str]:
+    """Every link of a page as seen from it, in order."""
+    return [url for _, url in links(tree(html), base)]
+
+
+def page_links(pages: DataFrame, *carried: str) -> DataFrame:
+    """(carried columns, place, link) for every link of pages (url, html)."""
+    schema = ", ".join([*(f"{c} {t}" for c, t in pages.dtypes if c in carried), "links array<string>"])
+    carried = tuple(c for c in pages.columns if c in carried)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [links_of(html, url or "") for url, html in zip(batch["url"], batch["html"])]
+            yield batch[list(carried)].assign(links=found)
+
+    found = pages.select("url", "html", *carried).mapInPandas(run, schema)
+    return found.select(*carried, F.posexplode("links").alias("place", "link"))
+
+
 def detail_of(html: str | None, url: str) -> dict:
     page = tree(html)
     first = lambda names: next(iter(metas(page, names)), None)
@@ -203,21 +223,26 @@ def summaries(pages: DataFrame) -> DataFrame:
 
 
 def details(pages: DataFrame) -> DataFrame:
-    """The publication record of each page (url, html)."""
+    """The publication record of each page (url, html and, where it was another, the final_url that it came from)."""
+    came_from = F.coalesce("final_url", "url") if "final_url" in pages.columns else F.col("url")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([detail_of(html, url or "") for url, html in zip(batch["url"], batch["html"])], columns=["publication_url", "title", "published_date", "source", "abstract", "full_text", "authors"])
+            rows = [{"requested_url": asked} | detail_of(html, url or "") for asked, url, html in zip(batch["url"], batch["came_from"], batch["html"])]
+            yield pd.DataFrame(rows, columns=["requested_url", "publication_url", "title", "published_date", "source", "abstract", "full_text", "authors"])
 
-    return _with_fields(pages.select("url", "html").mapInPandas(run, DETAIL))
+    return _with_fields(pages.select("url", came_from.alias("came_from"), "html").mapInPandas(run, DETAIL))
 
 
 def combined(summary: DataFrame, detail: DataFrame) -> DataFrame:
-    """Summaries with their details where there are any: the detail's field if it has one, authors of both by key."""
-    d = detail.select(F.col("publication_url"), *(F.col(c).alias(f"d_{c}") for c in ("title", "published_date", "source", "abstract", "full_text", "authors", "publication_year", "publication_type")))
+    """Summaries with their details where there are any: the detail's field if it has one, its address included, authors of
+    both by key. A detail belongs to the summary whose address was asked for."""
+    fields = ("publication_url", "title", "published_date", "source", "abstract", "full_text", "authors", "publication_year", "publication_type")
+    d = detail.select(F.col("requested_url").alias("asked"), *(F.col(c).alias(f"d_{c}") for c in fields))
     pick = lambda c: F.coalesce(present(f"d_{c}"), F.col(c)).alias(c)
     both = F.concat("authors", F.coalesce("d_authors", F.array().cast(summary.schema["authors"].dataType)))
-    return summary.join(d, "publication_url", "left").select(
-        stable_id(F.col("publication_url")).alias("publication_key"), "publication_url", *(pick(c) for c in ("title", "published_date", "source", "abstract", "full_text", "publication_type")),
+    address = F.coalesce(present("d_publication_url"), F.col("publication_url"))
+    return summary.join(d, summary["publication_url"] == d["asked"], "left").select(
+        stable_id(address).alias("publication_key"), address.alias("publication_url"), *(pick(c) for c in ("title", "published_date", "source", "abstract", "full_text", "publication_type")),
         F.coalesce("d_publication_year", "publication_year").alias("publication_year"), distinct_by_key(both).alias("authors"), F.col("page_url").alias("crawled_from"), *[c for c in ("ord", "page_ord") if c in summary.columns],
     )

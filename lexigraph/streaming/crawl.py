@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigraph.config import EngineConfig
-from lexigraph.functions import html as page
-from lexigraph.functions.text import absolute_url, canonical_url, is_listing_url, path_below, url_path, without_fragment
-from lexigraph.operators.cluster import cut
+from lexigraph.functions.text import canonical_url, is_listing_url, path_below, url_path, without_fragment
+from lexigraph.session import cut
+from lexigraph.sources import html_records
 from lexigraph.sources.html_records import PERSONS, combined, details, summaries
 
 _LINKS = "url string, page_ord bigint, place int"
@@ -32,8 +32,7 @@ class CrawlOutput:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(page_ord, place, href seen from the page) for every link of pages (final_url, html, page_ord)."""
-    found = pages.select("page_ord", "final_url", F.posexplode(page.links(F.col("html"))).alias("place", "href"))
-    return found.select("page_ord", "place", absolute_url(F.col("final_url"), F.col("href")).alias("link"))
+    return html_records.page_links(pages.select(F.col("final_url").alias("url"), "html", "page_ord"), "page_ord")
 
 
 def first_seen(links: DataFrame) -> DataFrame:
@@ -42,11 +41,23 @@ def first_seen(links: DataFrame) -> DataFrame:
     return links.groupBy("url").agg(at.alias("at")).select("url", "at.page_ord", "at.place")
 
 
+def unseen(links: DataFrame, seen: DataFrame) -> DataFrame:
+    """(url, page_ord, place) of the links to places that ``seen`` (url) does not have, each once."""
+    return first_seen(links).join(seen, "url", "left_anti").select("url", "page_ord", "place")
+
+
 def numbered(df: DataFrame, start: int, *order: str) -> DataFrame:
     """An ordinal in the given order; ``df`` is a capped frontier."""
     return df.withColumn("page_ord", (F.row_number().over(Window.orderBy(*order)) + start - 1).cast("bigint"))
 
 
+def visited_by(source, urls: DataFrame) -> DataFrame:
+    """What a source fetched, once and for all; a source that is polite hears of it before the next turn."""
+    fetched = cut(source.fetch(urls))
+    source.heard(fetched)
+    return fetched
+
+
 def crawl(spark: SparkSession, config: EngineConfig, source, max_listing_pages: int | None = None, max_profile_pages: int | None = None, max_publications: int | None = None) -> CrawlOutput:
     """A cap of 0 stands for the default, but 0 profile pages are none. Failed pages do not use up the listing cap."""
     listings = max_listing_pages or config.max_listing_pages
@@ -57,27 +68,27 @@ def crawl(spark: SparkSession, config: EngineConfig, source, max_listing_pages:
 
     queue = spark.createDataFrame([(config.seed_url, 0, 0)], _LINKS)
     seen = queue.select("url")
-    got = spark.createDataFrame([], "url string, page_ord bigint, final_url string, html string, status_code int, error_kind string, error string")
+    got = None
     visited = tried = 0
     while visited < listings:
         turn = numbered(queue.orderBy("page_ord", "place").limit(listings - visited), tried, "page_ord", "place").select("url", "page_ord")
-        fetched = cut(source.fetch(turn))
+        fetched = visited_by(source, turn)
         n = fetched.count()
         if not n:
             break
         good = fetched.where("error_kind IS NULL")
         visited, tried = visited + good.count(), tried + n
-        got = cut(got.unionByName(fetched))
+        got = fetched if got is None else cut(got.unionByName(fetched))
         links = page_links(good).withColumn("url", without_fragment(F.col("link"))).where(is_listing_url(F.col("url"), organisation))
         rest = queue.join(fetched.select("url"), "url", "left_anti")
-        new = first_seen(links).join(seen, "url", "left_anti").select("url", "page_ord", "place")
+        new = unseen(links, seen)
         seen = cut(seen.union(new.select("url")))
         queue = cut(rest.unionByName(new))
 
     good = got.where("error_kind IS NULL")
     people = page_links(good).withColumn("url", canonical_url(F.col("link"))).where(path_below(F.col("link"), PERSONS))
     asked = numbered(first_seen(people).orderBy("page_ord", "place").limit(profiles), tried, "page_ord", "place").select("url", "page_ord")
-    profile_pages = cut(source.fetch(asked))
+    profile_pages = visited_by(source, asked)
     visited_profiles = profile_pages.where("error_kind IS NULL").count()
     pages = good.unionByName(profile_pages.where("error_kind IS NULL")).select(F.col("final_url").alias("url"), "html", "page_ord")
 
@@ -85,8 +96,8 @@ def crawl(spark: SparkSession, config: EngineConfig, source, max_listing_pages:
     first = Window.partitionBy("publication_url").orderBy("page_ord", "ord")
     once = found.withColumn("turn", F.row_number().over(first)).where("turn = 1").drop("turn")
     chosen = cut(once.orderBy("page_ord", "ord").limit(wanted))
-    detail_pages = cut(source.fetch(chosen.select(F.col("publication_url").alias("url"))))
-    detail = details(detail_pages.where("error_kind IS NULL").select(F.col("url"), "html"))
+    detail_pages = visited_by(source, chosen.select(F.col("publication_url").alias("url")))
+    detail = details(detail_pages.where("error_kind IS NULL").select("url", "final_url", "html"))
     publications = combined(chosen, detail).orderBy("page_ord", "ord")
     every = got.select("url", "error_kind", "error").unionByName(profile_pages.select("url", "error_kind", "error")).unionByName(detail_pages.select("url", "error_kind", "error"))
     return CrawlOutput(cut(publications), visited + visited_profiles, visited_profiles, every.where("error_kind = 'robots'").select("url"), every.where("error_kind = 'fetch'").select("url", "error"))
@@ -100,4 +111,4 @@ def run_row(spark: SparkSession, config: EngineConfig, output: CrawlOutput, save
     return skipped.crossJoin(failed).withColumns(one)
 
 
-__all__ = ["CrawlOutput", "crawl", "first_seen", "numbered", "page_links", "run_row", "url_path"]
+__all__ = ["CrawlOutput", "crawl", "first_seen", "numbered", "page_links", "run_row", "unseen", "url_path"]

@@ -13,24 +13,30 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lexigraph.config import EngineConfig
 from lexigraph.functions.text import indexed_text
-from lexigraph.operators.index import build, positions, segmented_postings
+from lexigraph.operators.index import Index, by_term, document_frequencies, frequencies_of, positions, segmented_postings, weights
 from lexigraph.operators.store import Store
 
-from .crawl import crawl, run_row
+from .crawl import CrawlOutput, crawl, run_row
 
 SECONDS_A_DAY = 86_400
 
 
 @dataclass
 class UpdateResult:
+    crawl: CrawlOutput
+    saved: int
+    run_id: str
+    indexed: int
+    terms: int
     started_at: datetime
     finished_at: datetime
-    publications_extracted: int
-    publications_saved: int
-    pages_visited: int
-    profile_pages_visited: int
-    crawl_run_id: str
-    index_message: str
+
+    def __str__(self) -> str:
+        return f"run {self.run_id}: {self.crawl.pages_visited} pages, {self.saved} publications saved; {index_line(self.indexed, self.terms)}"
+
+
+def index_line(documents: int, terms: int) -> str:
+    return f"{documents} documents and {terms} terms are in the index"
 
 
 def now() -> datetime:
@@ -43,30 +49,44 @@ def interval_seconds(days: float) -> int:
     return max(1, int(days * SECONDS_A_DAY))
 
 
-def rebuild_index(store: Store) -> str:
-    """Writes postings, weights, idf, vectors and metadata as new versions; readers switch table by table to whole ones."""
-    publications = store.read("publications")
-    index = build(publications, "publication_key", indexed_text())
-    store.replace("idf", index.idf)
-    store.replace("weights", index.weights)
+def rebuild_index(store: Store) -> tuple[int, int]:
+    """Writes postings, weights, idf, vectors and metadata, which readers see all at once; returns documents and terms.
+
+    Texts are split once: the terms' positions are written, and everything else is made from them.
+    """
+    publications, key = store.read("publications"), "publication_key"
+    store.replace("positions", positions(publications, key, indexed_text()))
+    placed = store.read("positions")
+    tf = frequencies_of(placed, key)
+    idf = document_frequencies(tf, publications)
+    index = Index(key, publications, tf, idf, weights(tf, idf, key))
     carried = ["title", "publication_url", "publication_year", "authors"]
     at = F.lit(now())  # one time a build
-    store.replace("document_vectors", index.document_vectors(carried).withColumn("indexed_at", at))
-    store.replace("inverted_index", segmented_postings(positions(publications, "publication_key", indexed_text()), "publication_key"))
-    meta = store.replace("index_metadata", index.metadata().withColumn("indexed_at", at)).first()
-    return f"Indexed {meta['document_count']} documents with {meta['vocabulary_size']} terms."
+    store.replace_all({
+        "idf": by_term(index.idf),
+        "weights": by_term(index.weights),
+        "document_vectors": index.document_vectors(carried).withColumn("indexed_at", at),
+        "inverted_index": by_term(segmented_postings(placed, key)),
+        "index_metadata": index.metadata().withColumn("indexed_at", at),
+    })
+    store.vacuum()
+    meta = store.read("index_metadata").first()
+    return meta["document_count"], meta["vocabulary_size"]
+
+
+def stored_index(store: Store) -> Index:
+    """What search reads: idf and weights, both in order of the term."""
+    return Index("publication_key", store.read("publications").select("publication_key"), None, store.read("idf"), store.read("weights"))
 
 
 def run_once(spark: SparkSession, config: EngineConfig, source, store: Store, **caps: int | None) -> UpdateResult:
     started = now()
     store.check()
     output = crawl(spark, config, source, **caps)
-    extracted = output.publications.count()
     order = output.publications.withColumn("ord", F.struct("page_ord", "ord"))
     saved = store.upsert_publications(order.drop("page_ord"))
     run_id = store.save_run(run_row(spark, config, output, saved, started, now()))
-    message = rebuild_index(store)
-    return UpdateResult(started, now(), extracted, saved, output.pages_visited, output.profile_pages_visited, run_id, message)
+    return UpdateResult(output, saved, run_id, *rebuild_index(store), started, now())
 
 
 def run_forever(update: Callable[[], UpdateResult], days: float, run_immediately: bool = True, keep_going: bool = False, sleep: Callable[[float], None] = time.sleep, turns: int | None = None) -> None:

@@ -69,12 +69,12 @@ def test_crawl(spark, config, source):
 def test_update_and_cli(spark, config, source, capsys):
     store = Store(spark, config.store)
     result = run_once(spark, config, source, store)
-    assert result.publications_extracted == result.publications_saved == 4 and result.index_message.startswith("Indexed 4 documents")
+    assert result.crawl.publications.count() == result.saved == result.indexed == 4 and str(result).endswith(f"4 documents and {result.terms} terms are in the index")
     stored = store.read("document_vectors").collect()
     assert len(stored) == 4 and all(r["token_count"] >= r["unique_term_count"] == len(r["vector"]) > 0 and r["title"] for r in stored) and len({r["indexed_at"] for r in stored}) == 1
     run = store.read("crawl_runs").collect()
     assert len(run) == 1 and run[0]["status"] == "completed" and len(run[0]["failed_urls"]) == 2
-    assert main(["search", "first part abstract"], config, source) == 0 and "1. Full p1" in capsys.readouterr().out
+    assert main(["search", "first part abstract"], config, source) == 0 and "Full p1 (2019)" in capsys.readouterr().out.splitlines()[0]
     assert main(["check-db"], config, source) == 0 and main(["crawl", "--dry-run"], config, source) == 0 and "Authors: Doe, J., Roe, R." in capsys.readouterr().out
     assert main(["crawl", "--skip-index"], config, source) == 0 and store.read("crawl_runs").count() == 2 and store.read("publications").count() == 4
     with pytest.raises(RuntimeError):
@@ -96,9 +96,11 @@ def test_polite_visits():
         return url + "#final", 404 if url.endswith("/missing") else 200, "body"
 
     v = Visitor(EngineConfig(allowed_domain="portal.example"), get, lambda: clock[0], sleep)
-    assert v.visit(f"{ROOT}/a") == (f"{ROOT}/a#final", "body", 200, None, None)
+    assert v.visit(f"{ROOT}/a")[:5] == (f"{ROOT}/a#final", "body", 200, None, None)
     assert v.visit(f"{ROOT}/b")[3] is None and slept == [3.0]
     assert v.visit(f"{ROOT}/no/x")[3] == "robots" and v.visit("https://other.org/")[3] == "robots" and v.visit("ftp://portal.example/")[3] == "robots"
+    later = Visitor(EngineConfig(allowed_domain="portal.example"), lambda url, *a: (url, 200, "x") if "robots" not in url else 1 / 0, lambda: clock[0], sleep, {"portal.example": v.visit(f"{ROOT}/c")[:4:-1]})
+    assert slept == [3.0, 3.0] and later.visit(f"{ROOT}/d")[3] is None and slept == [3.0] * 3 and later.visit(f"{ROOT}/no")[3] == "robots"
     assert v.visit(f"{ROOT}/down")[3] == "fetch" and v.visit(f"{ROOT}/missing")[2:4] == (404, "fetch")
 
 

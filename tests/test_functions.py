@@ -1,4 +1,6 @@
 import re
+from html import unescape
+from urllib.parse import urljoin
 
 import pytest
 from hypothesis import given, settings
@@ -6,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexigraph.functions import authors, html, text
+from lexigraph.sources.html_records import links_of
 
 STEMS = "studies study wellbeing wellbe stress stres organization organize relational relate national national traditional tradition hopefulness hopeful seriousness serious effectiveness effective departments department increasingly increas repeatedly repeat bring bring being being sing sing flies fli based bas glass glas series sery housing hous international internate classes class economics economic covid covid".split()
 
@@ -45,6 +48,13 @@ def test_urls(spark):
     assert column(spark, ["https://a.b.org/x", "ftp://b.org/", "https://b.org:8/", "https://c.org/"], lambda c: text.on_domain(c, "b.org")) == [True, False, False, False]
 
 
+def test_relative_links_as_the_standard_library_resolves_them(spark):
+    base = "https://h/x/y/z?q=1#f"
+    refs = ["../a", "./a", "../../../a/", "..", ".", "a/../b/./c", "/a/../b", "/..", "a?x=../y", "/a/b/..?k#../z", "g/..", "../..//c", "a..b/.c", "//o/p", "https://q/a/../b"]
+    assert column(spark, refs, lambda c: text.absolute_url(F.lit(base), c)) == [urljoin(base, r) for r in refs]
+    assert column(spark, ["a", "../b"], lambda c: text.absolute_url(F.lit("https://h"), c)) == ["https://h/a", "https://h/b"]
+
+
 def test_search_text_repeats_fields(spark):
     row = spark.createDataFrame([("T", [("A B", None, None)], 2001, None, "", "abs", "full")], "title string, authors array<struct<name:string,profile_url:string,affiliation:string>>, publication_year int, source string, publication_type string, abstract string, full_text string")
     stored = row.withColumn("searchable_text", text.searchable_text())
@@ -72,6 +82,25 @@ def test_merge_is_greedy_and_keeps_first_key(spark):
     assert df.select(authors.merged(F.array().cast("array<struct<name:string,profile_url:string,affiliation:string>>"))).first()[0] == []
 
 
+def test_authors_of_other_scripts_merge_by_key(spark):
+    people = [("李明", None, None), ("李明", None, "Lab"), ("Иван Петров", None, None), ("иван  петров", None, None), ("李明", "u", None)]
+    df = spark.createDataFrame([(people,)], "a array<struct<name:string,profile_url:string,affiliation:string>>")
+    got = df.select(authors.merged(F.col("a")).alias("m")).first()["m"]
+    assert [(g["name"], g["profile_url"], g["affiliation"]) for g in got] == [("李明", None, "Lab"), ("иван  петров", None, None), ("李明", "u", None)]
+
+
+def test_character_references_as_the_standard_library_reads_them(spark):
+    texts = ["caf&eacute; &#8217;&#x27;&#X2013; &ndash;", "&copy 2020 &copyright &notin; &notit; &unknown; & &; &#; &#x;", "&#0;&#128;&#150;&#55296;&#1114112;&#99999999999;", "&amp;lt; &lt;&gt;&quot;&nbsp;x", "a&b=c&d", "", "no reference", "&NotEqualTilde;&Aacute&aacute;"]
+    assert column(spark, texts, html.decoded) == [unescape(t) for t in texts]
+
+
+def test_links_in_every_form(spark):
+    page = """<a href="/1">a</a><A class=x HREF='/2'>b</A><a data-href="/no" href=/3 >c</a><!-- <a href="/no">d</a> --><script>'<a href="/no">'</script><a name="n" title="x > y" href = "/4?a&amp;b">e</a><a>f</a><area href="/no"><a\nhref="/5"
+    >g</a><abbr href="/no">h</abbr><a href="">i</a>"""
+    assert column(spark, [page], html.links) == [["/1", "/2", "/3", "/4?a&b", "/5", ""]]
+    assert links_of(page, "https://h/") == [f"https://h{p}" for p in ("/1", "/2", "/3", "/4?a&b", "/5", "/")]
+
+
 def test_page_expressions(spark):
     page = "<html><head><title>T &amp; t</title><style>x</style></head><body><!-- c --><nav>n</nav><h1 class='a'>H<b>1</b></h1><script>s</script><p>a&lt;b <a href=\"/x?a=1&amp;b=2\">l</a></p><footer>f</footer></body></html>"
     got = column(spark, [page, None, ""], html.visible_text)

@@ -158,3 +158,50 @@ def test_store(spark, tmp_path):
     assert len(people["A"]) == 2 and len(people["B"]) == 1 and s.repeated_keys("publications", "publication_key").count() == 0
     built = index.build(s.read("publications"), "publication_key", indexed_text())
     assert search.search(built, "newer").count() == 1
+
+
+def test_commits_and_appends(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "db"))
+    s.check()
+    rows = lambda *ids: spark.createDataFrame([(i, f"t{i}") for i in ids], "name int, v string")
+    s.replace_all({"a": rows(1, 2), "b": rows(3)})
+    first = s.state()
+    s.append("a", rows(4))
+    assert sorted(r[0] for r in s.read("a").collect()) == [1, 2, 4] and s.version("a")[:1] == first[1]["a"] and len(s.version("a")) == 2
+    with pytest.raises(Exception, match="exist"):  # another writer went first
+        s._commit(first[0], {})
+    with pytest.raises(ValueError):
+        s.replace("index_metadata", rows(1, 1))
+    assert s.commits() == [1, 2] and s.version("index_metadata") is None
+    s.replace("b", rows(5, 6))
+    s.vacuum(1)
+    assert s.commits() == [3] and s.read("b").count() == 2 and s.read("a").count() == 3
+    assert {f.name for f in (tmp_path / "db" / "b").iterdir()} == set(s.version("b")) and not list((tmp_path / "db" / "index_metadata").iterdir())
+    with pytest.raises(RuntimeError):
+        s.read("none")
+
+
+def test_shared_folder_is_never_local_on_a_cluster(spark):
+    from types import SimpleNamespace as Fake
+
+    from lexigraph.session import shared_folder
+
+    held = lambda empty: Fake(isEmpty=lambda: empty, get=lambda: "hdfs://x/")
+    session = lambda master, empty, conf=None: Fake(conf=Fake(get=lambda *a: conf), sparkContext=Fake(master=master, _jsc=Fake(sc=lambda: Fake(getCheckpointDir=lambda: held(empty)))))
+    with pytest.raises(RuntimeError):
+        shared_folder(session("local-cluster[3,2,1000]", True))
+    assert shared_folder(session("yarn", False)) == "hdfs://x" and shared_folder(session("yarn", True, "s3://y/")) == "s3://y"
+
+
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_assignment_against_all_distances(spark, k):
+    """Sparse points and centroids with negative weights, empty points and centroids, ties."""
+    import random
+
+    r = random.Random(k)
+    points = {i: {t: r.choice([-2.0, -1.0, 1.0, 3.0]) for t in r.sample("abcdefgh", r.randint(0, 3))} for i in range(40)}
+    centres = {c: {t: r.choice([-1.0, 1.0, 2.0]) for t in r.sample("abcdefgh", r.randint(0, 2))} for c in range(k)}
+    flat = lambda d: [(i, t, w) for i, own in d.items() for t, w in own.items()]
+    got = cluster.assign(spark.createDataFrame([(i,) for i in points], "id int"), spark.createDataFrame(flat(points), "id int, term string, weight double"), spark.createDataFrame(flat(centres), "cluster int, term string, weight double"), k)
+    square = lambda a, b: round(sum((a.get(t, 0) - b.get(t, 0)) ** 2 for t in {*a, *b}) ** 0.5, 9)
+    assert {x["id"]: (x["distance"], x["cluster"]) for x in got.collect()} == {i: min((square(p, c), n) for n, c in centres.items()) for i, p in points.items()}
