@@ -1,16 +1,19 @@
 """Approximate nearest neighbours by inner product: inverted lists, product-quantised residuals, exact reranking.
 
-Coarse centroids and residual codebooks are fitted on a bounded sample; every row is assigned to its centroid's list and
-coded. A query probes its best lists: within one, asymmetric distance tables rank the codes and the best RERANK rows
-are scored on the original vectors in double precision, and then every other row whose code's score, plus the most that
-its residual's error can add, still reaches the k-th best; so within its lists a query finds the exact best. How many lists a query probes is the least number that finds
-PROBE_RECALL of the sample's own neighbours, and as many more as hold enough rows. A few rows, the pilots, are always
-scored; a row below the k-th best pilot of a query's lists cannot be among the k best found, so it is not sent on.
+Coarse centroids and residual codebooks are fitted on a sample: about as many lists as the square root of the rows (at most
+MOST_LISTS), and SAMPLE_ROWS or LIST_SAMPLE rows a list; every row is assigned to its centroid's list and coded. A query
+probes its best lists: within one, asymmetric distance tables rank the codes, and the best RERANK rows are scored on the
+original vectors in double precision. So is every other row whose code's score still reaches the k-th best with SPREAD
+standard deviations of its residual's error added (in few dimensions: the most that error can add), so neither ties nor
+groups of near copies are cut. How many lists a query probes is the least number that finds PROBE_RECALL of the sample's
+own neighbours, and as many more as hold enough rows. A few rows, the pilots, are always scored; a row below the k-th best
+pilot of a query's lists cannot be among the k best found, so it is not sent on, nor is a list asked whose centroid and
+radius leave it below that.
 
 Lists are cut into blocks of rows and of queries, so that no task holds a list whole. Rows whose vector is null, empty,
-zero, or holds null or non-finite components take no part, nor do those of another length than the longest. Rows that
-repeat a vec_id count as one, with the least of their vectors. Equal scores go by vec_id. An empty table gives no rows.
-Columns other than the two named are not read.
+zero, or holds null or non-finite components take no part, nor do those of another length than the commonest (of equally
+common ones the greater). Rows that repeat a vec_id count as one, with the least of their vectors. Equal scores go by
+vec_id. An empty table gives no rows. Columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-SAMPLE_ROWS, SAMPLE_QUERIES, MOST_LISTS = 20_000, 256, 1024
+SAMPLE_ROWS, LIST_SAMPLE, SAMPLE_QUERIES, MOST_LISTS = 20_000, 32, 256, 8192
 #: Pilots are at most this many, and one row in so many.
 PILOTS, PILOT_SHARE = 8192, 8
-SUBSPACES, CODES, STEPS, RERANK, PROBE_RECALL = 16, 256, 8, 100, 0.985
-BLOCK_ROWS, BLOCK_QUERIES, SEED = 2048, 512, 3
+SUBSPACES, CODES, STEPS, RERANK, PROBE_RECALL, SPREAD = 16, 256, 8, 100, 0.985, 3.0
+#: Rows and queries of a block, queries that are ranked at once, and pairs that are scored at once.
+BLOCK_ROWS, BLOCK_QUERIES, STEP_QUERIES, STEP_PAIRS, SEED = 2048, 2048, 256, 100_000, 3
 
 
 def valid(vectors: DataFrame, dims: int) -> DataFrame:
@@ -73,6 +77,7 @@ class Index:
     pilot_lists: np.ndarray
     probes: int = 1
     sizes: np.ndarray | None = None
+    radii: np.ndarray | None = None
 
     def padded(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, self.books.shape[0] * self.books.shape[2] - self.dims)))
@@ -83,19 +88,14 @@ class Index:
         return np.stack([nearest(residual[:, m * wide : (m + 1) * wide], book) for m, book in enumerate(self.books)], 1).astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """(queries, subspaces, codes): a query's inner product with each codeword."""
-        return np.einsum("qmw,mcw->qmc", self.padded(q).reshape(len(q), *self.books.shape[::2]), self.books)
+        """(subspaces, codes, queries): each query's inner product with each codeword."""
+        return np.einsum("qmw,mcw->mcq", self.padded(q).reshape(len(q), *self.books.shape[::2]), self.books).astype(np.float32)
 
-    def errors(self, x: np.ndarray, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """(rows, subspaces): how far each row's code is from it in each subspace."""
+    def errors(self, x: np.ndarray, own: int, codes: np.ndarray) -> np.ndarray:
+        """How far each row of a list is from its code."""
         residual = self.padded(x - self.coarse[own]).reshape(len(x), *self.books.shape[::2])
         coded = np.stack([book[codes[:, m]] for m, book in enumerate(self.books)], 1)
-        return np.sqrt(((residual - coded) ** 2).sum(2))
-
-    def reach(self, q: np.ndarray, errors: np.ndarray) -> np.ndarray:
-        """(queries, rows): at most how much a row's exact score exceeds its code's."""
-        lengths = np.sqrt((self.padded(q).reshape(len(q), *self.books.shape[::2]) ** 2).sum(2))
-        return lengths @ errors.T * (1 + 1e-9)
+        return np.sqrt(((residual - coded) ** 2).sum((1, 2)))
 
     def lists(self, q: np.ndarray, k: int) -> list[np.ndarray]:
         """Each query's best lists: ``probes`` of them, more until they hold k rows besides the query's own."""
@@ -115,24 +115,32 @@ class Index:
         return out
 
 
+    def reachable(self, q: np.ndarray, lists: list[np.ndarray], floors: np.ndarray) -> list[np.ndarray]:
+        """The lists without those in which no row can reach the query's floor."""
+        most = q @ self.coarse.T + np.sqrt((q**2).sum(1))[:, None] * self.radii * (1 + 1e-9)
+        return [own[most[i, own] >= floors[i]] for i, own in enumerate(lists)]
+
+
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
 def fit(rows: DataFrame, k: int) -> Index | None:
     """``rows`` as ``usable`` gives them; None if there are none."""
-    there, dims = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    if not there:
+    common = rows.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dims")).first()
+    if common is None:
         return None
-    rows = valid(rows, dims)
-    if there > SAMPLE_ROWS:
-        rows = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * SAMPLE_ROWS / there))
-    got = rows.toArrow()  # about SAMPLE_ROWS rows
+    dims, there = common
+    rows, lists = valid(rows, dims), max(1, min(MOST_LISTS, math.isqrt(there)))
+    wanted = max(SAMPLE_ROWS, LIST_SAMPLE * lists)
+    if there > wanted:
+        rows = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * wanted / there))
+    got = rows.toArrow()  # about as many rows as wanted
     ids, x = got["vec_id"].to_numpy(), matrix(got["embedding"].combine_chunks(), dims)
     rng = np.random.default_rng(SEED)
     order = rng.permutation(np.argsort(ids))
     ids, x = ids[order], x[order]
-    coarse = kmeans(x, 1 << max(0, min(int(math.log2(MOST_LISTS)), int(math.log2(max(1, math.sqrt(there) / 2))))), rng)
+    coarse = kmeans(x, lists, rng)
     own, wide = nearest(x, coarse), -(-dims // SUBSPACES)
     residual = np.pad(x - coarse[own], ((0, 0), (0, SUBSPACES * wide - dims)))
     books = [kmeans(residual[:, m * wide : (m + 1) * wide], CODES, rng) for m in range(SUBSPACES)]
@@ -149,7 +157,7 @@ def fit(rows: DataFrame, k: int) -> Index | None:
 
 
 def assigned(rows: DataFrame, index: Index) -> DataFrame:
-    """(vec_id, embedding, list, codes) for every row."""
+    """(vec_id, embedding, list, codes, apart) for every row; apart is its distance from the centroid."""
     held = rows.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +165,10 @@ def assigned(rows: DataFrame, index: Index) -> DataFrame:
             x = matrix(batch.column(1), held.value.dims)
             own = nearest(x, held.value.coarse)
             codes = held.value.code(x, own)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "embedding", "list", "codes"])
+            apart = np.sqrt(((x - held.value.coarse[own]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(apart)], ["vec_id", "embedding", "list", "codes", "apart"])
 
-    return valid(rows, index.dims).mapInArrow(run, "vec_id bigint, embedding array<double>, list int, codes binary")
+    return valid(rows, index.dims).mapInArrow(run, "vec_id bigint, embedding array<double>, list int, codes binary, apart double")
 
 
 def probing(queries: DataFrame, index: Index, k: int) -> DataFrame:
@@ -171,12 +180,43 @@ def probing(queries: DataFrame, index: Index, k: int) -> DataFrame:
             q = matrix(batch.column(1), held.value.dims)
             lists = held.value.lists(q, k)
             floors = held.value.floors(q, batch.column(0).to_numpy(), lists, k)
+            lists = held.value.reachable(q, lists, floors)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floors), pa.array(lists, pa.list_(pa.int32()))], ["query_id", "query", "floor", "lists"])
 
     asked = valid(queries, index.dims).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return asked.mapInArrow(run, "query_id bigint, query array<double>, floor double, lists array<int>").select("query_id", "query", "floor", F.explode("lists").alias("list"))
 
 
+def ranked(x: np.ndarray, ids: np.ndarray, codes: np.ndarray, spread: np.ndarray, pilots: np.ndarray, q: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, at: Index, own_list: int, k: int) -> tuple[np.ndarray, ...]:
+    """(query_id, vec_id, score) of the k best rows of a block for each query, as far as they reach its floor; ids ascend."""
+    near = np.repeat((q @ at.coarse[own_list]).astype(np.float32)[None, :], len(ids), 0)
+    for table, code in zip(at.tables(q), codes.T):
+        near += table[code]
+    lengths = np.sqrt((q**2).sum(1))
+    place = np.searchsorted(ids, query_ids)
+    own = np.flatnonzero(ids[np.minimum(place, len(ids) - 1)] == query_ids)
+    near[place[own], own] = -np.inf
+    few = min(RERANK, len(ids))
+    top = np.argpartition(near, len(ids) - few, axis=0)[len(ids) - few :]
+    score = np.stack([(x[t] * q[j]).sum(1) for j, t in enumerate(top.T)], 1)
+    score[np.isneginf(np.take_along_axis(near, top, 0))] = -np.inf
+    least = np.maximum(floors, np.partition(score, few - k, axis=0)[few - k]) if few >= k else floors
+    # The slack is for rounding
+    slack = 1e-5 * (1 + lengths * np.sqrt((x**2).sum(1)).max())
+    wanted = near + spread.astype(np.float32)[:, None] * lengths.astype(np.float32) >= (least - slack).astype(np.float32)
+    np.put_along_axis(wanted, top, True, 0)
+    wanted[pilots] = True
+    wanted[place[own], own] = False
+    column, row = np.nonzero(wanted.T)
+    score = np.concatenate([(x[row[a : a + STEP_PAIRS]] * q[column[a : a + STEP_PAIRS]]).sum(1) for a in range(0, len(row), STEP_PAIRS)] or [np.zeros(0)])
+    good = score >= least[column]
+    column, row, score = column[good], row[good], score[good]
+    order = np.lexsort((row, -score, column))
+    column, row, score = column[order], row[order], score[order]
+    first = np.arange(len(column)) - np.searchsorted(column, column) < k
+    return query_ids[column[first]], ids[row[first]], score[first]
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row of ``vectors`` that ``is_query`` (on vec_id) picks."""
     spark = vectors.sparkSession
@@ -185,9 +225,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     if index is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     coded = durable(assigned(rows, index), "coded")
-    index.sizes = np.zeros(len(index.coarse), np.int64)
-    for r in coded.groupBy("list").agg(F.count("*").alias("n")).collect():
-        index.sizes[r["list"]] = r["n"]
+    index.sizes, index.radii = np.zeros(len(index.coarse), np.int64), np.zeros(len(index.coarse))
+    # MOST_LISTS rows at most
+    for r in coded.groupBy("list").agg(F.count("*").alias("n"), F.max("apart").alias("radius")).collect():
+        index.sizes[r["list"]], index.radii[r["list"]] = r["n"], r["radius"]
     held = spark.sparkContext.broadcast(index)
     probes = durable(probing(rows.where(is_query), index, k), "probes")
     # One row a list, MOST_LISTS at most
@@ -210,32 +251,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             ids, x = there["vec_id"].to_numpy(), matrix(there["embedding"].combine_chunks(), at.dims)
             codes = np.frombuffer(b"".join(there["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
             q, query_ids, floors = matrix(asked["query"].combine_chunks(), at.dims), asked["query_id"].to_numpy(), asked["floor"].to_numpy()
-            base = q @ at.coarse[asked["list"][0].as_py()]
+            own_list = asked["list"][0].as_py()
             pilots = np.flatnonzero(np.isin(ids, at.pilot_ids))
-            errors = at.errors(x, np.full(len(x), asked["list"][0].as_py()), codes)
-            longest = np.sqrt((x**2).sum(1)).max()
-            for i in range(0, len(q), 64):
-                tables = at.tables(q[i : i + 64])
-                near = np.repeat(base[i : i + 64, None], len(ids), 1)
-                for m in range(codes.shape[1]):
-                    near += tables[:, m, codes[:, m]]
-                top = np.argsort(-near, axis=1, kind="stable")[:, :RERANK]
-                most = near + at.reach(q[i : i + 64], errors)
-                for j, t in enumerate(top, i):
-                    t = np.union1d(t, pilots)
-                    t = t[ids[t] != query_ids[j]]
-                    score = (x[t] * q[j]).sum(1)
-                    least = max(floors[j], np.partition(score, -k)[-k] if len(score) >= k else -np.inf)
-                    # The slack is for rounding
-                    wider = np.flatnonzero(most[j - i] >= least - 1e-9 * (1 + longest * np.sqrt(q[j] @ q[j])))
-                    t = np.union1d(t, wider)
-                    t = t[ids[t] != query_ids[j]]
-                    score = (x[t] * q[j]).sum(1)
-                    best = np.argsort(-score, kind="stable")[:k]
-                    best = best[score[best] >= floors[j]]
-                    found[0].append(np.full(len(best), query_ids[j]))
-                    found[1].append(ids[t[best]])
-                    found[2].append(score[best])
+            spread = at.errors(x, own_list, codes) * min(1.0, SPREAD / math.sqrt(at.dims))
+            for i in range(0, len(q), STEP_QUERIES):
+                step = slice(i, i + STEP_QUERIES)
+                for out, part in zip(found, ranked(x, ids, codes, spread, pilots, q[step], query_ids[step], floors[step], at, own_list, k)):
+                    out.append(part)
         flat = [np.concatenate(f) if f else np.zeros(0) for f in found]
         return pa.table({"query_id": pa.array(flat[0].astype(np.int64)), "vec_id": pa.array(flat[1].astype(np.int64)), "score": pa.array(flat[2].astype(np.float64))})
 

@@ -71,6 +71,35 @@ def test_groups_of_near_copies(spark):
         check(rows, brute(range(len(x)), x, range(0, len(x), 200)), 0.97)
 
 
+def test_vectors_of_other_lengths_hide_none(spark):
+    """The commonest length takes part, whatever the others are."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(60, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, [1.0, 2.0, 3.0, 4.0]), (120, [1.0, 2.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.expr(EVERY)).collect()
+    check(got, brute(list(range(60)), x, range(0, 60, 20)), 0.9)
+
+
+def test_clustered_vectors_are_not_scanned(spark, monkeypatch):
+    """Where neighbours lie in few lists, few rows are ranked for a query: twenty times the rows, far less than twenty times as many."""
+    pairs = []
+    for n in (1000, 20_000):
+        r = np.random.default_rng(n)
+        x = r.normal(size=(n // 50, 24))[r.integers(0, n // 50, n)] * 2 + 0.3 * r.normal(size=(n, 24))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+        rows = ann.usable(df)
+        index = ann.fit(rows, 20)
+        coded = ann.assigned(rows, index).groupBy("list").agg(F.count("*").alias("n"), F.max("apart").alias("radius")).collect()
+        index.sizes, index.radii = np.zeros(len(index.coarse), int), np.zeros(len(index.coarse))
+        for c in coded:
+            index.sizes[c["list"]], index.radii[c["list"]] = c["n"], c["radius"]
+        asked = np.arange(0, n, 20)
+        lists = index.lists(x[asked], 20)
+        lists = index.reachable(x[asked], lists, index.floors(x[asked], asked, lists, 20))
+        pairs.append(np.mean([index.sizes[own].sum() for own in lists]))
+    assert pairs[1] < 8 * pairs[0] and pairs[1] < 0.1 * 20_000
+
+
 def test_rows_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [-1.0, 0.0]), (8, []), (9, [1.0]), (None, [1.0, 1.0]), (1, [0.5, 0.5]), (20, [0.5, 0.5])]
