@@ -29,6 +29,8 @@ from .common import bounded_labels, durable, slices
 #: Labelled rows that a fit uses at most, chosen by a hash of doc_id.
 FIT_ROWS = 100_000
 FEATURES, FOLDS, RIDGE, BINS, SUM_TASKS = 256, 5, 1e-3, 512, 16
+#: Rows whose features a task holds at once.
+STEP_ROWS = 2048
 SEED, DIGITS = 11, 9
 #: What features are rounded to: products are integers below 2 ** 29, so FIT_ROWS of them stay exact as doubles.
 STEP = 2.0**-14
@@ -99,7 +101,8 @@ class Model:
         return np.hstack([z, np.ones((len(z), 1))])
 
     def score(self, stats: np.ndarray) -> np.ndarray:
-        return self.calibrated((self.features(stats) * self.weights).sum(1))
+        raw = [(self.features(stats[a : a + STEP_ROWS]) * self.weights).sum(1) for a in range(0, len(stats), STEP_ROWS)]
+        return self.calibrated(np.concatenate(raw or [np.zeros(0)]))
 
     def calibrated(self, raw: np.ndarray) -> np.ndarray:
         """Piecewise linear between the pooled levels, with a slight slope so that order survives within a level."""
@@ -131,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", described_b
     # FIT_ROWS bounds this side: 16 bytes a row
     stats = docs if described_before else described(docs.join(F.broadcast(usable.select("doc_id")), "doc_id", "left_semi"))
     rows = stats.join(F.broadcast(usable), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(FOLDS)).cast("int"))
-    rows = durable(rows.repartition(SUM_TASKS, "doc_id"), "fit")
+    rows = durable(rows.repartition(SUM_TASKS), "fit")
     rng = np.random.default_rng(SEED)
     # Integers; their squares as decimals, which do not overflow
     whole = [F.round(F.col("stats")[i].cast("double") * UNITS).cast("bigint") for i in range(NAMES)]
@@ -146,18 +149,25 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", described_b
         return model
     d = FEATURES + 1
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, STEP_ROWS):
+                batch = whole.slice(a, STEP_ROWS)
+                yield model.features(_stacked(batch, "stats")), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, right = np.zeros((FOLDS, d, d)), np.zeros((FOLDS, d))
-        for batch in batches:
-            z, y, fold = model.features(_stacked(batch, "stats")), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        gram, right, there = np.zeros((FOLDS, d, d)), np.zeros((FOLDS, d)), False
+        for z, y, fold in parts(batches):
+            there = True
             for f in range(FOLDS):
-                own = fold == f
-                gram[f] += z[own].T @ z[own]
-                right[f] += z[own].T @ y[own]
-        yield pa.RecordBatch.from_pydict({"gram": [gram.tobytes()], "right": [right.tobytes()]})
+                own = z[fold == f]
+                gram[f] += own.T @ own
+                right[f] += own.T @ y[fold == f]
+        if there:
+            yield pa.RecordBatch.from_pydict({"gram": [gram.tobytes()], "right": [right.tobytes()]})
 
     gram, right = np.zeros((FOLDS, d, d)), np.zeros((FOLDS, d))
-    # SUM_TASKS rows: their number of folds and features is fixed
+    # A row a task, about SUM_TASKS of them: their number of folds and features is fixed
     for row in rows.select("stats", "y", "fold").mapInArrow(summed, "gram binary, right binary").collect():
         gram += np.frombuffer(row[0]).reshape(gram.shape)
         right += np.frombuffer(row[1]).reshape(right.shape)
@@ -167,8 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", described_b
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits, counts = np.zeros(BINS), np.zeros(BINS)
-        for batch in batches:
-            z, y, fold = model.features(_stacked(batch, "stats")), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        for z, y, fold in parts(batches):
             raw = (z * np.array(model.by_fold)[fold]).sum(1)
             at = np.clip((raw + 0.5) / 2 * BINS, 0, BINS - 1).astype(int)
             np.add.at(hits, at, y)
