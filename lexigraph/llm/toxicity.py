@@ -27,7 +27,7 @@ from .common import Table, bounded_labels, durable, slices
 
 #: Labelled rows that a fit uses at most, chosen by a hash of doc_id.
 FIT_ROWS = 20_000
-FEATURES, FOLDS, RIDGE, STEPS, SEED = 256, 4, 0.3, 20, 23
+FEATURES, FOLDS, RIDGE, STEPS, SEED = 256, 4, 0.3, 30, 23
 BEGINNINGS = (4, 5, 6, 7)
 #: A document is toxic from this probability on.
 TOXIC_FROM = 0.5
@@ -47,12 +47,14 @@ def tokens(chunk: str) -> tuple[str, ...]:
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic weights by Newton steps; the last column of ``x`` is 1."""
+    """Ridge logistic weights by Newton steps; the last column of ``x`` is 1. Later steps keep curvatures for a while."""
     w = np.zeros(x.shape[1], np.float64)
-    for _ in range(STEPS):
-        p = sigmoid(x @ w)
-        h = np.maximum(p * (1 - p), 1e-4).astype(x.dtype)
-        step = np.linalg.solve(((x * h[:, None]).T @ x).astype(np.float64) + RIDGE * np.eye(len(w)), x.T @ (y - p) - RIDGE * w)
+    for turn in range(STEPS):
+        p = sigmoid(x @ w.astype(x.dtype)).astype(np.float64)
+        if turn < 4 or turn % 5 == 0:
+            h = np.maximum(p * (1 - p), 1e-4).astype(x.dtype)
+            back = np.linalg.inv(((x * h[:, None]).T @ x).astype(np.float64) + RIDGE * np.eye(len(w)))
+        step = back @ (x.T @ (y - p).astype(x.dtype) - RIDGE * w)
         w += step
         if np.abs(step).max() < 1e-4:
             break
@@ -186,19 +188,19 @@ def chosen_features(rows: DataFrame, sizes: dict[int, tuple[int, int]]) -> list[
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            table = np.array(list(seen.values()), np.int64).reshape(-1, 2 * FOLDS)
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array(table[:, k]) for k in range(2 * FOLDS))], ["feature", *columns])
+            names = list(set().union(*counts))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[t] for t in names], pa.int64()) for c in counts)], ["feature", *columns])
 
-        seen: dict[str, list[int]] = {}
+        counts = [Counter() for _ in columns]
         for batch in slices(batches):
             for text, y, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                for t in {t for chunk in set(text.lower().split()) for t in tokens(chunk)}:
-                    held = seen.setdefault(t, [0] * (2 * FOLDS))
-                    held[2 * f] += 1
-                    held[2 * f + 1] += y
-            if len(seen) > 200_000:
+                own = {t for chunk in set(text.lower().split()) for t in tokens(chunk)}
+                counts[2 * f].update(own)
+                if y:
+                    counts[2 * f + 1].update(own)
+            if sum(map(len, counts)) > 400_000:
                 yield flush()
-                seen = {}
+                counts = [Counter() for _ in columns]
         yield flush()
 
     sums = rows.select("text", "y", "fold").mapInArrow(counted, "feature string, " + ", ".join(f"{c} bigint" for c in columns)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in columns))
