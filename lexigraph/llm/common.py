@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigraph.session import shared_folder as shared_dir
+
 #: Rows that one numpy step works on; an Arrow batch may hold more.
 SLICE_ROWS = 256
 #: Characters after which a slice ends early, so very long texts do not pile up.
@@ -23,20 +23,6 @@ _written: dict[str, SparkSession] = {}
 _paths: dict[int, str] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local master may do without one and gets a temporary folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
-            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-                raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexigraph-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = held.get()
-    return path.rstrip("/")
-
-
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends there.
 
@@ -107,21 +93,22 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
 
 
 class Table(dict):
-    """A memo of ``make(key)`` that holds two generations of at most ``limit`` keys each.
+    """A memo of ``make(key)`` that holds two generations of values weighing ``limit`` at most each, a value more or less.
 
     Each distinct key is made once while it stays in use; memory is bounded whatever the vocabulary.
     """
 
-    def __init__(self, make: Callable, limit: int = 250_000):
+    def __init__(self, make: Callable, limit: int = 250_000, weigh: Callable = lambda value: 1):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.weigh, self.old, self.held = make, limit, weigh, {}, 0
 
     def __missing__(self, key):
         old = self.old
         value = old[key] if key in old else self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        if self.held >= self.limit:
+            self.old, self.held = dict(self), 0
             self.clear()
+        self.held += self.weigh(value)
         self[key] = value
         return value
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     In each round every node follows the neighbour (or itself) of least random rank, twice; edges are then redrawn
     between the nodes reached. About a constant share of the nodes disappears a round, whatever the shape, and a star
-    is gone after at most two. Each round's tables are durable. A table without edges gives no nodes.
+    is gone after at most two. Each round's tables are durable and go when the next round's are there. A table without edges
+    gives no nodes.
     """
     left = durable(edges.select("a", "b").where("a <> b").distinct(), "edges")
     held, turn = None, 0
@@ -24,12 +25,13 @@ def components(edges: DataFrame) -> DataFrame:
         twice = follows.alias("f").join(follows.alias("g"), F.col("f.to") == F.col("g.node")).select(F.col("f.node").alias("node"), F.col("g.to").alias("to"))
         twice = durable(twice, "twice")
         if held is None:
-            held = twice.select("node", F.col("to").alias("component"))
+            now = twice.select("node", F.col("to").alias("component"))
         else:
-            held = held.join(twice.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        held = durable(held, "held")
+            now = held.join(twice.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        before, held = held, durable(now, "held")
         ends = left.join(twice.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a").join(twice.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b")
-        left = durable(ends.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b").distinct(), "edges")
+        old, left = left, durable(ends.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b").distinct(), "edges")
+        release(follows, twice, old, *([before] if before is not None else []))
         turn += 1
     if held is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -1,47 +1,55 @@
 """Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
 A text's shingles are runs of five words (letters and digits in lower case; fewer words make one shingle). A shingle
-weighs one plus the logarithm of its occurrences, times the mean inverse document frequency of its words, which is
-counted over all documents in a table of fixed size. Texts that agree in a band of samples are candidates; a candidate pair
-whose weighted Jaccard similarity is at least ``threshold`` is a link; linked texts and exact copies form a class.
+weighs one plus the logarithm of its occurrences, times its inverse document frequency. Document frequencies are counted
+over all documents in a table of fixed size that shingles share by hash; what chance alone puts into an entry is taken
+off, so frequent shingles are told from the rest at any size of the corpus. Frequencies are normalised, from 1 for a
+shingle of every document to nearly 2 for one of a single document. Texts that agree in a band of samples are candidates; a
+candidate pair whose weighted Jaccard similarity is at least ``threshold`` is a link; linked texts and exact copies form a
+class.
 
 Exact copies meet by digest alone. Within a band's bucket every text is compared with one leader, the text that shares
-most buckets. Buckets whose texts are then still in different classes are scanned in blocks of bounded size, where a
-matrix product gives all similarities at once and only links leave the task. So pairs are never listed, and no pair of
-texts that agree in a band is skipped.
-
-Null texts are empty texts; texts without words are in a class with their exact copies only. Repeated rows share a
-class. Rows without a doc_id are classed like others; a class of such rows alone has no class_id. An empty table gives no rows. Columns other than doc_id and text are not read.
+most buckets. Where a bucket's texts are then still in different classes, those outside its largest class are compared
+with all others in blocks of bounded size, where a matrix product gives all similarities at once and only links leave
+the task. So pairs are never listed, and no pair of texts that agree in a band is skipped.
+
+Null texts are empty texts; texts without words are in a class with their exact copies only. A class goes by its least
+doc_id. Where different texts share a doc_id, it names the class of the text of least digest; a class that no doc_id names,
+as one of rows without any, has a negative class_id from its digest. One row of each class is kept: of the doc_id that
+names it the first. An empty table gives no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table, durable, slices, text_or_empty
+from .common import Table, durable, release, slices, text_or_empty, unused
 from .graph import components
 
 WORDS, THRESHOLD, EPSILON = 5, 0.8, 1e-9
 BANDS, ROWS = 16, 4
-#: Entries of the document frequency table: words share an entry by hash, which can only lower their weight.
-FREQUENCIES = 1 << 18
-#: Elements that one sampling step holds, and texts in a block of a scanned bucket.
-BLOCK, SCAN = 4096, 256
+#: Entries of the document frequency table, and of the pieces in which tasks hand theirs over.
+FREQUENCIES, PIECE = 1 << 20, 1 << 14
+#: Standard deviations of what chance puts into an entry that are taken off besides its mean.
+CHANCE = 3.0
+#: Elements that one sampling step holds, texts and bytes in a block of a scanned bucket, and elements that a task keeps.
+BLOCK, SCAN, SCAN_BYTES, KEPT_ELEMENTS = 4096, 256, 16 << 20, 4_000_000
 #: Parts of a large class when its least doc_id is joined to its texts.
 SALTS = 16
 #: Expected samples below the first bound of a text's search, and the factor by which a bound that held none grows.
 BOUND, WIDER = 3.0, 4.0
-#: Bytes that are hashed at once and in a word, and the base of the hash polynomials.
-TEXT_BLOCK, LONGEST, BASE = 1 << 18, 1 << 21, 0xD6E8FEB86659FD93
+#: Bytes that are hashed at once, and bytes of a word up to which it is hashed with others.
+TEXT_BLOCK, LONGEST = 1 << 18, 1 << 16
 #: Stands for a missing doc_id.
 NO_ID = (1 << 63) - 1
-_MASK = (1 << 64) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,16 +61,13 @@ def word_bytes() -> np.ndarray:
     return table
 
 
-_WORD, _powers = word_bytes(), [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_WORD = word_bytes()
+#: A word's hash sums its bytes times keys by place, which are random but the same in every task.
+_KEYS = np.random.default_rng(29).integers(0, 1 << 64, LONGEST + 1, np.uint64)
 
 
-def powers(n: int) -> list[np.ndarray]:
-    """The first n (at least) powers of an odd base and of its inverse, modulo 2 ** 64."""
-    if len(_powers[0]) < n:
-        n = max(n, 2 * TEXT_BLOCK)
-        for i, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            _powers[i] = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, base, np.uint64))))
-    return _powers
+def long_hash(word: bytes) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") | 1)
 
 
 def block_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,42 +75,43 @@ def block_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = np.concatenate(([False], _WORD[raw], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    up, down = powers(len(raw) + 1)
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(raw * up[: len(raw)])))
-    h = mixed(mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
-    return np.maximum(h, np.uint64(1)), starts
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    origin = np.zeros(len(raw), np.int32)
+    origin[starts] = starts
+    place = np.minimum(np.arange(len(raw), dtype=np.int32) - np.maximum.accumulate(origin), LONGEST)
+    sums = np.add.reduceat((raw * inside[1:-1] + inside[1:-1]).astype(np.uint64) * _KEYS[place], starts)
+    h = np.maximum(mixed(mixed(sums + (ends - starts).astype(np.uint64))), np.uint64(1))
+    for i in np.flatnonzero(ends - starts > LONGEST):
+        h[i] = long_hash(raw[starts[i] : ends[i]].tobytes())
+    return h, starts
 
 
 def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
-    """64 bits for each word of each text, by polynomials over the bytes of many texts at once.
-
-    A word of more than LONGEST bytes counts as several. Texts beyond that size are hashed alone.
-    """
-    out: list[np.ndarray] = []
-    group: list[bytes] = []
-    for t in texts:
-        raw = (t or "").lower().encode("utf-8", "surrogatepass")
-        if len(raw) > LONGEST:
-            out += [*_hashes_of(group), *_hashes_of([raw])]
-            group = []
-        else:
-            group.append(raw)
-    return out + _hashes_of(group)
-
-
-def _hashes_of(parts: list[bytes]) -> list[np.ndarray]:
-    if not parts:
+    """64 bits for each word of each text, over the bytes of many texts at once; words of more than LONGEST bytes alone."""
+    if not texts:
         return []
+    parts = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
     raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     found, places, at = [], [], 0
     while at < len(raw):
         end = min(at + TEXT_BLOCK, len(raw))
-        while end < len(raw) and end - at < LONGEST and _WORD[raw[end - 1]]:
+        while end < len(raw) and _WORD[raw[end - 1]]:
             gap = np.flatnonzero(~_WORD[raw[end : end + 4096]])
             end += int(gap[0]) + 1 if len(gap) else 4096
-        h, starts = block_hashes(raw[at : min(end, len(raw))])
-        found.append(h)
-        places.append(starts + at)
+        end = min(end, len(raw))
+        own = end
+        if end - at > TEXT_BLOCK + LONGEST:  # the last word goes alone
+            before = np.flatnonzero(~_WORD[raw[at : at + TEXT_BLOCK]])
+            own = at + int(before[-1]) + 1 if len(before) else at
+        if own > at:
+            h, starts = block_hashes(raw[at:own])
+            found.append(h)
+            places.append(starts + at)
+        if own < end:
+            last = end - 1 if not _WORD[raw[end - 1]] else end
+            found.append(np.array([long_hash(raw[own:last].tobytes())]))
+            places.append(np.array([own]))
         at = end
     cuts = np.searchsorted(np.concatenate(places), np.cumsum([len(p) + 1 for p in parts])[:-1])
     return np.split(np.concatenate(found), cuts)
@@ -116,21 +122,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingle hashes in ascending order, their inverse document frequencies and occurrences."""
+def entry_of(h: np.ndarray) -> np.ndarray:
+    """A shingle's entry in the table of document frequencies."""
+    return (h >> np.uint64(64 - FREQUENCIES.bit_length() + 1)).astype(np.int64)
+
+
+def counted(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes in ascending order, and their occurrences."""
     if not len(words):
-        return words, np.zeros(0), np.zeros(0, np.int64)
+        return words, np.zeros(0, np.int64)
     n = min(WORDS, len(words))
-    rare = idf[(words >> np.uint64(46)).astype(np.int64)]
     many = len(words) - n + 1
-    h, mean = np.zeros(many, np.uint64), np.zeros(many)
+    h = np.zeros(many, np.uint64)
     for i in range(n):
         h = mixed(h + words[i : i + many])
-        mean += rare[i : i + many]
-    order = np.argsort(h)
-    h, mean = h[order], mean[order] / n
+    h = np.sort(h)
     first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    return h[first], mean[first], np.diff(np.append(first, many))
+    return h[first], np.diff(np.append(first, many))
+
+
+def shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes in ascending order, their inverse document frequencies and occurrences."""
+    h, times = counted(words)
+    return h, idf[entry_of(h)].astype(np.float64), times
 
 
 def elements(h: np.ndarray, idf: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -304,47 +318,62 @@ def reached(x: np.ndarray) -> np.ndarray:
 
 
 def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequency by hashed word, over all rows: log10((N + 1) / (df + 1)) + 1."""
+    """Normalised inverse document frequency by a shingle's entry, over all rows: 1 + ln((N + 1) / (df + 1)) / ln(N + 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(FREQUENCIES, np.int64), 0
         for batch in slices(batches):
             for words in word_hashes(batch.column(0).to_pylist()):
-                df[np.unique(words >> np.uint64(46)).astype(np.int64)] += 1
+                np.add.at(df, entry_of(counted(words)[0]), 1)
             n += batch.num_rows
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(np.append(at, -1), pa.int32()), "df": pa.array(np.append(df[at], n), pa.int64())})
-
-    # FREQUENCIES + 1 rows at most, whatever the corpus
-    got = docs.select("text").mapInArrow(run, "at int, df bigint").groupBy("at").agg(F.sum("df").alias("df")).toArrow()
-    at, df = got["at"].to_numpy(), got["df"].to_numpy()
-    out = np.zeros(FREQUENCIES, np.float64)
-    out[at[at >= 0]] = df[at >= 0]
-    return (np.log10((df[at < 0].sum() + 1) / (out + 1)) + 1).astype(np.float32)
+        pieces = [df[a : a + PIECE] for a in range(0, FREQUENCIES, PIECE)]
+        full = [i for i, p in enumerate(pieces) if p.any()]
+        yield pa.RecordBatch.from_pydict({"piece": pa.array([*full, -1], pa.int32()), "held": pa.array([*(pieces[i].tobytes() for i in full), np.int64(n).tobytes()], pa.binary())})
+
+    def added(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, total = None, 0
+        for batch in group:
+            for i, held in zip(*(c.to_pylist() for c in batch.columns)):
+                piece, total = i, total + np.frombuffer(held, np.int64)
+        yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "held": pa.array([total.tobytes()], pa.binary())})
+
+    # One piece of each kind from a task; FREQUENCIES numbers and one more come to the driver, whatever the corpus
+    got = docs.select("text").mapInArrow(run, "piece int, held binary").groupBy("piece").applyInArrow(added, "piece int, held binary").toArrow()
+    out, n = np.zeros(FREQUENCIES), 0
+    for piece, held in zip(got["piece"].to_pylist(), got["held"].to_pylist()):
+        if piece < 0:
+            n = int(np.frombuffer(held, np.int64)[0])
+        else:
+            out[piece * PIECE : (piece + 1) * PIECE] = np.frombuffer(held, np.int64)
+    chance = out.sum() / FREQUENCIES
+    df = np.clip(out - np.floor(chance + CHANCE * np.sqrt(chance)), 1, max(n, 1))
+    return (1 + np.log((n + 1) / (df + 1)) / np.log(n + 2)).astype(np.float32)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, digest, class_id): class_id is the least doc_id of the class."""
+    """(doc_id, digest, class_id, kept) for every row; class_id names the class, and one row of it is kept."""
     spark = docs.sparkSession
     docs = docs.select(identity().alias("doc_id"), text_or_empty().alias("text"))
     docs = docs.withColumn("digest", digest_of("text"))
     idf = spark.sparkContext.broadcast(document_frequencies(docs))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler()
+        sampler, row = Sampler(), TaskContext.get().partitionId() << 40
         for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             distinct = list(dict.fromkeys(texts))
             made = dict(zip(distinct, sampler.buckets([shingles(words, idf.value) for words in word_hashes(distinct)])))
-            out = [made[t] for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "digest", "buckets"])
+            rows, sizes = pa.array(range(row, row + len(texts)), pa.int64()), pa.array([len(t) for t in texts], pa.int64())
+            row += len(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), rows, sizes, pa.array([made[t] for t in texts], pa.list_(pa.int64()))], ["doc_id", "digest", "row", "size", "buckets"])
 
-    signed = durable(docs.mapInArrow(sampled, "doc_id bigint, digest binary, buckets array<bigint>"), "signed")
-    texts = signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets"))
-    members = durable(texts.select("digest", "doc_id", F.explode("buckets").alias("bucket")), "members")
+    signed = durable(docs.mapInArrow(sampled, "doc_id bigint, digest binary, row bigint, size bigint, buckets array<bigint>"), "signed")
+    texts = signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("buckets").alias("buckets"))
+    every = durable(texts.select("digest", "doc_id", "size", F.explode("buckets").alias("bucket")), "members")
     # Aggregates are written before they are joined, so that adaptive execution can split a hot bucket or digest
-    sizes = durable(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    members = durable(members.join(sizes, "bucket"), "shared")
+    sizes = durable(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    members = durable(every.join(sizes, "bucket"), "shared")
+    release(every, sizes)
     wanted = members.groupBy("digest", "doc_id").agg(F.sum("n").alias("central"))
     leaders = members.join(wanted, ["digest", "doc_id"]).groupBy("bucket").agg(F.max(F.struct("central", "digest"))["digest"].alias("leader"))
     leaders = durable(leaders, "leaders")
@@ -352,18 +381,32 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = members.join(leaders, "bucket").where("digest <> leader").select(F.least("leader", "digest").alias("a"), F.greatest("leader", "digest").alias("b")).distinct()
     links = _verified(pairs, texts, idf, threshold)
     found = components(links)
-    named = members.select("bucket", "digest").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    more = _scanned(durable(named, "named"), texts, idf, threshold)
+    placed = members.select("bucket", "digest", "size").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    placed = durable(placed, "placed")
+    more = _scanned(placed, texts, idf, threshold)
+    release(members, leaders, placed, texts)
     if not more.isEmpty():
         found = components(links.union(more))
-    least = durable(signed.groupBy("digest").agg(F.min("doc_id").alias("least_id")), "least")
-    linked = durable(found.select(F.col("node").alias("digest"), "component").join(least, "digest"), "linked")
+    heads = durable(_heads(signed), "heads")
+    linked = durable(found.select(F.col("node").alias("digest"), "component").join(heads, "digest"), "linked")
     salt, salts = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    heads = linked.groupBy("component").agg(F.min("least_id").alias("class_id")).select("component", "class_id", salts)
-    named = linked.select("digest", "component", salt).join(heads, ["component", "salt"]).select("digest", "class_id")
-    classed = durable(least.join(named, "digest", "left").select("digest", F.coalesce("class_id", "least_id").alias("class_id")), "classed")
-    known = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
-    return signed.select("doc_id", "digest").join(classed, "digest").select(known("doc_id"), "digest", known("class_id"))
+    named = linked.groupBy("component").agg(F.min("head").alias("head")).select("component", "head", salts)
+    named = linked.select("digest", "component", salt).join(named, ["component", "salt"]).select("digest", F.col("head").alias("of_class"))
+    classed = durable(heads.join(named, "digest", "left").select("digest", F.coalesce("of_class", "head").alias("head")), "classed")
+    release(links, more, found, heads, linked)
+    class_id = F.when(F.col("head.doc_id") < NO_ID, F.col("head.doc_id")).otherwise(-1 - F.pmod(F.xxhash64("head.digest"), F.lit(1 << 62)))
+    return signed.select("doc_id", "digest", "row").join(classed, "digest").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "digest", class_id.alias("class_id"), (F.col("row") == F.col("head.row")).alias("kept"))
+
+
+def _heads(signed: DataFrame) -> DataFrame:
+    """(digest, head): each text's least doc_id of those that it owns (NO_ID if none), its digest, and the first row with them.
+
+    Of the texts under one doc_id the one of least digest owns it.
+    """
+    own = signed.where(F.col("doc_id") < NO_ID).groupBy("doc_id").agg(F.min(F.struct("digest", "row")).alias("at"))
+    own = own.groupBy(F.col("at.digest").alias("digest")).agg(F.min(F.struct("doc_id", "at.digest", "at.row")).alias("own"))
+    every = signed.groupBy("digest").agg(F.min("row").alias("row"))
+    return every.join(own, "digest", "left").select("digest", F.coalesce("own", F.struct(F.lit(NO_ID).alias("doc_id"), "digest", "row")).alias("head"))
 
 
 def identity() -> Column:
@@ -372,25 +415,23 @@ def identity() -> Column:
 
 
 def digest_of(text: str) -> Column:
-    return F.unhex(F.md5(F.encode(text_or_empty(text), "UTF-8")))
+    return F.unhex(F.sha2(F.encode(text_or_empty(text), "UTF-8"), 256))
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the document of least doc_id, once.
-
-    Different texts of one doc_id that are not near duplicates all stay.
-    """
-    keep = classes(docs, threshold).where("doc_id <=> class_id").select(identity().alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct()
-    order = Window.partitionBy("_kept_id", "_kept_digest").orderBy("_kept_digest")
-    kept = docs.withColumns({"_kept_id": identity(), "_kept_digest": digest_of("text")}).join(keep, ["_kept_id", "_kept_digest"], "left_semi")
-    return kept.withColumn("_kept_turn", F.row_number().over(order)).where("_kept_turn = 1").select(docs.columns)
+    """The rows of ``docs`` that stay: one of each class."""
+    own_id, own_digest, turn = (unused(name, *docs.columns) for name in ("kept_id", "kept_digest", "kept_turn"))
+    keep = classes(docs, threshold).where("kept").select(identity().alias(own_id), F.col("digest").alias(own_digest))
+    order = Window.partitionBy(own_id, own_digest).orderBy(own_digest)
+    kept = docs.withColumns({own_id: identity(), own_digest: digest_of("text")}).join(keep, [own_id, own_digest], "left_semi")
+    return kept.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).select(docs.columns)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """The pairs (a, b) of digests whose texts' weighted Jaccard similarity reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Table(lambda text: elements(*shingles(word_hashes([text])[0], idf.value)), 64)
+        known = Table(lambda text: elements(*shingles(word_hashes([text])[0], idf.value)), KEPT_ELEMENTS, lambda value: len(value[0]))
         for batch in slices(batches, "tb"):
             near = [similarities([known[x], known[y]])[0, 1] >= threshold - EPSILON for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.filter(pa.array(near, pa.bool_())).select(["a", "b"])
@@ -400,21 +441,32 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
     return durable(with_both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary"), "links")
 
 
-def _scanned(named: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """Links (a, b) between the components that share a bucket; ``named`` has bucket, digest, component."""
+def _scanned(placed: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) between the components that share a bucket; ``placed`` has bucket, digest, size, component.
+
+    A bucket's largest component, its core, is cut into blocks, and so is the rest; every block of the rest meets every
+    other block. Blocks of the core need not meet each other.
+    """
     told = F.xxhash64("digest")
-    held = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.bit_xor(told).alias("x"), F.bit_xor(F.xxhash64(told)).alias("y"))
+    held = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.bit_xor(told).alias("x"), F.bit_xor(F.xxhash64(told)).alias("y"))
     # Buckets of the same texts are scanned once
-    apart = held.where("low <> high").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / SCAN).cast("int").alias("blocks"))
-    apart = durable(apart, "apart")
-    rows = named.join(apart, "bucket").withColumn("own", F.pmod(told, F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    apart = durable(held.where("low <> high").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "apart")
+    rows = placed.join(apart, "bucket")
+    parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    parts = durable(parts, "parts")
+    blocks = lambda n, size: F.ceil(F.greatest(n / SCAN, size / SCAN_BYTES)).cast("int")
+    core = parts.groupBy("bucket").agg(F.max(F.struct("n", "bytes", "component")).alias("core"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    core = core.select("bucket", F.col("core.component").alias("core"), blocks(F.col("core.n"), F.col("core.bytes")).alias("in_core"), blocks(F.col("n") - F.col("core.n"), F.col("bytes") - F.col("core.bytes")).alias("in_rest"))
+    rows = rows.join(durable(core, "core"), "bucket")
+    inside = F.col("component") == F.col("core")
+    rows = rows.withColumn("own", F.when(inside, F.col("in_rest") + F.pmod(told, F.col("in_core"))).otherwise(F.pmod(told, F.col("in_rest"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("in_rest")).otherwise(F.col("in_rest") + F.col("in_core")) - 1)))
     key = ["bucket", "i", "j"]
     rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "digest", "component")
     rows = rows.join(texts, "digest").repartition(*key).sortWithinPartitions(*key).select(*key, "digest", "component", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Table(lambda text: elements(*shingles(word_hashes([text])[0], idf.value)), 2 * SCAN)
+        known = Table(lambda text: elements(*shingles(word_hashes([text])[0], idf.value)), KEPT_ELEMENTS, lambda value: len(value[0]))
 
         def links(group: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
             classes = np.unique([g[1] for g in group], return_inverse=True)[1]

@@ -26,7 +26,7 @@ def hex_of(text: Column) -> Column:
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return neardup.classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
 def op2_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
