@@ -1,7 +1,8 @@
 """Inverted index and TF-IDF vectors.
 
-The long table of term frequencies feeds everything else. The widest shuffle is that of the texts by document; document
-frequencies combine on the map side before theirs, and Spark reuses the first exchange for both.
+The long table of term frequencies feeds everything else, so ``build`` writes it once to the shared folder, with the
+frequencies by term. The widest shuffle is that of the texts by document; document frequencies and norms combine on the
+map side before theirs, and the weights need none where the vocabulary is small enough to be broadcast.
 """
 
 from __future__ import annotations
@@ -12,10 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigraph.functions.text import is_indexed, stem, terms, words
+from lexigraph.session import cut
 
 
 #: Documents of a term that one row of stored postings holds.
 SEGMENT = 100_000
+#: Rows and bytes up to which a side is broadcast; what is more is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
 
 def term_frequencies(docs: DataFrame, key: str, text: Column) -> DataFrame:
@@ -44,6 +48,16 @@ def by_term(df: DataFrame) -> DataFrame:
     return df.repartitionByRange("term").sortWithinPartitions("term")
 
 
+def vocabulary(tf: DataFrame) -> DataFrame:
+    """(place, term): the terms in order, numbered from 0; each range is numbered by itself, from the sizes of those before."""
+    part = F.spark_partition_id().alias("part")
+    laid = cut(by_term(tf.select("term").distinct()).select("term", part, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")))
+    # One row a partition
+    order = Window.orderBy("part")
+    before = laid.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(order) - F.col("n")).alias("before"))
+    return laid.join(F.broadcast(before), "part").select((F.col("before") + F.col("at")).alias("place"), "term")
+
+
 def damped(tf: Column) -> Column:
     return F.when(tf > 0, 1 + F.log10(tf)).otherwise(0.0)
 
@@ -59,22 +73,38 @@ def document_frequencies(tf: DataFrame, docs: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(size)).select("term", "df", inverse_frequency(F.col("documents"), F.col("df")).alias("idf"))
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """By a count that stops after ``rows``, and the bytes of these rows."""
+    size = [F.octet_length(F.col(c)) if t == "string" else F.lit(8) for c, t in df.dtypes]
+    there, held = df.limit(rows + 1).agg(F.count("*"), F.sum(sum((F.coalesce(x, F.lit(0)).cast("bigint") for x in size), F.lit(16)))).first()
+    return there <= rows and (held or 0) <= BROADCAST_BYTES
+
+
 def with_idf(tf: DataFrame, idf: DataFrame) -> DataFrame:
-    """tf with idf by term. The hint keeps the far larger tf from being broadcast on an estimate of its file size."""
-    return tf.join(idf.select("term", "idf").hint("shuffle_hash"), "term")
+    """tf with idf by term, which is broadcast if small. The hint keeps the far larger tf from being broadcast instead."""
+    pairs = idf.select("term", "idf")
+    return tf.join(F.broadcast(pairs) if is_small(pairs) else pairs.hint("shuffle_hash"), "term")
+
+
+def raw_weights(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    return with_idf(tf, idf).select(key, "term", (damped(F.col("tf")) * F.col("idf")).alias("raw"))
+
+
+def of_unit_length(raw: DataFrame, key: str) -> DataFrame:
+    """(key, term, weight) from (key, term, raw). A document's rows lie together, so its sum is made before the exchange."""
+    lengths = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return raw.join(lengths, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
 def weights(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """(key, term, weight) of unit length for each document; documents without terms have no rows."""
-    raw = with_idf(tf, idf).select(key, "term", (damped(F.col("tf")) * F.col("idf")).alias("raw"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
+    """(key, term, weight) of unit length for each document; documents without terms have no rows. Reads tf twice."""
+    return of_unit_length(raw_weights(tf, idf, key), key)
 
 
 def norms(tf: DataFrame, idf: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """(key, norm) for every document; 0 without terms."""
-    raw = with_idf(tf, idf).select(key, F.pow(damped(F.col("tf")) * F.col("idf"), 2).alias("square"))
-    return docs.select(key).join(raw.groupBy(key).agg(F.sqrt(F.sum("square")).alias("norm")), key, "left").select(key, F.coalesce("norm", F.lit(0.0)).alias("norm"))
+    raw = raw_weights(tf, idf, key)
+    return docs.select(key).join(raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm")), key, "left").select(key, F.coalesce("norm", F.lit(0.0)).alias("norm"))
 
 
 def token_counts(tf: DataFrame, docs: DataFrame, key: str) -> DataFrame:
@@ -105,9 +135,22 @@ class Index:
 
     key: str
     docs: DataFrame
-    tf: DataFrame
+    tf: DataFrame | None
     idf: DataFrame
-    weights: DataFrame
+    weights: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        if self.weights is None:
+            self.weights = weights(self.tf, self.idf, self.key)
+
+    def weights_of(self, terms: list[str]) -> DataFrame:
+        """The weights of these terms alone. Where they are not stored, only documents that have one of the terms are weighed."""
+        wanted = F.col("term").isin(terms)
+        if self.tf is None:
+            return self.weights.where(wanted)
+        holders = self.tf.where(wanted).select(self.key).distinct()
+        raw = raw_weights(self.tf.join(holders, self.key, "left_semi"), self.idf, self.key)
+        return of_unit_length(raw, self.key).where(wanted)
 
     def vectors(self) -> DataFrame:
         entries = self.weights.groupBy(self.key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "weight")))).alias("vector"))
@@ -125,6 +168,5 @@ class Index:
 
 
 def build(docs: DataFrame, key: str, text: Column) -> Index:
-    tf = term_frequencies(docs, key, text)
-    idf = document_frequencies(tf, docs)
-    return Index(key, docs, tf, idf, weights(tf, idf, key))
+    tf = cut(term_frequencies(docs, key, text))
+    return Index(key, docs, tf, cut(document_frequencies(tf, docs)))

@@ -7,21 +7,14 @@ from pyspark.sql import functions as F
 
 from lexigraph.functions.text import terms
 
-from .index import Index, damped, inverse_frequency, term_frequencies
+from .index import Index, damped, inverse_frequency, is_small, term_frequencies
 
-#: Rows and bytes up to which a side is broadcast; what is more is joined by shuffle.
-BROADCAST_TERMS, BROADCAST_BYTES = 100_000, 64 << 20
+#: Query terms up to this many are broadcast, if their bytes allow it; more are joined by shuffle.
+BROADCAST_TERMS = 100_000
 #: Terms of one query up to which they are put into the scan as a filter.
 FILTER_TERMS = 1000
 
 
-def is_small(df: DataFrame, rows: int) -> bool:
-    """By a count that stops after ``rows``, and the bytes of these rows."""
-    size = [F.octet_length(F.col(c)) if t == "string" else F.lit(8) for c, t in df.dtypes]
-    there, held = df.limit(rows + 1).agg(F.count("*"), F.sum(sum((F.coalesce(x, F.lit(0)).cast("bigint") for x in size), F.lit(16)))).first()
-    return there <= rows and (held or 0) <= BROADCAST_BYTES
-
-
 def small(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint where the table is small."""
     return F.broadcast(df) if is_small(df, rows) else df
@@ -74,7 +67,7 @@ def search(index: Index, query: str, limit: int = 10) -> DataFrame:
     asked = spark.createDataFrame([(0, query)], "query_id int, query string")
     known = sorted(set(tokens))
     if len(known) <= FILTER_TERMS:
-        idf, weights = (df.where(F.col("term").isin(known)) if known else df.limit(0) for df in (index.idf, index.weights))
+        idf, weights = index.idf.where(F.col("term").isin(known)), index.weights_of(known)
         vectors = F.broadcast(weighted(query_terms(asked, "query_id", "query"), idf, "query_id"))
     else:
         weights, vectors = index.weights, query_vectors(asked, index.idf)

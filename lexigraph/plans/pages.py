@@ -9,6 +9,7 @@ from lexigraph.functions import html
 from lexigraph.functions.text import absolute_url, canonical_url, publication_type, squeezed, year_in
 from lexigraph.session import cut
 from lexigraph.sources.html_records import details
+from lexigraph.streaming.crawl import unseen
 
 from .retrieval import table
 from .sql import canonical_sql, visible_sql, without_tags_sql
@@ -47,7 +48,7 @@ def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page read as a publication page, with a document tree."""
     got = details(table(spark, sf_dir, "pages").select("url", "html"))
-    return got.select("publication_url", "title", "full_text", "publication_year", F.size("authors").alias("authors"))
+    return got.select("publication_url", "title", "full_text", F.coalesce("publication_year", F.lit(0)).alias("publication_year"), F.size("authors").alias("authors"))
 
 
 def page_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +66,9 @@ def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = spark.createDataFrame([(0, 0)], "page_id bigint, turn int")
     for turn in range(1, 4):
         last = seen.where(F.col("turn") == turn - 1).select("page_id")
-        new = edges.join(last, edges["a"] == last["page_id"]).select(F.col("b").alias("page_id")).distinct().join(seen.select("page_id"), "page_id", "left_anti")
-        seen = cut(seen.union(new.withColumn("turn", F.lit(turn))))
+        found = edges.join(last, edges["a"] == last["page_id"]).select(F.col("b").alias("url"), F.col("a").alias("page_ord"), F.lit(0).alias("place"))
+        new = unseen(found, seen.select(F.col("page_id").alias("url")))
+        seen = cut(seen.union(new.select(F.col("url").alias("page_id"), F.lit(turn).alias("turn"))))
     return seen
 
 
@@ -79,12 +81,14 @@ def oracle_sql() -> dict[str, str]:
     hop = lambda i: f"t{i} AS (SELECT DISTINCT b AS page_id, {i} AS turn FROM e JOIN t{i - 1} ON a = page_id WHERE b NOT IN ({' UNION ALL '.join(f'SELECT page_id FROM t{j}' for j in range(i))}))"
     return {
         "page_visible_text": f"SELECT page_id, {visible_sql('html')} AS visible_text FROM pages",
+        "page_records": f"SELECT {canonical_sql('url')} AS publication_url, coalesce(nullif({first('h1')}, ''), {first('title')}) AS title, {visible_sql('html')} AS full_text, coalesce(nullif(regexp_extract({visible_sql('html')}, '\\b(19|20)[0-9][0-9]\\b', 0), '')::INT, 0) AS publication_year, len(regexp_extract_all(html, 'href=\"(/en/persons/[^\"]+)\"', 1))::INT AS authors FROM pages",
         "page_tree_text": f"SELECT {visible_sql('html')} AS visible_text FROM pages",
         "page_links": f"""WITH l AS (SELECT page_id, url, regexp_extract_all(html, '<a\\b[^>]*?\\bhref="([^"]*)"', 1, 'i') AS hs FROM pages), e AS (SELECT page_id, url, unnest(hs) AS href, generate_subscripts(hs, 1) - 1 AS place FROM l)
 SELECT page_id, {canonical_sql("regexp_extract(url, '^([a-z]+://[^/]*)', 1) || replace(href, '&amp;', '&')")} AS link, min(place) AS place FROM e GROUP BY ALL""",
         "page_title_h1": f"SELECT page_id, coalesce(nullif({first('h1')}, ''), {first('title')}) AS title FROM pages",
         "page_year": f"SELECT page_id, coalesce(nullif(regexp_extract({line}, '\\b(19|20)[0-9][0-9]\\b', 0), '')::INT, 0) AS year FROM pages",
-        "pub_type": "SELECT page_id, 'Contribution to' || coalesce(nullif(' ' || regexp_extract(url, '/([a-z]+)/', 1), ' '), '') AS publication_type FROM pages",
+        "pub_type": f"""WITH l AS (SELECT page_id, 'Research output:  Contribution to ' || regexp_extract(url, '/([a-z]+)/', 1) || CASE page_id % 3 WHEN 0 THEN ' Open Access x' WHEN 1 THEN '  12 Downloads (Pure)' ELSE '' END AS line FROM pages)
+SELECT page_id, trim(regexp_replace(regexp_replace(substr(line, strpos(line, 'Research output:') + 16), '\\s+(Open Access|File|[0-9]+\\s+Downloads).*$', ''), '\\s+', ' ', 'g')) AS publication_type FROM l""",
         "canonical_urls": f"SELECT page_id, {canonical_sql('url')} AS url FROM pages",
         "crawl_frontier": f"""WITH l AS (SELECT page_id, regexp_extract_all(html, '<a\\b[^>]*?\\bhref="([^"]*)"', 1, 'i') AS hs FROM pages),
 h AS (SELECT page_id, replace(unnest(hs), '&amp;', '&') AS href, generate_subscripts(hs, 1) - 1 AS place FROM l),

@@ -62,6 +62,11 @@ def names(authors: str = "authors"):
     return F.array_join(F.transform(authors, lambda a: F.concat(a["name"], F.lit("="), F.coalesce(F.regexp_extract(a["profile_url"], "([^/]*)$", 1), F.lit("-")))), "; ")
 
 
+def filled(df: DataFrame) -> DataFrame:
+    """Without nulls, for comparison."""
+    return df.fillna("").fillna(0)
+
+
 def portal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing's links in order, and what each is."""
     found = html_records.page_links(pages(spark).where(F.col("url") == SEED))
@@ -75,17 +80,18 @@ def portal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def portal_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_records.summaries(pages(spark).where("status_code = 200"))
     place = F.regexp_replace("page_url", f"^{ROOT}/en/", "")
-    return found.select(place.alias("page"), F.col("ord").cast("bigint").alias("ord"), F.regexp_extract("publication_url", "([^/]*)$", 1).alias("publication"), "title", "publication_year", "publication_type", names().alias("authors"), F.length("full_text").cast("bigint").alias("letters"))
+    return filled(found.select(place.alias("page"), F.col("ord").cast("bigint").alias("ord"), F.regexp_extract("publication_url", "([^/]*)$", 1).alias("publication"), "title", "publication_year", "publication_type", names().alias("authors"), F.length("full_text").cast("bigint").alias("letters")))
 
 
 def portal_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_records.details(pages(spark).where(F.col("url").contains("/publications/") & ~F.col("url").contains("?page")))
-    return found.select("publication_url", "title", "published_date", "source", "abstract", "publication_year", "publication_type", names().alias("authors"))
+    return filled(found.select("publication_url", "title", "published_date", "source", "abstract", "publication_year", "publication_type", names().alias("authors")))
 
 
 def portal_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = crawl(spark, config(), source(spark)).publications
-    return out.select(F.col("ord").cast("bigint").alias("ord"), "publication_url", "title", "publication_year", "publication_type", "source", names().alias("authors"), F.regexp_replace("crawled_from", ROOT, "").alias("crawled_from"), (F.length("publication_key") == 64).alias("keyed"))
+    out = out.select(F.col("ord").cast("bigint").alias("ord"), "publication_url", "title", "publication_year", "publication_type", "source", names().alias("authors"), F.regexp_replace("crawled_from", ROOT, "").alias("crawled_from"), (F.length("publication_key") == 64).alias("keyed"))
+    return filled(out)
 
 
 def portal_crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,24 +141,24 @@ EXPECTED = {
     "portal_summaries": ("page ord publication title publication_year publication_type authors letters", [
         ("organisations/lab/", 0, "café", "Café & bar’s", 2020, "Article", "Doe, J.=jane", 83),
         ("organisations/lab/", 1, "old", "Old", 1999, "Book", "李明=li", 45),
-        ("organisations/lab/", 2, "secret", "Secret work", 2001, None, "", 23),
+        ("organisations/lab/", 2, "secret", "Secret work", 2001, "", "", 23),
         ("organisations/lab/", 3, "far", "Far", 2020, "Article", "Doe, J.=jane; 李明=li", 173),
-        ("organisations/lab/publications/?page=1", 0, "old", "Old again", 1998, None, "", 14),
-        ("organisations/lab/publications/?page=1", 1, "gone", "Gone", 2010, None, "Jane Doe=jane", 18),
-        ("persons/jane", 0, "solo", "Solo", None, "Thesis", "Jane Doe=jane", 37),
+        ("organisations/lab/publications/?page=1", 0, "old", "Old again", 1998, "", "", 14),
+        ("organisations/lab/publications/?page=1", 1, "gone", "Gone", 2010, "", "Jane Doe=jane", 18),
+        ("persons/jane", 0, "solo", "Solo", 0, "Thesis", "Jane Doe=jane", 37),
     ]),
     "portal_details": ("publication_url title published_date source abstract publication_year publication_type authors", [
         (f"{ROOT}/en/publications/café", "Café and bar", "2019/05/01", "Proc. X", "First <part>. Second one", 2019, "Contribution to journal", "Doe, Jane=jane; Roe, R.=-"),
-        (f"{ROOT}/en/publications/new/place", "only a title 2003", None, None, None, 2003, None, ""),
-        (f"{ROOT}/en/publications/solo", "", None, None, None, None, None, ""),
+        (f"{ROOT}/en/publications/new/place", "only a title 2003", "", "", "", 2003, "", ""),
+        (f"{ROOT}/en/publications/solo", "", "", "", "", 0, "", ""),
     ]),
     "portal_crawl": ("ord publication_url title publication_year publication_type source authors crawled_from keyed", [
         (0, f"{ROOT}/en/publications/café", "Café and bar", 2019, "Contribution to journal", "Proc. X", "Doe, J.=jane; Roe, R.=-", "/en/organisations/lab/", True),
-        (1, f"{ROOT}/en/publications/new/place", "only a title 2003", 2003, "Book", None, "李明=li", "/en/organisations/lab/", True),
-        (2, f"{ROOT}/en/publications/secret", "Secret work", 2001, None, None, "", "/en/organisations/lab/", True),
-        (3, "https://other.example/en/publications/far", "Far", 2020, "Article", None, "Doe, J.=jane; 李明=li", "/en/organisations/lab/", True),
-        (1, f"{ROOT}/en/publications/gone", "Gone", 2010, None, None, "Jane Doe=jane", "/en/organisations/lab/publications/?page=1", True),
-        (0, f"{ROOT}/en/publications/solo", "Solo", None, "Thesis", None, "Jane Doe=jane", "/en/persons/jane", True),
+        (1, f"{ROOT}/en/publications/new/place", "only a title 2003", 2003, "Book", "", "李明=li", "/en/organisations/lab/", True),
+        (2, f"{ROOT}/en/publications/secret", "Secret work", 2001, "", "", "", "/en/organisations/lab/", True),
+        (3, "https://other.example/en/publications/far", "Far", 2020, "Article", "", "Doe, J.=jane; 李明=li", "/en/organisations/lab/", True),
+        (1, f"{ROOT}/en/publications/gone", "Gone", 2010, "", "", "Jane Doe=jane", "/en/organisations/lab/publications/?page=1", True),
+        (0, f"{ROOT}/en/publications/solo", "Solo", 0, "Thesis", "", "Jane Doe=jane", "/en/persons/jane", True),
     ]),
     "portal_crawl_log": ("what value", [
         ("visited", "3"), ("profiles", "1"), ("skipped", f"{ROOT}/en/publications/secret"), ("skipped", "https://other.example/en/publications/far"),
@@ -167,7 +173,7 @@ TYPES = {"place": "BIGINT", "ord": "BIGINT", "letters": "BIGINT", "publication_y
 
 
 def oracle_sql() -> dict[str, str]:
-    said = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    said = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
     out = {}
     for name, (columns, rows) in EXPECTED.items():
         typed = ", ".join(f"{c}::{TYPES[c] if not isinstance(rows[0][i], str) else 'VARCHAR'} AS {c}" if c in TYPES else f"{c}::VARCHAR AS {c}" for i, c in enumerate(columns.split()))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lexigraph.functions import authors
 from lexigraph.functions.text import stable_id
 from lexigraph.operators import browse, cluster
-from lexigraph.operators.store import upserted
+from lexigraph.operators.store import author_rows, merged_authors, upserted
+from lexigraph.schemas import TABLES
 from lexigraph.session import scratch
 from lexigraph.streaming.update import stream
 
@@ -18,8 +19,10 @@ from .sql import kmeans_sql
 K, TURNS, SQL_VECTORS = 3, 24, 500
 NAMES = [
     "Adams, J.", "Jane Adams", "John Adams", "Adams", "adams", "Brown-Smith, K.", "Karl Brown Smith", "Smith, Karl", "K Smith", "O'Neil, Pat", "Pat O Neil", "van der Berg, A.",
-    "Anna van der Berg", "Berg, Anna", "Müller, H.", "Hans Müller", "", "  ", "Lee, X. Y.", "Yan Lee", "Xin Lee",
+    "Anna van der Berg", "Berg, Anna", "Müller, H.", "Hans Müller", "", "  ", "Lee, X. Y.", "Yan Lee", "Xin Lee", "李明", "Иван Петров", "李明", "иван  петров",
 ]
+SURNAMES = ["Adams", "Brown-Smith", "Smith", "O'Neil", "van der Berg", "Berg", "Lee", "Stone"]
+PERSONS = "https://portal.example/en/persons/"
 
 
 def as_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,13 +63,18 @@ def dashboard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def author_link_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as authors of orders, saved in two batches: the set of links only grows."""
-    links = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("author_key"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("batch"))
-    sets = lambda cond: links.where(cond).groupBy("author_key").agg(F.collect_set("k").alias("ks"))
-    both = sets("batch <= 2").withColumnRenamed("ks", "old").join(sets("batch >= 2").withColumnRenamed("ks", "new"), "author_key", "full")
-    none = F.array().cast("array<bigint>")
-    keys = F.array_sort(F.array_union(F.coalesce("old", none), F.coalesce("new", none)))
-    return both.select("author_key", F.size(keys).cast("bigint").alias("publications"), F.md5(F.array_join(keys, ",")).alias("keys_md5"))
+    """Suppliers as authors of orders, saved in two batches that overlap: an author's publications only grow."""
+    lines = table(spark, sf_dir, "lineitem")
+    person = F.struct(F.concat(F.lit("Supplier "), "l_suppkey").alias("name"), F.concat(F.lit(PERSONS), "l_suppkey").alias("profile_url"), F.lit(None).cast("string").alias("affiliation"))
+
+    def saved(before: DataFrame, batch: str, day: str) -> DataFrame:
+        orders = lines.where(batch).groupBy(F.col("l_orderkey").cast("string").alias("publication_key")).agg(F.collect_set(person).alias("authors"))
+        return merged_authors(before, author_rows(orders.withColumn("updated_at", F.lit(day).cast("timestamp"))))
+
+    first = saved(spark.createDataFrame([], TABLES["authors"]), "l_linenumber <= 2", "2024-01-01")
+    both = saved(first, "l_linenumber >= 2", "2024-01-02")
+    keys = F.col("publication_keys")
+    return both.select("author_key", "name", F.size(keys).cast("bigint").alias("publications"), F.md5(F.array_join(keys, ",")).alias("keys_md5"), F.date_format("first_seen_at", "yyyy-MM-dd").alias("first_seen"))
 
 
 def publication_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,20 +138,28 @@ def names(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(NAMES)), "i int, name string")
 
 
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed names, numbered below 0, and a name made for each customer."""
+    key = F.col("c_custkey")
+    surname, letter = F.element_at(F.array(*map(F.lit, SURNAMES)), (key % len(SURNAMES) + 1).cast("int")), F.char(65 + key % 26)
+    made = F.when(key % 3 == 0, F.concat(surname, F.lit(", "), letter, F.lit("."))).when(key % 3 == 1, F.concat(letter, F.lit("ane "), surname)).otherwise(surname)
+    return names(spark).select((F.col("i") - 100).cast("bigint").alias("i"), "name").union(table(spark, sf_dir, "customer").select(key.alias("i"), made.alias("name")))
+
+
 def author_match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a fixed list of names that match, blocked on the last word of the surname."""
+    """Fixed names that match others, or customers' names, blocked on the last word of the surname."""
     block = F.coalesce(F.try_element_at(F.split(authors.signature(F.col("name"))["surname"], " "), F.lit(-1)), F.lit(""))
-    one = names(spark).withColumn("block", block)
-    a, b = one.alias("a"), one.alias("b")
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.i") < F.col("b.i")))
-    return pairs.where(authors.names_match(F.col("a.name"), F.col("b.name"))).select(F.col("a.i").cast("bigint").alias("a"), F.col("b.i").cast("bigint").alias("b"), authors.name_quality(F.col("a.name")).cast("bigint").alias("a_quality"))
+    one = people(spark, sf_dir).withColumn("block", block).where("block <> ''")
+    a, b = one.where("i < 0").alias("a"), one.alias("b")
+    pairs = b.join(F.broadcast(a), (F.col("a.block") == F.col("b.block")) & (F.col("a.i") < F.col("b.i")))  # a has fewer rows than NAMES
+    return pairs.where(authors.names_match(F.col("a.name"), F.col("b.name"))).select(F.col("a.i").alias("a"), F.col("b.i").alias("b"), authors.name_quality(F.col("a.name")).cast("bigint").alias("a_quality"), authors.name_quality(F.col("b.name")).cast("bigint").alias("b_quality"))
 
 
 def author_merge_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     person = F.struct("name", F.when(F.col("i") % 5 == 0, F.concat(F.lit("https://portal.example/en/persons/"), F.col("i"))).alias("profile_url"), F.lit(None).cast("string").alias("affiliation"))
     listed = names(spark).where("trim(name) <> ''").agg(F.array_sort(F.collect_list(F.struct("i", person.alias("p")))).alias("l")).select(F.transform("l", lambda x: x["p"]).alias("authors"))
     merged = listed.select(F.posexplode(authors.merged(F.col("authors"))).alias("place", "a"))
-    return merged.select("place", "a.author_key", "a.name", "a.profile_url")
+    return merged.select(F.col("place").cast("bigint").alias("place"), "a.author_key", "a.name", "a.profile_url")
 
 
 def stream_update(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,11 +182,17 @@ def oracle_sql() -> dict[str, str]:
     pubs = "SELECT o_orderkey AS publication_key, o_orderpriority AS title, year(o_orderdate)::INT AS publication_year, o_orderdate AS updated_at FROM orders"
     browsed = lambda order: f"SELECT publication_key, title, publication_year FROM ({pubs}) ORDER BY {order}, publication_key LIMIT 50"
     km = lambda turns: "ids AS (SELECT vec_id AS id, vec_id AS ordinal FROM embeddings), pts AS (SELECT vec_id AS id, generate_subscripts(embedding, 1) - 1 AS term, unnest(embedding)::DOUBLE AS weight FROM embeddings), " + kmeans_sql(SQL_VECTORS, K, turns)
-    listed = ", ".join(f"({i}, '{n.replace(chr(39), chr(39) * 2)}')" for i, n in enumerate(NAMES))
+    quoted = lambda n: "'" + n.replace("'", "''") + "'"
+    listed = ", ".join(f"({i}, {quoted(n)})" for i, n in enumerate(NAMES))
+    made = f"CASE c_custkey % {len(SURNAMES)} " + " ".join(f"WHEN {i} THEN {quoted(n)}" for i, n in enumerate(SURNAMES)) + " END"
     form = "trim(regexp_replace(regexp_replace(replace(lower(name), '-', ' '), '[^a-z\\s,]', ' ', 'g'), '\\s+', ' ', 'g'))"
-    signed = f"""f AS (SELECT i, name, {form} AS form FROM (VALUES {listed}) v(i, name)),
-s AS (SELECT i, name, form, CASE WHEN contains(form, ',') THEN trim(regexp_extract(form, '^([^,]*),', 1)) ELSE coalesce(regexp_extract(form, '([^ ]*)$', 1), '') END AS surname,
-  list_distinct(list_transform(list_filter(string_split(CASE WHEN contains(form, ',') THEN regexp_replace(form, '^[^,]*,', '') ELSE regexp_replace(form, '[^ ]*$', '') END, ' '), lambda w: w <> ''), lambda w: left(w, 1))) AS initials FROM f)"""
+    quality = "(length(regexp_replace(name, '[^A-Za-z]', '', 'g')) - CASE WHEN regexp_matches(name, ',\\s*[A-Z](\\.|$)') THEN 20 ELSE 0 END)::BIGINT"
+    signed = lambda source: f"""f AS (SELECT i, name, {form} AS form, {quality} AS quality FROM {source}),
+s AS (SELECT i, name, form, quality, CASE WHEN contains(form, ',') THEN trim(regexp_extract(form, '^([^,]*),', 1)) ELSE coalesce(regexp_extract(form, '([^ ]*)$', 1), '') END AS surname,
+  list_distinct(list_transform(list_filter(string_split(CASE WHEN contains(form, ',') THEN regexp_replace(form, '^[^,]*,', '') ELSE regexp_replace(form, '[^ ]*$', '') END, ' '), lambda w: w <> ''), lambda w: left(w, 1))) AS initials FROM f)"""
+    match = lambda a, b: f"({a}.surname <> '' AND {b}.surname <> '' AND ({a}.surname = {b}.surname OR ends_with({a}.surname, ' ' || {b}.surname) OR ends_with({b}.surname, ' ' || {a}.surname)) AND CASE WHEN len({a}.initials) = 0 OR len({b}.initials) = 0 THEN {a}.form = {b}.form ELSE list_has_any({a}.initials, {b}.initials) END)"
+    persons = f"(SELECT i - 100 AS i, name FROM (VALUES {listed}) v(i, name) UNION ALL SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN {made} || ', ' || chr((65 + c_custkey % 26)::INT) || '.' WHEN 1 THEN chr((65 + c_custkey % 26)::INT) || 'ane ' || {made} ELSE {made} END FROM customer)"
+    better = lambda f: f"CASE WHEN n.p.quality > h.quality THEN n.p.{f} ELSE h.{f} END"
     return {
         "browse_newest": browsed("publication_year DESC NULLS LAST, title NULLS FIRST"),
         "browse_oldest": browsed("publication_year NULLS FIRST, title NULLS FIRST"),
@@ -181,7 +203,7 @@ s AS (SELECT i, name, form, CASE WHEN contains(form, ',') THEN trim(regexp_extra
         "distinct_years": "SELECT DISTINCT year(o_orderdate)::INT AS publication_year FROM orders",
         "keys_in_lookup": "SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)",
         "dashboard_counts": "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM supplier) AS supplier, (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM orders) AS orders",
-        "author_link_upsert": "SELECT l_suppkey AS author_key, count(*) AS publications, md5(string_agg(k::VARCHAR, ',' ORDER BY k)) AS keys_md5 FROM (SELECT DISTINCT l_suppkey, l_orderkey AS k FROM lineitem) GROUP BY l_suppkey",
+        "author_link_upsert": f"SELECT sha256('{PERSONS}' || k) AS author_key, 'Supplier ' || k AS name, count(DISTINCT o) AS publications, md5(string_agg(DISTINCT o, ',' ORDER BY o)) AS keys_md5, CASE WHEN min(l_linenumber) <= 2 THEN '2024-01-01' ELSE '2024-01-02' END AS first_seen FROM (SELECT l_suppkey AS k, l_orderkey::VARCHAR AS o, l_linenumber FROM lineitem) GROUP BY k",
         "publication_upsert": "SELECT o_orderkey AS publication_key, CASE WHEN o_orderkey % 3 <> 1 THEN o_orderpriority || '*' ELSE o_orderpriority END AS title, CASE WHEN o_orderkey % 3 <> 1 THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END AS updated_at, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END AS first_seen_at FROM orders",
         "crawl_run_latest": "SELECT event_id AS run_id, ts AS finished_at, event_type AS status FROM events ORDER BY ts DESC NULLS LAST, event_id LIMIT 10",
         "preview_per_category": "SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place, doc_id FROM documents QUALIFY place <= 10",
@@ -190,9 +212,15 @@ s AS (SELECT i, name, form, CASE WHEN contains(form, ',') THEN trim(regexp_extra
         "kmeans_update": f"WITH {km(1)} SELECT cluster, term, round(weight, 6) AS weight FROM c1",
         "kmeans_fit": f"WITH {km(TURNS)} SELECT id, cluster FROM l{TURNS}",
         "cluster_summary": f"WITH {km(1)}, g AS (SELECT cluster, label::VARCHAR AS category, count(*) AS n, min(id) AS first FROM l1 JOIN embeddings ON vec_id = id GROUP BY ALL) SELECT cluster, sum(n)::BIGINT AS documents, first(category ORDER BY n DESC, first) AS majority_category, string_agg(category || '=' || n, ',' ORDER BY category) AS categories FROM g GROUP BY cluster",
-        "author_match_pairs": f"""WITH {signed} SELECT a.i::BIGINT AS a, b.i::BIGINT AS b, (length(regexp_replace(a.name, '[^A-Za-z]', '', 'g')) - CASE WHEN regexp_matches(a.name, ',\\s*[A-Z](\\.|$)') THEN 20 ELSE 0 END)::BIGINT AS a_quality
-FROM s a JOIN s b ON a.i < b.i AND a.surname <> '' AND b.surname <> '' AND (a.surname = b.surname OR ends_with(a.surname, ' ' || b.surname) OR ends_with(b.surname, ' ' || a.surname))
-WHERE CASE WHEN len(a.initials) = 0 OR len(b.initials) = 0 THEN a.form = b.form ELSE list_has_any(a.initials, b.initials) END""",
+        "author_match_pairs": f"WITH {signed(persons)} SELECT a.i::BIGINT AS a, b.i::BIGINT AS b, a.quality AS a_quality, b.quality AS b_quality FROM s a JOIN s b ON a.i < 0 AND a.i < b.i AND {match('a', 'b')}",
+        "author_merge_fold": f"""WITH RECURSIVE {signed(f"(SELECT * FROM (VALUES {listed}) v(i, name) WHERE trim(name) <> '')")},
+k AS (SELECT row_number() OVER (ORDER BY i) AS step, {{'name': name, 'form': form, 'quality': quality, 'surname': surname, 'initials': initials, 'profile': CASE WHEN i % 5 = 0 THEN '{PERSONS}' || i END,
+  'key': sha256(CASE WHEN i % 5 = 0 THEN '{PERSONS}' || i ELSE lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) END)}} AS p FROM s),
+fold AS (SELECT 1::BIGINT AS step, [p] AS held FROM k WHERE step = 1 UNION ALL
+  SELECT n.step, CASE WHEN n.at > 0 THEN list_transform(n.held, lambda h, j: CASE WHEN j = n.at THEN {{'name': {better("name")}, 'form': {better("form")}, 'quality': {better("quality")}, 'surname': {better("surname")}, 'initials': {better("initials")}, 'profile': coalesce(h.profile, n.p.profile), 'key': h.key}} ELSE h END)
+    WHEN n.same > 0 THEN list_transform(n.held, lambda h, j: CASE WHEN j = n.same THEN n.p ELSE h END) ELSE list_append(n.held, n.p) END
+  FROM (SELECT k.step, k.p, held, coalesce(list_position(list_transform(held, lambda h: coalesce(h.profile = k.p.profile, false) OR {match("h", "k.p")}), true), 0) AS at, coalesce(list_position(list_transform(held, lambda h: h.key), k.p.key), 0) AS same FROM fold JOIN k ON k.step = fold.step + 1) n)
+SELECT place - 1 AS place, e.key AS author_key, e.name, e.profile AS profile_url FROM (SELECT unnest(held) AS e, generate_subscripts(held, 1) AS place FROM fold WHERE step = (SELECT max(step) FROM k))""",
         "stream_update": "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, max(ts) AS latest FROM events GROUP BY event_type",
     }
 

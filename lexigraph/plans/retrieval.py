@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lexigraph.functions.text import terms
 from lexigraph.operators import cluster, index, search
-from lexigraph.sources.corpus import corpus
+from lexigraph.session import cut, scratch
+from lexigraph.sources.corpus import TEMPLATES, TOPICS, corpus, lines
 
 from .sql import index_sql, kmeans_sql, queries_sql, stem_sql, terms_sql
 
@@ -45,7 +46,8 @@ def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_frequency_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indexed(spark, sf_dir).idf.select("term", "df", F.round("idf", 6).alias("idf"))
+    docs = documents(spark, sf_dir)
+    return index.document_frequencies(index.term_frequencies(docs, "doc_id", F.col("text")), docs).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +105,7 @@ def numbered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_model(spark: SparkSession, sf_dir: str) -> cluster.Model:
-    return cluster.fit_texts(numbered_documents(spark, sf_dir), K, max_iter=3)
+    return cluster.fit_texts(numbered_documents(spark, sf_dir), K)
 
 
 def text_kmeans_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +127,7 @@ def predict_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     langs = i.docs.select("lang").distinct().select("lang", number.cast("int").alias("cluster"))
     labels = i.docs.join(F.broadcast(langs), "lang").select(F.col("doc_id").alias("id"), "cluster")
     nothing = spark.createDataFrame([], "cluster int, term string, weight double")
-    centroids = cluster.update(points_of(i), labels, nothing)
+    centroids = cut(cluster.update(points_of(i), labels, nothing))
     summary = langs.select("cluster", F.col("lang").alias("majority_category"), F.array().cast("array<string>").alias("top_terms"))
     texts = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
     found = cluster.predict(texts, cluster.Model(None, centroids, 0, langs.count(), i.idf, summary))
@@ -145,8 +147,15 @@ def corpus_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (tokens_stats, stem_vocabulary, term_frequency, doc_frequency_idf, postings, tfidf_vectors, vector_norms, search_topk, search_batch, search_matched_terms, search_positions, index_metadata, text_kmeans_lang, cluster_top_terms, predict_cluster, corpus_clusters, corpus_terms)
 
-#: The seeds of a fit depend on the number of rows; the SQL is for 1,000 documents.
-SQL_DOCUMENTS = 1000
+#: The seeds of a fit depend on the number of rows; the SQL is for 1,000 documents and the bundled corpus, with as many
+#: turns as the fits take until no label changes.
+SQL_DOCUMENTS, SQL_TURNS, CORPUS_TURNS = 1000, 8, 2
+
+
+def corpus_sql() -> str:
+    """CTE corpus (id, ordinal, category, text)."""
+    texts = [(c, t.replace("{a}", a).replace("{b}", b).replace("{c}", x)) for c in TOPICS for a, b, x in (line.split(" | ") for line in lines(TOPICS[c])) for t in lines(TEMPLATES[c])]
+    return "corpus AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {i}, '{c}', '{t}')" for i, (c, t) in enumerate(texts)) + ") v(id, ordinal, category, text))"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -166,7 +175,13 @@ def oracle_sql() -> dict[str, str]:
         "search_matched_terms": f"WITH {index_sql()}, {queries_sql(many)} SELECT query_id, doc_id, matched FROM hits",
         "search_positions": f"WITH {terms_sql()} SELECT doc_id, position, term FROM terms",
         "index_metadata": f"WITH {index_sql()} SELECT 'publication_index' AS name, (SELECT n FROM n) AS document_count, count(*) AS vocabulary_size FROM idf",
-        "text_kmeans_lang": f"WITH {index_sql()}, ids AS (SELECT doc_id AS id, doc_id AS ordinal FROM documents), pts AS (SELECT doc_id AS id, term, weight FROM weights), {kmeans_sql(SQL_DOCUMENTS, K, 3)} SELECT id, cluster FROM l3",
+        "text_kmeans_lang": f"WITH {index_sql()}, ids AS (SELECT doc_id AS id, doc_id AS ordinal FROM documents), pts AS (SELECT doc_id AS id, term, weight FROM weights), {kmeans_sql(SQL_DOCUMENTS, K, SQL_TURNS)} SELECT id, cluster FROM l{SQL_TURNS}",
+        "corpus_terms": f"WITH {corpus_sql()}, {terms_sql('corpus', 'id', 'text')} SELECT category, term, count(*) AS n FROM terms JOIN corpus USING (id) GROUP BY ALL",
+        "corpus_clusters": f"""WITH {corpus_sql()}, {index_sql('corpus', 'id', 'text')}, ids AS (SELECT id, ordinal FROM corpus), pts AS (SELECT id, term, weight FROM weights), {kmeans_sql(135, K, CORPUS_TURNS)},
+g AS (SELECT cluster, category, count(*) AS n, min(ordinal) AS first FROM l{CORPUS_TURNS} JOIN corpus USING (id) GROUP BY ALL),
+s AS (SELECT cluster, sum(n)::BIGINT AS documents, first(category ORDER BY n DESC, first) AS majority_category, string_agg(category || '=' || n, ',' ORDER BY category) AS categories FROM g GROUP BY cluster),
+t AS (SELECT cluster, string_agg(term, ' ' ORDER BY round(weight, 9) DESC, term) AS terms FROM (SELECT * FROM c{CORPUS_TURNS} QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(weight, 9) DESC, term) <= 8) GROUP BY cluster)
+SELECT cluster::INT AS cluster, documents, majority_category, categories, terms, {CORPUS_TURNS} AS iterations FROM s JOIN t USING (cluster)""",
         "cluster_top_terms": f"WITH {index_sql()}, {means} SELECT lang AS cluster, row_number() OVER (PARTITION BY lang ORDER BY round(weight, 9) DESC, term) AS rank, term, round(weight, 6) AS weight FROM means QUALIFY rank <= 8",
         "predict_cluster": f"""WITH {index_sql()}, {means}, turns AS (SELECT conv_id || '-' || turn AS id, text FROM conversations), {terms_sql("turns", "id", "text", "tt")},
 traw AS (SELECT id, term, (1 + log10(t.tf)) * idf AS raw FROM (SELECT id, term, count(*) AS tf FROM tt GROUP BY ALL) t JOIN idf USING (term)),

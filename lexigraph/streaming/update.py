@@ -13,8 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lexigraph.config import EngineConfig
 from lexigraph.functions.text import indexed_text
-from lexigraph.operators.index import Index, by_term, document_frequencies, frequencies_of, positions, segmented_postings, weights
+from lexigraph.operators.index import Index, by_term, document_frequencies, frequencies_of, positions, segmented_postings
 from lexigraph.operators.store import Store
+from lexigraph.session import cut
 
 from .crawl import CrawlOutput, crawl, run_row
 
@@ -57,9 +58,8 @@ def rebuild_index(store: Store) -> tuple[int, int]:
     publications, key = store.read("publications"), "publication_key"
     store.replace("positions", positions(publications, key, indexed_text()))
     placed = store.read("positions")
-    tf = frequencies_of(placed, key)
-    idf = document_frequencies(tf, publications)
-    index = Index(key, publications, tf, idf, weights(tf, idf, key))
+    tf = cut(frequencies_of(placed, key))
+    index = Index(key, publications, tf, cut(document_frequencies(tf, publications)))
     carried = ["title", "publication_url", "publication_year", "authors"]
     at = F.lit(now())  # one time a build
     store.replace_all({

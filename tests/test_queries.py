@@ -4,15 +4,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lexigraph.plans import pages, portal, records, retrieval
+from lexigraph.plans import pages, portal, records, retrieval, stored
 
 from .conftest import SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-OWN = {f.__name__: f for f in (*retrieval.QUERIES, *pages.QUERIES, *portal.QUERIES)} | records.QUERIES
+OWN = {f.__name__: f for f in (*retrieval.QUERIES, *pages.QUERIES, *portal.QUERIES, *stored.QUERIES)} | records.QUERIES
 #: Their SQL holds the seeds of the larger tables.
 SEEDED = {"text_kmeans_lang", "kmeans_fit"}
-SQL = retrieval.oracle_sql() | pages.oracle_sql() | records.oracle_sql() | portal.oracle_sql()
+SQL = retrieval.oracle_sql() | pages.oracle_sql() | records.oracle_sql() | portal.oracle_sql() | stored.oracle_sql()
 
 
 @pytest.fixture(scope="module")
