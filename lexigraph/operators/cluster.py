@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigraph.session import cut
+from lexigraph.session import cut, release
 
 from .index import build, damped, term_frequencies
 from .search import small
@@ -90,9 +90,12 @@ def fit_kmeans(ids: DataFrame, points: DataFrame, k: int = CLUSTERS, random_stat
     labels = None
     for iteration in range(1, max_iter + 1):
         new = cut(assign(ids, points, centroids, k))
-        centroids = cut(update(points, new, centroids))
+        before, centroids = centroids, cut(update(points, new, centroids))
+        release(before)
         if labels is not None and new.join(labels.select("id", F.col("cluster").alias("before")), "id").where("cluster <> before").isEmpty():
             return Model(new, centroids, iteration, k)
+        if labels is not None:
+            release(labels)
         labels = new
     return Model(labels, centroids, max_iter, k)
 

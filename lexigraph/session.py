@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: dict[str, SparkSession] = {}
+_paths: dict[int, str] = {}
+
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName("lexigraph")
@@ -38,7 +43,45 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/lexigraph-{uuid.uuid4().hex}"
 
 
+def durable(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends there.
+
+    Lost executors cost no recomputation behind it. The files go with ``release`` or when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lexigraph-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[path], _paths[id(out)] = spark, path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``durable`` gave and that nothing reads any more."""
+    for df in tables:
+        if path := _paths.pop(id(df), None):
+            _delete(_written.pop(path), path)
+
+
+def removed_at_exit(spark: SparkSession, path: str) -> None:
+    _written[path] = spark
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _remove_written() -> None:
+    for path, spark in _written.items():
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the JVM may be gone already
+            return
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Ends lineage in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Ends lineage by a table, which, unlike a checkpoint, carries no constraints on: in loops these would only grow."""
+    return durable(df, "cut")

@@ -98,9 +98,9 @@ def crawl(spark: SparkSession, config: EngineConfig, source, max_listing_pages:
     chosen = cut(once.orderBy("page_ord", "ord").limit(wanted))
     detail_pages = visited_by(source, chosen.select(F.col("publication_url").alias("url")))
     detail = details(detail_pages.where("error_kind IS NULL").select("url", "final_url", "html"))
-    publications = combined(chosen, detail).orderBy("page_ord", "ord")
+    publications = combined(chosen, detail)
     every = got.select("url", "error_kind", "error").unionByName(profile_pages.select("url", "error_kind", "error")).unionByName(detail_pages.select("url", "error_kind", "error"))
-    return CrawlOutput(cut(publications), visited + visited_profiles, visited_profiles, every.where("error_kind = 'robots'").select("url"), every.where("error_kind = 'fetch'").select("url", "error"))
+    return CrawlOutput(cut(publications).orderBy("page_ord", "ord"), visited + visited_profiles, visited_profiles, every.where("error_kind = 'robots'").select("url"), every.where("error_kind = 'fetch'").select("url", "error"))
 
 
 def run_row(spark: SparkSession, config: EngineConfig, output: CrawlOutput, saved: int, started_at, finished_at) -> DataFrame:
