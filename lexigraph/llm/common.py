@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigraph.session import durable, release, removed_at_exit
 from lexigraph.session import shared_folder as shared_dir
 
 #: Rows that one numpy step works on; an Arrow batch may hold more.
@@ -19,48 +17,6 @@ SLICE_ROWS = 256
 #: Characters after which a slice ends early, so very long texts do not pile up.
 SLICE_CHARS = 4_000_000
 
-_written: dict[str, SparkSession] = {}
-_paths: dict[int, str] = {}
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends there.
-
-    Lost executors cost no recomputation behind it. The files go with ``release`` or when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexigraph-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _written[path], _paths[id(out)] = spark, path
-    weakref.finalize(out, _paths.pop, id(out), None)
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Deletes tables that ``durable`` gave and that nothing reads any more."""
-    for df in tables:
-        if path := _paths.pop(id(df), None):
-            _delete(_written.pop(path), path)
-
-
-def removed_at_exit(spark: SparkSession, path: str) -> None:
-    _written[path] = spark
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _remove_written() -> None:
-    for path, spark in _written.items():
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may be gone already
-            return
-
 
 def unused(name: str, *taken: str) -> str:
     """The name, with underscores before it until no column has it, whatever its case."""
