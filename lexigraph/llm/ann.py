@@ -2,13 +2,13 @@
 
 Coarse centroids and residual codebooks are fitted on a sample: about as many lists as the square root of the rows (at most
 MOST_LISTS), and SAMPLE_ROWS or LIST_SAMPLE rows a list; every row is assigned to its centroid's list and coded. A query
-probes its best lists: within one, asymmetric distance tables rank the codes, and the best RERANK rows are scored on the
-original vectors in double precision. So is every other row whose code's score still reaches the k-th best with SPREAD
-standard deviations of its residual's error added (in few dimensions: the most that error can add), so neither ties nor
-groups of near copies are cut. How many lists a query probes is the least number that finds PROBE_RECALL of the sample's
-own neighbours, and as many more as hold enough rows. A few rows, the pilots, are always scored; a row below the k-th best
-pilot of a query's lists cannot be among the k best found, so it is not sent on, nor is a list asked whose centroid and
-radius leave it below that.
+probes its best lists: within one, asymmetric distance tables rank the codes, and the best RERANK rows (more than are
+asked for) are scored on the original vectors in double precision. So is every other row whose code's score still reaches
+the k-th best with SPREAD standard deviations of its residual's error added (in few dimensions: the most that error can
+add), so neither ties nor groups of near copies are cut. How many lists a query probes is the least number that finds
+PROBE_RECALL of the sample's own neighbours, and as many more as hold enough rows. A few rows, the pilots, are always
+scored; a row below the k-th best pilot of a query's lists cannot be among the k best found, so it is not sent on, nor is
+a list asked whose centroid and radius leave it below that.
 
 Lists are cut into blocks of rows and of queries, so that no task holds a list whole. Rows whose vector is null, empty,
 zero, or holds null or non-finite components take no part, nor do those of another length than the commonest (of equally
@@ -32,7 +32,7 @@ from .common import durable
 SAMPLE_ROWS, LIST_SAMPLE, SAMPLE_QUERIES, MOST_LISTS = 20_000, 32, 256, 8192
 #: Pilots are at most this many, and one row in so many.
 PILOTS, PILOT_SHARE = 8192, 8
-SUBSPACES, CODES, STEPS, RERANK, PROBE_RECALL, SPREAD = 16, 256, 8, 100, 0.985, 3.0
+SUBSPACES, CODES, STEPS, RERANK, PROBE_RECALL, SPREAD = 16, 256, 8, 32, 0.985, 3.0
 #: Rows and queries of a block, queries that are ranked at once, and pairs that are scored at once.
 BLOCK_ROWS, BLOCK_QUERIES, STEP_QUERIES, STEP_PAIRS, SEED = 2048, 2048, 256, 100_000, 3
 
@@ -196,18 +196,19 @@ def ranked(x: np.ndarray, ids: np.ndarray, codes: np.ndarray, spread: np.ndarray
     place = np.searchsorted(ids, query_ids)
     own = np.flatnonzero(ids[np.minimum(place, len(ids) - 1)] == query_ids)
     near[place[own], own] = -np.inf
-    few = min(RERANK, len(ids))
-    top = np.argpartition(near, len(ids) - few, axis=0)[len(ids) - few :]
-    score = np.stack([(x[t] * q[j]).sum(1) for j, t in enumerate(top.T)], 1)
-    score[np.isneginf(np.take_along_axis(near, top, 0))] = -np.inf
-    least = np.maximum(floors, np.partition(score, few - k, axis=0)[few - k]) if few >= k else floors
+    few, by_query = min(max(RERANK, k + 1), len(ids)), np.ascontiguousarray(near.T)
+    top = np.argpartition(by_query, len(ids) - few, axis=1)[:, len(ids) - few :]
+    score = np.stack([x[t] @ q[j] for j, t in enumerate(top)])
+    score[np.isneginf(np.take_along_axis(by_query, top, 1))] = -np.inf
+    least = np.maximum(floors, np.partition(score, few - k, axis=1)[:, few - k]) if few >= k else floors
     # The slack is for rounding
     slack = 1e-5 * (1 + lengths * np.sqrt((x**2).sum(1)).max())
-    wanted = near + spread.astype(np.float32)[:, None] * lengths.astype(np.float32) >= (least - slack).astype(np.float32)
-    np.put_along_axis(wanted, top, True, 0)
-    wanted[pilots] = True
-    wanted[place[own], own] = False
-    column, row = np.nonzero(wanted.T)
+    least = least - slack
+    wanted = by_query + lengths.astype(np.float32)[:, None] * spread.astype(np.float32) >= least.astype(np.float32)[:, None]
+    np.put_along_axis(wanted, top, True, 1)
+    wanted[:, pilots] = True
+    wanted[own, place[own]] = False
+    column, row = np.nonzero(wanted)
     score = np.concatenate([(x[row[a : a + STEP_PAIRS]] * q[column[a : a + STEP_PAIRS]]).sum(1) for a in range(0, len(row), STEP_PAIRS)] or [np.zeros(0)])
     good = score >= least[column]
     column, row, score = column[good], row[good], score[good]
