@@ -34,8 +34,13 @@ def _numbered(number: Column) -> Column:
     return F.coalesce(F.nullif(_lookup({str(k): v for k, v in RENUMBERED.items()}, number.cast("string")), F.lit("")), letter)
 
 
-def decoded(text: Column) -> Column:
-    """The text with its character references replaced: named, decimal and hexadecimal ones."""
+def decoded(text: Column, ended: bool = False) -> Column:
+    """The text with its character references replaced: named, decimal and hexadecimal ones.
+
+    With ``ended``, only those that end in a semicolon.
+    """
+    if ended:
+        text = opened(text)
     bare = "|".join(sorted(BARE, key=lambda k: (-len(k), k)))
 
     def first(piece: Column) -> Column:
@@ -55,8 +60,13 @@ def decoded(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, lambda piece: F.when(piece.startswith("&"), first(piece)).otherwise(piece)), "")).otherwise(text)
 
 
-def without_tags(html: Column) -> Column:
-    return squeezed(decoded(F.regexp_replace(html, "(?s)<[^>]*>", " ")))
+def opened(text: Column) -> Column:
+    """The text with a reference put for each ampersand that begins none that ends in a semicolon: decoding leaves it as it is."""
+    return F.regexp_replace(text, "&(?!(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9a-fA-F]+);)", "&amp;")
+
+
+def without_tags(html: Column, ended: bool = False) -> Column:
+    return squeezed(decoded(F.regexp_replace(html, "(?s)<[^>]*>", " "), ended))
 
 
 def uncommented(html: Column) -> Column:
@@ -69,13 +79,13 @@ def without_elements(html: Column, names: tuple[str, ...]) -> Column:
     return html
 
 
-def visible_text(html: Column) -> Column:
-    return without_tags(without_elements(uncommented(html), HIDDEN))
+def visible_text(html: Column, ended: bool = False) -> Column:
+    return without_tags(without_elements(uncommented(html), HIDDEN), ended)
 
 
-def inside(html: Column, tag: str) -> Column:
+def inside(html: Column, tag: str, ended: bool = False) -> Column:
     """The text of the first element of a name; empty if there is none."""
-    return without_tags(F.regexp_extract(F.coalesce(html, F.lit("")), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1))
+    return without_tags(F.regexp_extract(F.coalesce(html, F.lit("")), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1), ended)
 
 
 def links(html: Column) -> Column:

@@ -1,7 +1,14 @@
 """What must hold for large tables: bounded tasks, narrow exchanges, and queries that keep to their SQL at other sizes."""
 
+from pathlib import Path
+
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from lexigraph.operators import index
 
 from .conftest import SMALL
@@ -15,3 +22,32 @@ def test_terms_are_dealt_by_bytes(spark, monkeypatch):
     for made in (index.term_frequencies, index.positions):
         assert made(docs, "doc_id", F.col("text")).rdd.getNumPartitions() >= 9
     assert index.stored_bytes(spark.createDataFrame([(1, "a")], "k int, t string")) is None
+
+
+def _duck(name, at):
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{at}/{t}.parquet')")
+    return c.sql(entry.oracle_sql()[name]).df()
+
+
+def _same(spark, name, at):
+    got, due = (sorted(df[sorted(df.columns)].astype(str).values.tolist()) for df in (entry.queries()[name](spark, str(at)).toPandas(), _duck(name, at)))
+    assert got == due and got
+
+
+@pytest.fixture(scope="module")
+def odd_pages(tmp_path_factory):
+    """References without a semicolon, as a cut text ends with one."""
+    at = tmp_path_factory.mktemp("pages")
+    texts = ["One &amp", "A &amp;&amp B &copy 1", "x && y &lt z &amp;lt; &quot;&#39;", "&", "plain &middot; text"]
+    pages = [(i, f"https://p.example/{i}/", f"<html><head><title>{t}</title></head><body><h1>{t}</h1><p>Text {t}</p></body></html>") for i, t in enumerate(texts)]
+    pq.write_table(pa.table({k: list(v) for k, v in zip(("page_id", "url", "html"), zip(*pages))}), at / "pages.parquet")
+    for t in ("documents", "embeddings"):
+        (at / f"{t}.parquet").write_bytes(Path(SMALL, f"{t}.parquet").read_bytes())
+    return at
+
+
+@pytest.mark.parametrize("name", ["page_visible_text", "page_title_h1", "page_records", "page_tree_text"])
+def test_references_without_semicolon(spark, odd_pages, name):
+    _same(spark, name, odd_pages)
