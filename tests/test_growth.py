@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lexigraph.operators import index
+from lexigraph.session import cut
 
 from .conftest import SMALL
 
@@ -24,6 +25,33 @@ def test_terms_are_dealt_by_bytes(spark, monkeypatch):
     assert index.stored_bytes(spark.createDataFrame([(1, "a")], "k int, t string")) is None
 
 
+def test_postings_are_moved_once(spark):
+    """From a document's occurrences of a term to where the postings are written, keys in half their letters."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("k"), "text")
+    placed = index.positions(docs, "k", F.col("text"))
+    own = cut(index.occurrences(placed, "k"))
+    idf = cut(index.document_frequencies(own.select("k", "term"), docs))
+    got = index.posted(own, idf, "k", 50)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning(") == 1 and "hashpartitioning(" not in plan
+    rows, whole = got.collect(), {r["term"]: r for r in index.postings(placed, "k").collect()}
+    assert len(rows) > len(whole) == len({r["term"] for r in rows})
+    for r in rows:
+        assert r["document_frequency"] == whole[r["term"]]["document_frequency"]
+    assert sorted((r["term"], *p) for r in rows for p in r["postings"]) == sorted((t, *p) for t, r in whole.items() for p in r["postings"])
+    keys = spark.createDataFrame([("",), ("ab",), ("AB",), ("abc",), ("01ff",), ("é",)], "k string")
+    assert all(r[0] == r[1] for r in keys.select("k", index.unpacked(index.packed(F.col("k")))).collect())
+
+
+def test_terms_of_one_document_are_not_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "beta gamma"), (3, "delta beta alpha")], "k int, text string")
+    built = index.build(docs, "k", F.col("text"))
+    due = sorted(map(tuple, built.weights.collect()))
+    for turns in ([False, True], [False, False]):
+        monkeypatch.setattr(index, "is_small", lambda df, left=list(turns): left.pop(0))
+        assert sorted(map(tuple, index.weights(built.tf, built.idf, "k").collect())) == due
+
+
 def _duck(name, at):
     c = duckdb.connect()
     for t in ("documents", "embeddings", "pages"):
