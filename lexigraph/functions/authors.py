@@ -20,22 +20,26 @@ def match_form(name: Column) -> Column:
 
 
 def signature(name: Column) -> Column:
-    """struct(surname, initials): from "Surname, Given" or "Given Surname"."""
+    """struct(surname, initials, form): from "Surname, Given" or "Given Surname"."""
     form = match_form(name)
     comma = F.instr(form, ",") > 0
     pieces = F.filter(F.split(form, " "), lambda w: w != "")
     given = F.when(comma, F.filter(F.split(F.regexp_replace(form, "^[^,]*,", ""), " "), lambda w: w != "")).otherwise(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))))
     surname = F.when(comma, squeezed(F.regexp_extract(form, "^([^,]*),", 1))).otherwise(F.coalesce(F.try_element_at(pieces, F.lit(-1)), F.lit("")))
-    return F.struct(surname.alias("surname"), F.array_distinct(F.transform(given, lambda w: F.substring(w, 1, 1))).alias("initials"))
+    return F.struct(surname.alias("surname"), F.array_distinct(F.transform(given, lambda w: F.substring(w, 1, 1))).alias("initials"), form.alias("form"))
 
 
 def names_match(first: Column, second: Column) -> Column:
     """Equal surnames, or one the last words of the other, and a common initial; without initials the whole name."""
-    a, b = signature(first), signature(second)
+    return signatures_match(signature(first), signature(second))
+
+
+def signatures_match(a: Column, b: Column) -> Column:
+    """``names_match`` for signatures that are there already."""
     x, y = a["surname"], b["surname"]
     same = (x == y) | x.endswith(F.concat(F.lit(" "), y)) | y.endswith(F.concat(F.lit(" "), x))
     bare = (F.size(a["initials"]) == 0) | (F.size(b["initials"]) == 0)
-    return F.when((x == "") | (y == "") | ~same, False).when(bare, match_form(first) == match_form(second)).otherwise(F.arrays_overlap(a["initials"], b["initials"]))
+    return F.when((x == "") | (y == "") | ~same, False).when(bare, a["form"] == b["form"]).otherwise(F.arrays_overlap(a["initials"], b["initials"]))
 
 
 def name_quality(name: Column) -> Column:

@@ -98,3 +98,10 @@ def more_vectors(tmp_path_factory):
 @pytest.mark.parametrize("name", ["kmeans_assign", "kmeans_update", "cluster_summary", "kmeans_fit", "text_kmeans_lang"])
 def test_seeds_of_the_sql(spark, more_vectors, name):
     _same(spark, name, more_vectors)
+
+
+def test_names_are_dealt_by_bytes(spark, monkeypatch):
+    """A small file of names gives one task; matching them takes more."""
+    held = index.stored_bytes(spark.read.parquet(f"{SMALL}/customer.parquet"))
+    monkeypatch.setattr(index, "LEAST_DEALT_BYTES", held // 7)
+    assert entry.queries()["author_match_pairs"](spark, SMALL).rdd.getNumPartitions() >= 7
