@@ -1,5 +1,6 @@
 """What must hold for large tables: bounded tasks, narrow exchanges, and queries that keep to their SQL at other sizes."""
 
+import time
 from pathlib import Path
 
 import duckdb
@@ -9,8 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lexigraph.functions.text import indexed_text, searchable_text
 from lexigraph.operators import index
+from lexigraph.operators.store import Store, publication_rows
+from lexigraph.plans import stored
+from lexigraph.schemas import columns
 from lexigraph.session import cut
+from lexigraph.streaming import update
 
 from .conftest import SMALL
 
@@ -105,3 +111,66 @@ def test_names_are_dealt_by_bytes(spark, monkeypatch):
     held = index.stored_bytes(spark.read.parquet(f"{SMALL}/customer.parquet"))
     monkeypatch.setattr(index, "LEAST_DEALT_BYTES", held // 7)
     assert entry.queries()["author_match_pairs"](spark, SMALL).rdd.getNumPartitions() >= 7
+
+
+def test_index_is_rebuilt_slice_by_slice(spark, tmp_path, monkeypatch):
+    """Postings hold numbers for keys, lie in as many folders as slices, and search as from one; nothing of a shuffle stays."""
+    held = {}
+    for slices in (1, 3):
+        s = Store(spark, f"file://{tmp_path}/{slices}")
+        s.upsert_publications(stored.publications(spark, SMALL))
+        monkeypatch.setattr(update, "SLICES", slices)
+        monkeypatch.setattr(update, "SLICE_BYTES", 1)
+        update.rebuild_index(s)
+        assert len(s.version("inverted_index")) == slices
+        rows = s.read("inverted_index").select("term", "document_frequency", F.explode("postings").alias("p")).join(s.read("document_vectors").select(F.col("number").alias("at"), "publication_key"), F.col("p.number") == F.col("at"))
+        held[slices] = sorted((r["term"], r["document_frequency"], r["publication_key"], r["p"]["term_frequency"], r["p"]["positions"]) for r in rows.collect())
+        places = s.read("inverted_index").selectExpr("inline(postings)").selectExpr("max(size(positions) - term_frequency) AS off").first()
+        assert places["off"] == 0
+    assert held[1] == held[3] and held[1]
+    publications = s.read("publications")
+    due = index.segmented_postings(index.positions(publications, "publication_key", indexed_text()), "publication_key")
+    due = due.select("term", "document_frequency", F.explode("postings").alias("p")).select("term", "document_frequency", "p.*").collect()
+    assert held[1] == sorted(map(tuple, due))
+    weights = index.build(publications, "publication_key", indexed_text()).weights.collect()
+    got = s.read("document_vectors").select("publication_key", F.explode("vector")).collect()
+    assert sorted((k, t) for k, t, _ in got) == sorted((k, t) for k, t, _ in weights)
+    due = {(k, t): w for k, t, w in weights}
+    assert all(abs(w - due[k, t]) < 1e-12 for k, t, w in got)
+    searched = [(k, t, w) for k, t, w in update.stored_index(s).weights.collect()]
+    assert len(searched) == len(due) and all(abs(w - due[k, t]) < 1e-12 for k, t, w in searched)
+
+
+def test_store_holds_no_text_twice(spark, tmp_path):
+    """The search text is read as it was written, also where it is not what the fields give, and stored only there."""
+    s = Store(spark, f"file://{tmp_path}")
+    s.upsert_publications(stored.publications(spark, SMALL))
+    bare = spark.read.parquet(f"file://{tmp_path}/publications/*")
+    assert bare.where("searchable_text IS NOT NULL").isEmpty() and not bare.isEmpty()
+    read = s.read("publications")
+    assert read.where(~F.col("searchable_text").eqNullSafe(searchable_text())).isEmpty() and read.columns == columns("publications")
+    odd = read.withColumn("searchable_text", F.when(F.col("publication_year") > 2000, "odd").when(F.col("publication_year") > 1995, F.col("searchable_text"))).select("publication_key", "searchable_text").collect()
+    s.replace("publications", read.withColumn("searchable_text", F.when(F.col("publication_year") > 2000, "odd").when(F.col("publication_year") > 1995, F.col("searchable_text"))))
+    assert sorted(map(str, s.read("publications").select("publication_key", "searchable_text").collect())) == sorted(map(str, odd))
+
+
+def test_texts_of_distinct_keys_are_not_moved(spark):
+    batch = stored.publications(spark, SMALL)
+    assert "Exchange" not in publication_rows(batch)._jdf.queryExecution().executedPlan().toString()
+    twice = batch.union(batch.withColumn("ord", F.col("ord") + 1_000_000).withColumn("title", F.lit("later")))
+    rows = publication_rows(twice)
+    assert rows.count() == batch.count() and rows.where("title <> 'later' OR NOT startswith(searchable_text, 'later')").isEmpty()
+
+
+def test_shuffles_go_with_their_query(spark):
+    """Their files are removed when a table has been cut, and the setting is put back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, local = spark.conf.get(name), spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in local.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    held = files()
+    cut(spark.range(1000).repartition(3, "id").groupBy(F.col("id") % 7).count())
+    for _ in range(50):
+        if files() <= held:
+            break
+        time.sleep(0.1)
+    assert files() <= held and spark.conf.get(name) == before
