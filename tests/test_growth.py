@@ -31,6 +31,17 @@ def test_terms_are_dealt_by_bytes(spark, monkeypatch):
     assert index.stored_bytes(spark.createDataFrame([(1, "a")], "k int, t string")) is None
 
 
+def test_weights_are_dealt_by_bytes(spark, monkeypatch):
+    """The session's two partitions do not decide how many rows of weights a task sorts."""
+    built = index.build(spark.read.parquet(f"{SMALL}/documents.parquet"), "doc_id", F.col("text"))
+    monkeypatch.setattr(index, "DEALT_BYTES", index.stored_bytes(built.tf) // 9)
+    got = index.weights(built.tf, built.idf, "doc_id")
+    assert got.rdd.getNumPartitions() >= 9
+    due = {(k, t): w for k, t, w in index.of_unit_length(index.raw_weights(built.tf, built.idf, "doc_id"), "doc_id").collect()}
+    rows = got.collect()
+    assert len(rows) == len(due) and all(abs(w - due[k, t]) < 1e-12 for k, t, w in rows)
+
+
 def test_postings_are_moved_once(spark):
     """From a document's occurrences of a term to where the postings are written, keys in half their letters."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("k"), "text")
